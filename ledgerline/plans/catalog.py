@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.plans import log_queries  # noqa: F401
+from ledgerline.plans import join_queries, log_queries, run_queries  # noqa: F401
 from ledgerline.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
