@@ -162,7 +162,7 @@ def hard_delete(
     base: DataFrame, doomed: DataFrame, keys: Sequence[str] = ("id",)
 ) -> tuple[DataFrame, DataFrame]:
     """(rows that stay, rows that went)."""
-    wanted = doomed.select(*keys)
+    wanted = doomed.select(*keys).distinct()
     return base.join(wanted, [*keys], "left_anti"), base.join(wanted, [*keys], "left_semi")
 
 
@@ -174,7 +174,7 @@ def cascade_delete(
     'default' cannot be deleted; asking for it is returned as a reject.
     """
     refused = names.where(F.col("name") == DEFAULT_PERSONA)
-    doomed = names.where(F.col("name") != DEFAULT_PERSONA)
+    doomed = names.where(F.col("name") != DEFAULT_PERSONA).select("name").distinct()
     out = dict(tables)
     out["personas"] = tables["personas"].join(doomed, "name", "left_anti")
     for child, (column, _, _) in schemas.PARENTS.items():

@@ -20,18 +20,28 @@ ORDER = ["ts", "id"]
 MAX_CONFIDENCE = 10
 
 
-def effective_outcomes(outcomes: DataFrame) -> DataFrame:
+RUN = [*KEYS, "run_id"]
+
+
+def failed_runs(outcomes: DataFrame) -> DataFrame:
+    """First fast-path failure of each run: (domain, action, run_id, ts, id)."""
+    first = F.min(F.struct(*ORDER)).alias("__first")
+    failures = outcomes.where((F.col("outcome") == "fast_fail") & F.col("run_id").isNotNull())
+    return failures.groupBy(*RUN).agg(first).select(*RUN, "__first.*")
+
+
+def effective_outcomes(outcomes: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     """Drop successes that follow a fast-path failure within the same run.
 
     Such a run read its confidence before the failure, so its later finish is
-    not counted. Rows without a run are always kept.
+    not counted. Rows without a run are always kept. ``earlier`` are failed runs
+    known from before this batch.
     """
-    run = [*KEYS, "run_id"]
-    failed = (
-        outcomes.where((F.col("outcome") == "fast_fail") & F.col("run_id").isNotNull())
-        .groupBy(*run)
-        .agg(F.min(F.struct(*ORDER)).alias("__failed"))
-    )
+    run = RUN
+    failures = failed_runs(outcomes)
+    if earlier is not None:
+        failures = failures.unionByName(earlier.select(*RUN, *ORDER))
+    failed = failures.groupBy(*run).agg(F.min(F.struct(*ORDER)).alias("__failed"))
     late = (F.col("outcome") == "success") & (F.struct(*ORDER) > F.col("__failed"))
     return (
         outcomes.join(failed, run, "left")
@@ -180,10 +190,15 @@ def replay_confidence(
     )
 
 
+STATE = ["confidence", "tier", "created", "last_verified", "last_failed"]
+
+
+def last_states(trace: DataFrame) -> DataFrame:
+    """State after the last event per recipe; NULL state where the recipe is gone."""
+    last = trace.groupBy(*KEYS).agg(F.max_by(F.struct(*STATE), F.struct(*ORDER)).alias("__state"))
+    return last.select(*KEYS, "__state.*")
+
+
 def confidence_state(trace: DataFrame) -> DataFrame:
-    """State after the last event per recipe; deleted and never-saved recipes are absent."""
-    columns = ["confidence", "tier", "created", "last_verified", "last_failed"]
-    last = trace.groupBy(*KEYS).agg(
-        F.max_by(F.struct(*columns), F.struct(*ORDER)).alias("__state")
-    )
-    return last.select(*KEYS, "__state.*").where(F.col("confidence").isNotNull())
+    """Recipes that exist after the last event, with their state."""
+    return last_states(trace).where(F.col("confidence").isNotNull())

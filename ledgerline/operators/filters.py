@@ -72,12 +72,14 @@ def head_per(df: DataFrame, key: str = "page_id", pos: str = "pos", n: int = 50)
 
 
 def redact(df: DataFrame, mode: str = "mask", extra: Iterable[str] = POINTER_COLUMNS) -> DataFrame:
-    """Drop or mask columns whose name marks a secret or a pointer to one."""
+    """Drop or mask columns whose name marks a secret or a pointer to one; blanks stay blank."""
     hidden = {*SECRET_FIELDS, *extra}
     names = [c for c in df.columns if c.lower() in hidden]
     if mode == "drop":
         return df.drop(*names)
-    masked = {c: F.when(F.col(c).isNotNull(), F.lit("***")) for c in names}
+    masked = {
+        c: F.when(F.col(c).cast("string") == "", "").when(F.col(c).isNotNull(), "***") for c in names
+    }
     return df.withColumns(masked) if masked else df
 
 

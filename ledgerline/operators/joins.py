@@ -41,7 +41,7 @@ def primary_email(accounts: DataFrame) -> DataFrame:
 def orphans(child: DataFrame, parent: DataFrame, on: tuple[str, str]) -> DataFrame:
     """Child rows whose key has no parent row; on = (child column, parent column)."""
     child_col, parent_col = on
-    keys = parent.select(F.col(parent_col).alias(child_col))
+    keys = parent.select(F.col(parent_col).alias(child_col)).distinct()
     return child.join(keys, child_col, "left_anti")
 
 
@@ -49,7 +49,7 @@ def split_conflicts(
     new: DataFrame, base: DataFrame, keys: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
     """(rows free to insert, rows whose key already exists)."""
-    taken = base.select(*keys)
+    taken = base.select(*keys).distinct()
     return new.join(taken, [*keys], "left_anti"), new.join(taken, [*keys], "left_semi")
 
 

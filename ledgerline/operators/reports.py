@@ -80,11 +80,11 @@ def _named(personas: DataFrame) -> DataFrame:
 
 
 def _having(keys: DataFrame, rows: DataFrame, on: str = "persona") -> DataFrame:
-    return keys.join(rows.select(on), on, "left_semi")
+    return keys.join(rows.select(on).distinct(), on, "left_semi")
 
 
 def _lacking(keys: DataFrame, rows: DataFrame, on: str = "persona") -> DataFrame:
-    return keys.join(rows.select(on), on, "left_anti")
+    return keys.join(rows.select(on).distinct(), on, "left_anti")
 
 
 def not_found(requests: DataFrame, personas: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ CONTINUED = ("recaptcha_checkbox_passed", "recaptcha_challenge_solved")
 LOW_CONFIDENCE = 0.5
 
 
-def _repeats(steps: DataFrame, k: int, chunk_size: int) -> DataFrame:
+def repeats(steps: DataFrame, k: int = 3, chunk_size: int = 4_096) -> DataFrame:
     """Flag steps that end k equal (action_taken, page_type) rows in a row."""
     same = ["action_taken", "page_type"]
     seen = ordered.previous_rows(
@@ -29,7 +29,7 @@ def _repeats(steps: DataFrame, k: int, chunk_size: int) -> DataFrame:
 
 def stuck_points(steps: DataFrame, k: int = 3, chunk_size: int = 4_096) -> DataFrame:
     """First step per run at which the last k steps had equal action and page type."""
-    hits = _repeats(steps, k, chunk_size).where("repeats")
+    hits = repeats(steps, k, chunk_size).where("repeats")
     return hits.groupBy("run_id").agg(
         F.min("step").alias("stuck_step"),
         F.min_by("action_taken", "step").alias("action_taken"),
@@ -88,7 +88,7 @@ def classify_runs(
     navigate_ok, fast_path_ok) adds the outcomes decided before the first step.
     """
     used = steps.where(F.col("step") <= max_steps)
-    labelled = _repeats(used, k, max_steps + 1).withColumn("__label", terminal_label())
+    labelled = repeats(used, k, max_steps + 1).withColumn("__label", terminal_label())
     ends = F.when(F.col("__label").isNotNull(), F.col("step"))
     per_run = labelled.groupBy("run_id").agg(
         F.min_by("__label", ends).alias("__outcome"),
@@ -168,7 +168,7 @@ def verify_steps(playbook: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFr
     same selector, or the same URL where there is no selector.
     """
     keys = ["run_id", "action", "__target"]
-    claimed, seen = _signature(playbook), _signature(log).select(*keys)
+    claimed, seen = _signature(playbook), _signature(log).select(*keys).distinct()
     return (
         claimed.join(seen, keys, "left_semi").drop("__target"),
         claimed.join(seen, keys, "left_anti").drop("__target"),
@@ -177,7 +177,7 @@ def verify_steps(playbook: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFr
 
 def verify_caveats(caveats: DataFrame, log: DataFrame) -> DataFrame:
     """Caveats of runs whose log has a failure (``ok`` false)."""
-    return caveats.join(log.where(~F.col("ok")).select("run_id"), "run_id", "left_semi")
+    return caveats.join(log.where(~F.col("ok")).select("run_id").distinct(), "run_id", "left_semi")
 
 
 def audit_checkpoints(steps: DataFrame, observed: DataFrame) -> DataFrame:

@@ -52,7 +52,11 @@ def user_day() -> Column:
 
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source(spark, sf_dir, "events").select(
+    return as_actions(source(spark, sf_dir, "events"))
+
+
+def as_actions(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_id").alias("id"),
         user("user_id").alias("persona"),
         F.col("event_type").alias("action"),
@@ -119,10 +123,14 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_milestones(source(spark, sf_dir, "events"))
+
+
+def as_milestones(events: DataFrame) -> DataFrame:
     def tags(*names):
         return F.array(*[F.lit(n) for n in names]).cast("array<string>")
 
-    return source(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("id"),
         user("user_id").alias("persona"),
         F.col("event_type").alias("event"),
@@ -297,9 +305,10 @@ def page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visited.unionByName(stored)
 
 
-def _steps(spark: SparkSession, sf_dir: str, run: Column) -> DataFrame:
+def as_steps(events: DataFrame, run: Column) -> DataFrame:
+    """Step rows without their number."""
     v = F.col("value")
-    rows = source(spark, sf_dir, "events").select(
+    return events.select(
         run.alias("run_id"),
         "event_id",
         "ts",
@@ -318,6 +327,10 @@ def _steps(spark: SparkSession, sf_dir: str, run: Column) -> DataFrame:
         F.when((v < 15) | (F.col("event_type") == "view"), "heuristics").otherwise("api").alias("tier"),
         F.least(F.lit(1.0), v / 100).alias("confidence"),
     )
+
+
+def _steps(spark: SparkSession, sf_dir: str, run: Column) -> DataFrame:
+    rows = as_steps(source(spark, sf_dir, "events"), run)
     return ordered.ordinal(
         rows, ["run_id"], ["ts", "event_id"], ordered.time_chunk("ts"), "step"
     )
@@ -332,7 +345,11 @@ def user_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flow_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source(spark, sf_dir, "events").select(
+    return as_outcomes(source(spark, sf_dir, "events"))
+
+
+def as_outcomes(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_id").alias("id"),
         F.concat(F.lit("site"), F.col("user_id").cast("string"), F.lit(".example.com")).alias("domain"),
         F.lit("visit").alias("action"),

@@ -263,7 +263,7 @@ def _(spark, d):
 
 @query(
     "masked_accounts",
-    f"WITH {D.ACCOUNTS} SELECT id, service, '***' AS creds_ref FROM accounts",
+    f"WITH {D.ACCOUNTS} SELECT id, service, CASE WHEN creds_ref = '' THEN '' ELSE '***' END AS creds_ref FROM accounts",
 )
 def _(spark, d):
     return filters.redact(I.accounts(spark, d)).select("id", "service", "creds_ref")

@@ -1,0 +1,70 @@
+"""Small state tables written by foreachBatch, one folder per epoch.
+
+Every micro-batch writes only its own rows, to the folder of its epoch, in
+overwrite mode. A batch that is run again after a failure replaces its own
+folder and reads only earlier ones, so results do not depend on retries. Every
+``every`` epochs the whole state is written instead, and readers start there.
+"""
+
+from __future__ import annotations
+
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+EPOCH = "epoch"
+
+
+def work_folder(spark: SparkSession) -> str:
+    """Shared folder for state and checkpoints: the one the cluster names.
+
+    Only a local session may fall back to a folder of its own.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="ledgerline-")
+
+
+class EpochTable:
+    def __init__(self, spark: SparkSession, path: str, schema: str, every: int = 16):
+        self.spark, self.path, self.schema, self.every = spark, path, schema, every
+
+    def _read(self) -> DataFrame:
+        return self.spark.read.schema(f"{self.schema}, {EPOCH} bigint").parquet(self.path)
+
+    def before(self, epoch: int) -> DataFrame:
+        """Rows written since the last whole-state epoch before this one, with their epoch."""
+        if epoch == 0:
+            return self.spark.createDataFrame([], f"{self.schema}, {EPOCH} bigint")
+        start = (epoch - 1) // self.every * self.every
+        return self._read().where((F.col(EPOCH) >= start) & (F.col(EPOCH) < epoch))
+
+    def current(self) -> DataFrame:
+        """Rows a reader needs now, with their epoch."""
+        rows = self._read()
+        last = rows.agg(F.max(EPOCH).alias("m"))
+        start = last.select(F.floor(F.col("m") / self.every) * self.every).scalar()
+        return rows.where(F.col(EPOCH) >= start)
+
+    def all(self) -> DataFrame:
+        return self._read().drop(EPOCH)
+
+    def write(self, rows: DataFrame, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/{EPOCH}={epoch}")
+
+    def advance(
+        self, rows: DataFrame, epoch: int, fold: Callable[[DataFrame], DataFrame]
+    ) -> None:
+        """Write a batch's rows; at a whole-state epoch, fold in everything before.
+
+        ``fold`` takes rows with their epoch and returns the state rows.
+        """
+        if epoch > 0 and epoch % self.every == 0:
+            tagged = rows.withColumn(EPOCH, F.lit(epoch).cast("bigint"))
+            rows = fold(self.before(epoch).unionByName(tagged))
+        self.write(rows, epoch)
