@@ -55,20 +55,17 @@ def insert_new(
 
 def ensure_default(personas: DataFrame, as_of: datetime) -> DataFrame:
     """Add the persona 'default' when it is missing."""
-    spark = personas.sparkSession
     values = {
         **schemas.DEFAULTS["personas"],
         "name": DEFAULT_PERSONA,
         "description": "Default browser persona",
     }
-    row = spark.range(1).select(
-        *[F.lit(v).alias(k) for k, v in values.items()], _at(as_of).alias("created_at")
+    columns = {**{k: F.lit(v) for k, v in values.items()}, "created_at": _at(as_of)}
+    found = personas.where(F.col("name") == DEFAULT_PERSONA).agg(F.count(F.lit(1)).alias("__n"))
+    row = found.where(F.col("__n") == 0).select(
+        *[c.alias(k) for k, c in columns.items() if k in personas.columns]
     )
-    row = row.select(*[c for c in row.columns if c in personas.columns])
-    missing = row.join(
-        personas.where(F.col("name") == DEFAULT_PERSONA).select("name"), "name", "left_anti"
-    )
-    return personas.unionByName(missing, allowMissingColumns=True)
+    return personas.unionByName(row, allowMissingColumns=True)
 
 
 def assign_ids(

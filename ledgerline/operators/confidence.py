@@ -68,20 +68,12 @@ def replay_confidence(
     NULL while the recipe does not exist.
     """
     stored = ["confidence", "created", "last_verified", "last_failed"]
-    if base is None:
-        events = outcomes.withColumns(
-            {
-                "__b_confidence": F.lit(None).cast("int"),
-                **{f"__b_{c}": F.lit(None).cast("timestamp") for c in stored[1:]},
-            }
-        )
-    else:
-        events = outcomes.join(
-            base.select(*KEYS, *[F.col(c).alias(f"__b_{c}") for c in stored]), KEYS, "left"
-        )
+    side = None
+    if base is not None:
+        side = base.select(*KEYS, *[F.col(c).alias(f"__b_{c}") for c in stored])
     w = ordered.so_far(KEYS, ORDER)
     step = (
-        events.withColumn(ordered.CHUNK, ordered.time_chunk("ts") if chunk is None else chunk)
+        outcomes.withColumn(ordered.CHUNK, ordered.time_chunk("ts") if chunk is None else chunk)
         .withColumns(
             {
                 "__reset": _is("save") | _is("fast_fail"),
@@ -120,7 +112,13 @@ def replay_confidence(
             "__g_reset": lambda o: F.col("__s_reset") + _total_before(o, "__s_success"),
             "__g_delete": lambda o: F.col("__s_delete") + _total_before(o, "__s_save"),
         },
+        side,
     )
+    if base is None:
+        kinds = {"confidence": "int"}
+        step = step.withColumns(
+            {f"__b_{c}": F.lit(None).cast(kinds.get(c, "timestamp")) for c in stored}
+        )
     zero = F.lit(0).cast("bigint")
     off_success = F.coalesce("__o_success", zero)
     off_save = F.coalesce("__o_save", zero)

@@ -10,7 +10,9 @@ join are spread over chunks, and the summary is pre-aggregated before its
 shuffle.
 
 The chunk must grow with the order columns: rows of an earlier chunk sort
-before rows of a later one.
+before rows of a later one. Key columns must not be NULL (the tables declare
+them so): the join back uses plain equality, which keeps the partitioning of
+the window and saves a shuffle of the big side.
 """
 
 from __future__ import annotations
@@ -52,6 +54,7 @@ def carry(
     summary: dict[str, Column],
     carried: dict[str, Callable[[WindowSpec], Column]],
     derived: dict[str, Callable[[WindowSpec], Column]] | None = None,
+    side: DataFrame | None = None,
 ) -> DataFrame:
     """Add columns computed over all earlier chunks of the same key.
 
@@ -59,20 +62,25 @@ def carry(
     window of chunk summaries (ordered, no frame) and returns one column. Rows
     of a key's first chunk get what the function yields on an empty frame.
     ``derived`` are extra summary columns made from a scan of the summaries,
-    for ``carried`` functions that need a scan of a scan.
+    for ``carried`` functions that need a scan of a scan. ``side`` has one row
+    per key; its other columns are added to every row of the key by way of the
+    summaries, which spares a join of all rows on the bare key.
     """
     per_chunk = df.groupBy(*keys, CHUNK).agg(*[c.alias(name) for name, c in summary.items()])
     ordered = Window.partitionBy(*keys).orderBy(CHUNK)
     for name, make in (derived or {}).items():
         per_chunk = per_chunk.withColumn(name, make(ordered))
+    extra: list[str] = []
+    if side is not None:
+        extra = [c for c in side.columns if c not in keys]
+        per_chunk = per_chunk.join(side, [*keys], "left")
     names = [*keys, CHUNK]
     offsets = per_chunk.select(
         *[F.col(k).alias(f"__of_{k}") for k in names],
         *[make(ordered).alias(name) for name, make in carried.items()],
+        *extra,
     )
-    same = reduce(
-        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in names]
-    )
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__of_{k}") for k in names])
     return df.join(offsets, same, "left").drop(*[f"__of_{k}" for k in names])
 
 

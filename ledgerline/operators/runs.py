@@ -64,17 +64,18 @@ def with_history(steps: DataFrame, n: int = 3, chunk_size: int = 4_096) -> DataF
     return seen.withColumn("history", F.array_join(line, "\n")).drop("__prev")
 
 
-def terminal_label() -> Column:
+def _label(step: Column, repeated: Column) -> Column:
     """Why a step ends its run, or NULL when the run goes on."""
-    went_on = F.col("action_taken").isin(*CONTINUED)
+    action = step["action_taken"]
+    went_on = F.coalesce(action.isin(*CONTINUED), F.lit(False))
     return (
-        F.when(F.col("action_taken") == "done", "done")
-        .when(F.col("repeats") & ~F.coalesce(went_on, F.lit(False)), "stuck")
+        F.when(action == "done", "done")
+        .when(repeated & ~went_on, "stuck")
         .when(
-            (F.col("confidence") < LOW_CONFIDENCE) & (F.col("tier") == "heuristics"),
+            (step["confidence"] < LOW_CONFIDENCE) & (step["tier"] == "heuristics"),
             "needs_guidance",
         )
-        .when(F.col("action_taken") == "abort", "aborted")
+        .when(action == "abort", "aborted")
     )
 
 
@@ -86,20 +87,47 @@ def classify_runs(
     The smallest step with a terminal label decides. Without one the run is
     'max_steps' when it used them all, else 'in_progress'. ``runs`` (run_id,
     navigate_ok, fast_path_ok) adds the outcomes decided before the first step.
+
+    A run has ``max_steps`` steps at most, so it folds into one slot per step by
+    an aggregate with map-side partials; no window or sort over steps is needed.
     """
-    used = steps.where(F.col("step") <= max_steps)
-    labelled = repeats(used, k, max_steps + 1).withColumn("__label", terminal_label())
-    ends = F.when(F.col("__label").isNotNull(), F.col("step"))
-    per_run = labelled.groupBy("run_id").agg(
-        F.min_by("__label", ends).alias("__outcome"),
-        F.min(ends).alias("end_step"),
-        F.max("step").alias("__last"),
-        F.min_by("page_type", ends).alias("page_type"),
-        F.min_by("action_taken", ends).alias("action_taken"),
+    fields = ["step", "action_taken", "page_type", "tier", "confidence"]
+    slots = [
+        F.max(F.when(F.col("step") == i, F.struct(*fields))).alias(f"__{i}")
+        for i in range(1, max_steps + 1)
+    ]
+    packed = (
+        steps.where(F.col("step").between(1, max_steps))
+        .groupBy("run_id")
+        .agg(*slots)
+        .select(
+            "run_id",
+            F.filter(
+                F.array(*[F.col(f"__{i}") for i in range(1, max_steps + 1)]),
+                lambda s: s.isNotNull(),
+            ).alias("__steps"),
+        )
+    )
+
+    def labelled(step: Column, i: Column) -> Column:
+        repeated = i >= k - 1
+        for back in range(1, k):
+            earlier = F.get("__steps", i - back)
+            for field in ("action_taken", "page_type"):
+                repeated = repeated & earlier[field].eqNullSafe(step[field])
+        return F.struct(_label(step, repeated).alias("label"), *[step[f].alias(f) for f in fields])
+
+    ends = F.filter(F.transform("__steps", labelled), lambda s: s["label"].isNotNull())
+    per_run = packed.select(
+        "run_id",
+        F.get(ends, F.lit(0)).alias("__end"),
+        F.get("__steps", F.size("__steps") - 1)["step"].alias("__last"),
     )
     outcome = F.coalesce(
-        "__outcome", F.when(F.col("__last") >= max_steps, "max_steps").otherwise("in_progress")
+        F.col("__end.label"),
+        F.when(F.col("__last") >= max_steps, "max_steps").otherwise("in_progress"),
     )
+    early = F.lit(None).cast("string")
     if runs is not None:
         per_run = runs.select("run_id", "navigate_ok", "fast_path_ok").join(
             per_run, "run_id", "left"
@@ -107,17 +135,13 @@ def classify_runs(
         early = F.when(~F.col("navigate_ok"), "navigate_failed").when(
             F.col("fast_path_ok"), "fast_path"
         )
-        outcome = F.coalesce(early, outcome)
-        per_run = per_run.withColumn("__early", early.isNotNull())
-    else:
-        per_run = per_run.withColumn("__early", F.lit(False))
-    from_steps = ~F.col("__early")
+    from_steps = early.isNull()
     return per_run.select(
         "run_id",
-        outcome.alias("outcome"),
-        F.when(from_steps, F.coalesce("end_step", "__last")).alias("end_step"),
-        F.when(from_steps, F.col("page_type")).alias("page_type"),
-        F.when(from_steps, F.col("action_taken")).alias("action_taken"),
+        F.coalesce(early, outcome).alias("outcome"),
+        F.when(from_steps, F.coalesce("__end.step", "__last")).alias("end_step"),
+        F.when(from_steps, F.col("__end.page_type")).alias("page_type"),
+        F.when(from_steps, F.col("__end.action_taken")).alias("action_taken"),
     )
 
 

@@ -88,44 +88,34 @@ def action_ranges(
     ).where(F.col("start") <= F.col("end"))
 
 
-def _near(frames, recordings, actions, before_ms, after_ms):
-    """Frames with ``near``, and one row per recording with the gate's inputs."""
+def _wanted(frames, recordings, actions, before_ms, after_ms, keep_ratio):
+    """(merged ranges near actions, one gate row per recording).
+
+    Frame numbers are positions, 0 to n - 1 without gaps, so the number of kept
+    frames follows from the ranges and the frames themselves are only counted.
+    """
     frame_counts = frames.groupBy("rec_id").agg(F.count(F.lit(1)).alias("n_frames"))
-    wanted = merge_ranges(
+    merged = merge_ranges(
         action_ranges(recordings, frame_counts, actions, before_ms, after_ms), ["rec_id"]
     )
-    # Merged ranges are cut at bucket borders and found by equality on the
-    # bucket. They do not overlap, so a frame meets one piece at most and a
-    # bucket holds no more pieces than half its frames.
-    first, last = F.col("start"), F.col("end")
-    pieces = (
-        wanted.withColumn(
-            "bucket",
-            F.explode(
-                F.sequence(
-                    F.floor(first / BUCKET).cast("bigint"), F.floor(last / BUCKET).cast("bigint")
-                )
-            ),
-        )
-        .select("rec_id", "bucket", "start", "end")
-    )
-    marked = frames.withColumn("bucket", F.floor(F.col("frame_idx") / BUCKET).cast("bigint")).alias("f")
-    p = pieces.alias("p")
-    hit = (
-        (F.col("f.rec_id") == F.col("p.rec_id"))
-        & (F.col("f.bucket") == F.col("p.bucket"))
-        & F.col("f.frame_idx").between(F.col("p.start"), F.col("p.end"))
-    )
-    return marked.join(p, hit, "left").select(
-        *[F.col(f"f.{c}") for c in frames.columns], F.col("p.start").isNotNull().alias("near")
+    near = merged.groupBy("rec_id").agg(
+        F.sum(F.col("end") - F.col("start") + 1).alias("n_near")
     )
-
-
-def _gate(near: DataFrame, keep_ratio: float) -> DataFrame:
-    counted = near.groupBy("rec_id").agg(
-        F.count(F.lit(1)).alias("n_frames"), F.count_if("near").alias("n_near")
+    acted = actions.select("rec_id").distinct().withColumn("__acted", F.lit(True))
+    gate = (
+        frame_counts.join(near, "rec_id", "left")
+        .join(acted, "rec_id", "left")
+        .select(
+            "rec_id",
+            "n_frames",
+            F.coalesce("n_near", F.lit(0)).alias("n_near"),
+            (
+                (F.coalesce("n_near", F.lit(0)) < F.col("n_frames") * F.lit(keep_ratio))
+                & F.coalesce("__acted", F.lit(False))
+            ).alias("trimmed"),
+        )
     )
-    return counted.withColumn("trimmed", F.col("n_near") < F.col("n_frames") * F.lit(keep_ratio))
+    return merged, gate
 
 
 def trim_summary(
@@ -140,14 +130,7 @@ def trim_summary(
 
     A recording without actions is never trimmed.
     """
-    near = _near(frames, recordings, actions, before_ms, after_ms)
-    acted = actions.select("rec_id").distinct().withColumn("__acted", F.lit(True))
-    return (
-        _gate(near, keep_ratio)
-        .join(acted, "rec_id", "left")
-        .withColumn("trimmed", F.col("trimmed") & F.coalesce("__acted", F.lit(False)))
-        .drop("__acted")
-    )
+    return _wanted(frames, recordings, actions, before_ms, after_ms, keep_ratio)[1]
 
 
 def trim_frames(
@@ -162,11 +145,30 @@ def trim_frames(
 
     Frames near an action stay. A recording keeps all its frames when fewer
     than one in five would go.
+
+    The ranges to keep are cut at bucket borders and meet the frames by equality
+    on (recording, bucket). They do not overlap, so a frame finds one piece at
+    most, and a bucket holds no more pieces than half its frames. A long
+    recording is spread over its buckets.
     """
-    near = _near(frames, recordings, actions, before_ms, after_ms)
-    gate = trim_summary(frames, recordings, actions, before_ms, after_ms, keep_ratio)
-    return (
-        near.join(gate.select("rec_id", "trimmed"), "rec_id")
-        .where(F.col("near") | ~F.col("trimmed"))
-        .drop("near")
+    merged, gate = _wanted(frames, recordings, actions, before_ms, after_ms, keep_ratio)
+    near = merged.join(gate.where("trimmed").select("rec_id"), "rec_id", "left_semi")
+    whole = gate.where(~F.col("trimmed")).select(
+        "rec_id", F.lit(0).cast("bigint").alias("start"), (F.col("n_frames") - 1).alias("end")
+    )
+    kept = near.withColumn("trimmed", F.lit(True)).unionByName(
+        whole.withColumn("trimmed", F.lit(False))
     )
+    buckets = F.sequence(_bucket("start"), _bucket("end"))
+    pieces = kept.withColumn("bucket", F.explode(buckets)).alias("p")
+    f = frames.withColumn("bucket", _bucket("frame_idx")).alias("f")
+    hit = (
+        (F.col("f.rec_id") == F.col("p.rec_id"))
+        & (F.col("f.bucket") == F.col("p.bucket"))
+        & F.col("f.frame_idx").between(F.col("p.start"), F.col("p.end"))
+    )
+    return f.join(pieces, hit).select(*[F.col(f"f.{c}") for c in frames.columns], "p.trimmed")
+
+
+def _bucket(frame: str) -> Column:
+    return F.floor(F.col(frame) / BUCKET).cast("bigint")
