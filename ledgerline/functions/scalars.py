@@ -206,7 +206,13 @@ def extract_json(text: Column | str) -> Column:
         F.regexp_extract(c, r"(?s)```\s*(.*?)\s*(?:```|\z)", 1),
         F.regexp_extract(c, r"(?s)\{.*\}", 0),
     ]
-    return F.coalesce(*[F.try_parse_json(candidate) for candidate in candidates])
+    # Text that cannot start a JSON value is not parsed: a failed parse is slow.
+    return F.coalesce(
+        *[
+            F.when(candidate.rlike(r'^\s*[\[{"\-0-9tfn]'), F.try_parse_json(candidate))
+            for candidate in candidates
+        ]
+    )
 
 
 # --- recipe steps ---

@@ -9,6 +9,9 @@ only, never the list of a key's events.
 
 from __future__ import annotations
 
+from datetime import datetime
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ from ledgerline.operators import ordered
 KEYS = ["domain", "action"]
 ORDER = ["ts", "id"]
 MAX_CONFIDENCE = 10
+# Marks the stored state among a key's events.
+START = "__start"
 
 
 RUN = [*KEYS, "run_id"]
@@ -54,32 +59,52 @@ def _is(outcome: str) -> Column:
     return F.col("outcome") == outcome
 
 
+def _seen(column: str, window) -> Column:
+    return F.max(column).over(ordered.before(window))
+
+
 def _total_before(window, column: str) -> Column:
     return F.coalesce(F.sum(column).over(ordered.before(window)), F.lit(0))
 
 
 def replay_confidence(
-    outcomes: DataFrame, base: DataFrame | None = None, chunk: Column | None = None
+    outcomes: DataFrame,
+    base: DataFrame | None = None,
+    chunk: Column | None = None,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """State after every event: confidence, tier, created, last_verified, last_failed.
 
     ``base`` holds stored recipes (domain, action, confidence, created,
     last_verified, last_failed) from before the first event. State columns are
-    NULL while the recipe does not exist.
+    NULL while the recipe does not exist. ``sized_by`` is a table with the same
+    keys that is cheaper to count than ``outcomes``, such as the unfiltered log.
     """
     stored = ["confidence", "created", "last_verified", "last_failed"]
-    side = None
+    held = [f"__b_{c}" for c in stored]
+    kinds = ["int", "timestamp", "timestamp", "timestamp"]
+    events = outcomes.withColumns({h: F.lit(None).cast(k) for h, k in zip(held, kinds)})
     if base is not None:
-        side = base.select(*KEYS, *[F.col(c).alias(f"__b_{c}") for c in stored])
+        # The stored state enters as one row before the first event of its key,
+        # so it needs no join with the events.
+        start = base.select(
+            *KEYS,
+            F.lit(START).alias("outcome"),
+            F.lit(datetime(1, 1, 2)).alias("ts"),
+            *[F.col(c).cast(k).alias(h) for c, h, k in zip(stored, held, kinds)],
+        )
+        events = events.unionByName(start, allowMissingColumns=True)
     w = ordered.so_far(KEYS, ORDER)
+    chunk = ordered.time_chunk("ts") if chunk is None else chunk
     step = (
-        outcomes.withColumn(ordered.CHUNK, ordered.time_chunk("ts") if chunk is None else chunk)
+        ordered.chunked(events, KEYS, chunk, outcomes if sized_by is None else sized_by)
         .withColumns(
             {
                 "__reset": _is("save") | _is("fast_fail"),
                 "__n_success": F.count(F.when(_is("success"), 1)).over(w),
                 "__n_save": F.count(F.when(_is("save"), 1)).over(w),
                 "__verified": F.max(F.when(_is("save") | _is("success"), F.col("ts"))).over(w),
+                **{h: F.max(h).over(w) for h in held},
             }
         )
         # The counts never fall, so the highest count seen at a reset is the
@@ -100,6 +125,7 @@ def replay_confidence(
             "__s_reset": F.max("__at_reset"),
             "__s_delete": F.max("__at_delete"),
             "__s_verified": F.max("__verified"),
+            **{f"__s{h}": F.max(h) for h in held},
         },
         {
             "__o_success": lambda o: F.sum("__s_success").over(ordered.before(o)),
@@ -107,18 +133,13 @@ def replay_confidence(
             "__o_verified": lambda o: F.max("__s_verified").over(ordered.before(o)),
             "__o_reset": lambda o: F.max("__g_reset").over(ordered.before(o)),
             "__o_delete": lambda o: F.max("__g_delete").over(ordered.before(o)),
+            **{f"__o{h}": partial(_seen, f"__s{h}") for h in held},
         },
         {
             "__g_reset": lambda o: F.col("__s_reset") + _total_before(o, "__s_success"),
             "__g_delete": lambda o: F.col("__s_delete") + _total_before(o, "__s_save"),
         },
-        side,
     )
-    if base is None:
-        kinds = {"confidence": "int"}
-        step = step.withColumns(
-            {f"__b_{c}": F.lit(None).cast(kinds.get(c, "timestamp")) for c in stored}
-        )
     zero = F.lit(0).cast("bigint")
     off_success = F.coalesce("__o_success", zero)
     off_save = F.coalesce("__o_save", zero)
@@ -129,6 +150,7 @@ def replay_confidence(
             "__at_reset": F.coalesce(F.col("__at_reset") + off_success, F.col("__o_reset")),
             "__at_delete": F.coalesce(F.col("__at_delete") + off_save, F.col("__o_delete")),
             "__verified": F.greatest("__verified", "__o_verified"),
+            **{h: F.coalesce(h, f"__o{h}") for h in held},
         }
     )
     # Saves since the latest delete; the base row counts until the first delete.
@@ -183,7 +205,7 @@ def replay_confidence(
             ),
         }
     ).withColumn("tier", F.when(exists, X.confidence_tier("confidence")))
-    return result.select(
+    return result.where(~_is(START)).select(
         *outcomes.columns, "confidence", "tier", "created", "last_verified", "last_failed"
     )
 

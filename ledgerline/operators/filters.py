@@ -101,15 +101,15 @@ def entries_for(entries: DataFrame, personas: DataFrame, namespace: str) -> Data
     one row with ``fallback`` true and no entry: it sees the whole entry list,
     which is not repeated per persona.
     """
-    parts = F.split("entry", "/")
-    depths = F.sequence(F.lit(1), F.size(parts) - 1)
+    slashes = F.length("entry") - F.length(F.replace(F.col("entry"), F.lit("/"), F.lit("")))
+    first = namespace.count("/") + 2
     prefixes = F.transform(
-        F.filter(depths, lambda i: i >= 1),
-        lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")),
+        F.sequence(F.lit(first), slashes),
+        lambda i: F.concat(F.call_function("substring_index", F.col("entry"), F.lit("/"), i), F.lit("/")),
     )
     keyed = (
         entries.where(F.col("entry").startswith(f"{namespace}/"))
-        .where(F.size(parts) > 1)
+        .where(slashes >= first)
         .select("entry", F.explode(prefixes).alias("prefix"))
     )
     wanted = personas.select(

@@ -9,6 +9,11 @@ in chunk order and joined back on (key, chunk). Both the big window and the
 join are spread over chunks, and the summary is pre-aggregated before its
 shuffle.
 
+Only busy keys are cut. Row counts are taken per hash slot of the key, a fixed
+number of slots, and a key is cut when its slot holds many rows; the rows of
+any other key form one chunk, which costs no more than a plain window: summaries
+are made for cut keys only.
+
 The chunk must grow with the order columns: rows of an earlier chunk sort
 before rows of a later one. Key columns must not be NULL (the tables declare
 them so): the join back uses plain equality, which keeps the partitioning of
@@ -25,6 +30,9 @@ from pyspark.sql import functions as F
 
 CHUNK = "__chunk"
 HOUR = 3_600
+SLOTS = 16_384
+# Keys in slots with more rows than this are cut; 0 cuts every key.
+HOT_ROWS = 1_000_000
 
 
 def time_chunk(ts: Column | str, seconds: int = HOUR) -> Column:
@@ -39,6 +47,42 @@ def range_chunk(position: Column | str, size: int = 4_096) -> Column:
     return c - F.pmod(c, F.lit(size))
 
 
+def chunked(
+    df: DataFrame, keys: Sequence[str], chunk: Column, sized_by: DataFrame | None = None
+) -> DataFrame:
+    """Add the chunk column (NULL for keys that stay whole) and spread rows by (key, chunk).
+
+    The repartition is explicit: if the input were already partitioned by the
+    bare key, windows over (key, chunk) would accept that and leave a busy key
+    in one task. ``sized_by`` is a cheaper table to count keys on than ``df``.
+    """
+    cut = chunk
+    if HOT_ROWS > 0 and keys:
+        slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS))
+        cut = F.when(F.get(_busy_slots(sized_by or df, slot), slot.cast("int")), chunk)
+    return df.withColumn(CHUNK, cut).repartition(*keys, CHUNK)
+
+
+def _busy_slots(df: DataFrame, slot: Column) -> Column:
+    """One flag per hash slot, as a value of fixed size that is read by position.
+
+    A slot is busy above HOT_ROWS, or above four times the average slot once the
+    table is so large that average slots are. Keys that share a busy slot are
+    cut without need, which changes no result.
+    """
+    counted = df.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = counted.agg(
+        F.collect_list(F.struct("slot", "n")).alias("sizes"), F.sum("n").alias("total")
+    )
+    limit = F.greatest(F.lit(HOT_ROWS).cast("double"), F.col("total") * (4 / SLOTS))
+    busy = F.transform(F.filter("sizes", lambda s: s["n"] > limit), lambda s: s["slot"])
+    flags = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.lit(SLOTS - 1).cast("bigint")),
+        lambda i: F.array_contains(F.col("busy"), i),
+    )
+    return sizes.select(busy.alias("busy")).where(F.size("busy") > 0).select(flags).scalar()
+
+
 def chunk_window(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*keys, CHUNK).orderBy(*order)
 
@@ -54,31 +98,28 @@ def carry(
     summary: dict[str, Column],
     carried: dict[str, Callable[[WindowSpec], Column]],
     derived: dict[str, Callable[[WindowSpec], Column]] | None = None,
-    side: DataFrame | None = None,
 ) -> DataFrame:
     """Add columns computed over all earlier chunks of the same key.
 
     ``summary`` are aggregates per chunk; each function in ``carried`` gets the
     window of chunk summaries (ordered, no frame) and returns one column. Rows
-    of a key's first chunk get what the function yields on an empty frame.
+    of a key's first chunk get what the function yields on an empty frame, and
+    rows of a key that is not cut get NULL.
     ``derived`` are extra summary columns made from a scan of the summaries,
-    for ``carried`` functions that need a scan of a scan. ``side`` has one row
-    per key; its other columns are added to every row of the key by way of the
-    summaries, which spares a join of all rows on the bare key.
+    for ``carried`` functions that need a scan of a scan.
     """
-    per_chunk = df.groupBy(*keys, CHUNK).agg(*[c.alias(name) for name, c in summary.items()])
+    per_chunk = (
+        df.where(F.col(CHUNK).isNotNull())
+        .groupBy(*keys, CHUNK)
+        .agg(*[c.alias(name) for name, c in summary.items()])
+    )
     ordered = Window.partitionBy(*keys).orderBy(CHUNK)
     for name, make in (derived or {}).items():
         per_chunk = per_chunk.withColumn(name, make(ordered))
-    extra: list[str] = []
-    if side is not None:
-        extra = [c for c in side.columns if c not in keys]
-        per_chunk = per_chunk.join(side, [*keys], "left")
     names = [*keys, CHUNK]
     offsets = per_chunk.select(
         *[F.col(k).alias(f"__of_{k}") for k in names],
         *[make(ordered).alias(name) for name, make in carried.items()],
-        *extra,
     )
     same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__of_{k}") for k in names])
     return df.join(offsets, same, "left").drop(*[f"__of_{k}" for k in names])
@@ -93,7 +134,7 @@ def ordinal(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, name: str
 ) -> DataFrame:
     """Position 1..n of each row within its key."""
-    local = df.withColumn(CHUNK, chunk).withColumn(
+    local = chunked(df, keys, chunk).withColumn(
         name, F.row_number().over(chunk_window(keys, order)).cast("bigint")
     )
     placed = carry(
@@ -123,7 +164,7 @@ def previous_rows(
     """
     w = chunk_window(keys, order)
     local = (
-        df.withColumn(CHUNK, chunk)
+        chunked(df, keys, chunk)
         .withColumn(name, F.collect_list(F.struct(*cols)).over(w.rowsBetween(-n, -1)))
         .withColumn("__is_tail", F.lead(F.lit(True), n).over(w).isNull())
     )

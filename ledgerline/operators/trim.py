@@ -28,7 +28,8 @@ def merge_ranges(
     order = [start, end]
     distinct = ranges.select(*keys, start, end).distinct()
     w = ordered.chunk_window(keys, order)
-    local = distinct.withColumn(ordered.CHUNK, ordered.range_chunk(start, chunk_size)).withColumn(
+    cut = ordered.range_chunk(start, chunk_size)
+    local = ordered.chunked(distinct, keys, cut, sized_by=ranges).withColumn(
         "__reach", F.max(end).over(ordered.before(w))
     )
     local = ordered.carry(

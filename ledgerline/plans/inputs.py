@@ -401,8 +401,12 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     idx = F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(
         F.array().cast("array<bigint>")
     )
+    # A fixed number of partitions: the few recordings would otherwise be merged
+    # into one task just before they grow into their frames.
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (
         recordings(spark, sf_dir)
+        .repartition(spread, "rec_id")
         .select("rec_id", F.explode(idx).alias("frame_idx"))
         .withColumn("file", F.format_string("frame-%06d.png", "frame_idx"))
     )

@@ -59,8 +59,9 @@ def _shown(df, *keys):
 
 
 def _trace(spark, d):
+    log = I.flow_outcomes(spark, d)
     return confidence.replay_confidence(
-        confidence.effective_outcomes(I.flow_outcomes(spark, d)), I.stored_flows(spark, d)
+        confidence.effective_outcomes(log), I.stored_flows(spark, d), sized_by=log
     )
 
 

@@ -115,7 +115,7 @@ def live_confidence(outcomes: DataFrame, path: str, once: bool = False) -> Strea
         keys = batch.select(*confidence.KEYS).distinct()
         stored = _newest_epoch(states.before(epoch), confidence.KEYS)
         base = stored.join(keys, confidence.KEYS, "left_semi").where("confidence IS NOT NULL")
-        trace = confidence.replay_confidence(events, base)
+        trace = confidence.replay_confidence(events, base, sized_by=batch)
         # A NULL state marks a recipe that was deleted.
         states.advance(
             confidence.last_states(trace), epoch, lambda rows: _newest_epoch(rows, confidence.KEYS)

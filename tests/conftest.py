@@ -24,3 +24,11 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture
+def cut_all(monkeypatch):
+    """Cut every key into chunks, however few rows it has."""
+    from ledgerline.operators import ordered
+
+    monkeypatch.setattr(ordered, "HOT_ROWS", 0)

@@ -73,7 +73,7 @@ def test_run_classes_need_one_shuffle_and_no_window(spark):
     assert plan.count("Exchange hash") == 1 and "Window" not in plan and "partial_max" in plan
 
 
-def test_chunk_carry_keeps_the_window_partitioning(spark):
+def test_chunk_carry_keeps_the_window_partitioning(spark, cut_all):
     """The rows themselves move once, by (key, chunk)."""
     df = actions(spark).repartition(3)
     plan = plan_of(ordered.ordinal(df, ["persona"], ["ts", "id"], ordered.time_chunk("ts"), "n"))
@@ -84,6 +84,13 @@ def test_chunk_carry_keeps_the_window_partitioning(spark):
     assert left.index("Window") < left.index("Exchange")
 
 
+def test_key_sizes_are_one_value_of_fixed_size(spark):
+    df = ordered.ordinal(actions(spark), ["persona"], ["ts", "id"], ordered.time_chunk("ts"), "n")
+    plan = plan_of(df)
+    assert "scalar-subquery" in plan and "partial_count" in plan
+    assert re.search(r"REPARTITION_BY_COL", plan)
+
+
 def test_match_is_by_equality(spark):
     urls = spark.createDataFrame([(1, "a.com")], "page_id bigint, url string")
     flows = spark.createDataFrame([("a.com", "x")], "domain string, action string")

@@ -50,7 +50,7 @@ def outcome(listed, max_steps):
 
 
 @pytest.mark.parametrize("chunk", [2, 3, 7, 4_096])
-def test_stuck_points_equal_scan(spark, chunk):
+def test_stuck_points_equal_scan(spark, cut_all, chunk):
     rng = random.Random(chunk)
     per_run = {
         run: [(run, s, rng.choice("ab"), rng.choice("xy"), "api", 0.9)
@@ -109,7 +109,7 @@ def test_run_starts_decide_first(spark):
 
 
 @pytest.mark.parametrize("chunk", [1, 2, 5, 100])
-def test_history_crosses_chunks_and_gaps(spark, chunk):
+def test_history_crosses_chunks_and_gaps(spark, cut_all, chunk):
     steps = make(spark, [(1, s, "go", "p", "api", 0.5) for s in (1, 2, 5, 9, 40)])
     got = {r.step: r.history.split("\n") for r in runs.with_history(steps, chunk_size=chunk).collect()}
     assert got[1] == [""]

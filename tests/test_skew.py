@@ -11,6 +11,12 @@ from tests.helpers import rows
 N = 60_000
 
 
+@pytest.fixture(autouse=True)
+def small_limit(monkeypatch):
+    """Only the hot key passes the limit: the others have about 40 rows."""
+    monkeypatch.setattr(ordered, "HOT_ROWS", 1_000)
+
+
 @pytest.fixture(scope="module")
 def hot(spark):
     """A log of N rows in which 'hot' owns every third row, one row per minute."""
@@ -28,9 +34,21 @@ def largest_group(df, *keys):
 
 
 def test_chunks_split_the_hot_key(hot):
-    chunked = hot.withColumn(ordered.CHUNK, ordered.time_chunk("ts"))
+    chunked = ordered.chunked(hot, ["persona"], ordered.time_chunk("ts"))
     assert largest_group(hot, "persona") == N // 3
     assert largest_group(chunked, "persona", ordered.CHUNK) <= 60
+    cut = chunked.where(F.col(ordered.CHUNK).isNotNull()).select("persona").distinct()
+    assert rows(cut) == ["hot"]
+
+
+def test_a_table_partitioned_by_the_key_is_still_spread(spark, hot):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        chunked = ordered.chunked(hot.repartition(8, "persona"), ["persona"], ordered.time_chunk("ts"))
+        per_task = chunked.where("persona = 'hot'").groupBy(F.spark_partition_id().alias("p")).count()
+        assert per_task.agg(F.max("count")).first()[0] < N // 3 * 0.6
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
 def test_ordinal_and_recent(hot):

@@ -11,7 +11,7 @@ from tests.helpers import rows
 
 
 @pytest.mark.parametrize("chunk", [1, 3, 16, 4_096])
-def test_merge_ranges_equals_sets(spark, chunk):
+def test_merge_ranges_equals_sets(spark, cut_all, chunk):
     rng = random.Random(chunk)
     data = []
     for key in range(30):
