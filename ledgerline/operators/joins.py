@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as X
@@ -28,12 +28,14 @@ def persona_summary(personas: DataFrame, accounts: DataFrame) -> DataFrame:
     return personas.join(per, "name", "left").fillna(0, ["account_count"])
 
 
+def is_mail() -> Column:
+    """Active mailbox accounts."""
+    return F.lower("service").isin(*MAIL_SERVICES) & (F.col("status") == "active")
+
+
 def primary_email(accounts: DataFrame) -> DataFrame:
     """Email of the first active mail account per persona."""
-    mail = accounts.where(
-        F.lower("service").isin(*MAIL_SERVICES) & (F.col("status") == "active")
-    )
-    return mail.groupBy("persona").agg(
+    return accounts.where(is_mail()).groupBy("persona").agg(
         F.min(F.struct("created_at", "id", "email")).getField("email").alias("primary_email")
     )
 

@@ -32,27 +32,48 @@ def _or_empty(name: str) -> Column:
 def emit(
     df: DataFrame,
     keys: Sequence[str],
-    section: int,
-    lines: Sequence[Column | str],
+    sections: dict[int, Sequence[Column | str]],
     at: str | Column | None = None,
     by: str | Column | None = None,
     seq: str | Column | None = None,
 ) -> DataFrame:
-    """Each input row gives the listed lines in order; NULL lines are left out."""
+    """Each input row gives the listed lines of each section; NULL lines are left out."""
 
     def column(value, kind):
         value = F.lit(None) if value is None else X.as_column(value)
         return value.cast(kind)
 
-    texts = F.array(*[F.lit(x) if isinstance(x, str) else x for x in lines])
-    return df.select(
-        *keys,
-        F.lit(section).alias("section"),
-        column(at, "timestamp").alias("at"),
-        column(by, "string").alias("by"),
-        column(seq, "bigint").alias("seq"),
-        F.posexplode(texts).alias("sub", "line"),
-    ).where(F.col("line").isNotNull())
+    listed = [
+        F.struct(
+            F.lit(section).alias("section"),
+            F.lit(sub).alias("sub"),
+            (F.lit(line) if isinstance(line, str) else line).alias("line"),
+        )
+        for section, lines in sections.items()
+        for sub, line in enumerate(lines)
+    ]
+    return (
+        df.select(
+            *keys,
+            column(at, "timestamp").alias("at"),
+            column(by, "string").alias("by"),
+            column(seq, "bigint").alias("seq"),
+            F.inline(F.array(*listed)),
+        )
+        .where(F.col("line").isNotNull())
+        .select(*keys, *ORDER, "line")
+    )
+
+
+def _if(condition: Column, *lines: Column | str) -> list[Column]:
+    """Lines that appear only under a condition."""
+    return [F.when(condition, F.lit(x) if isinstance(x, str) else x) for x in lines]
+
+
+def _with_counts(people: DataFrame, rows: DataFrame, **counts: Column) -> DataFrame:
+    """Add per-persona aggregates of a child table; rows without any give NULL."""
+    per = rows.groupBy("persona").agg(*[c.alias(name) for name, c in counts.items()])
+    return people.join(per, "persona", "left")
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -79,18 +100,11 @@ def _named(personas: DataFrame) -> DataFrame:
     return personas.withColumnRenamed("name", "persona")
 
 
-def _having(keys: DataFrame, rows: DataFrame, on: str = "persona") -> DataFrame:
-    return keys.join(rows.select(on).distinct(), on, "left_semi")
-
-
-def _lacking(keys: DataFrame, rows: DataFrame, on: str = "persona") -> DataFrame:
-    return keys.join(rows.select(on).distinct(), on, "left_anti")
-
-
 def not_found(requests: DataFrame, personas: DataFrame) -> DataFrame:
     """Message line for each requested persona that does not exist."""
-    gone = _lacking(requests, _named(personas))
-    return emit(gone, ["persona"], 0, [_text("Persona '", F.col("persona"), "' not found.")])
+    known = personas.select(F.col("name").alias("persona")).distinct()
+    gone = requests.join(known, "persona", "left_anti")
+    return emit(gone, ["persona"], {0: [_text("Persona '", F.col("persona"), "' not found.")]})
 
 
 # --- timeline, brief, state ---
@@ -101,47 +115,49 @@ def timeline(personas: DataFrame, milestones: DataFrame, tag: str | None = None)
     rows = milestones if tag is None else filters.with_tag(milestones, tag)
     rows = rows.join(people.select("persona"), "persona", "left_semi")
     described = F.when(X.blank("description"), "").otherwise(_text(" — ", F.col("description")))
+    people = _with_counts(people, rows, n=F.count(F.lit(1)))
+    some = F.col("n").isNotNull()
     heads = emit(
-        _having(people, rows),
+        people,
         ["persona"],
-        0,
-        [_text("# ", F.col("persona"), described, " — Timeline"), ""],
-    )
-    none = emit(
-        _lacking(people, rows),
-        ["persona"],
-        0,
-        [_text("No milestones recorded for '", F.col("persona"), "'.")],
+        {
+            0: [
+                F.when(some, _text("# ", F.col("persona"), described, " — Timeline")).otherwise(
+                    _text("No milestones recorded for '", F.col("persona"), "'.")
+                ),
+                *_if(some, ""),
+            ]
+        },
     )
     # One heading per date, placed before the first moment of that date.
     dates = rows.groupBy("persona", F.to_date("ts").alias("date")).agg(F.lit(-1).alias("seq"))
     headings = emit(
         dates,
         ["persona"],
-        1,
-        [_text("## ", F.date_format("date", "yyyy-MM-dd")), ""],
+        {1: [_text("## ", F.date_format("date", "yyyy-MM-dd")), ""]},
         at="date",
         seq="seq",
     )
     entries = emit(
         rows,
         ["persona"],
-        1,
-        [
-            _text("### ", F.date_format("ts", "HH:mm"), " — ", F.col("event")),
-            F.when(F.size("tags") > 0, _text("Tags: ", X.render_tags("tags", "code"))),
-            X.labelled("URL: ", F.col("url")),
-            X.labelled("\n", F.col("detail")),
-            F.when(
-                ~X.blank("screenshot_path"),
-                _text("\n![", F.col("event"), "](", F.col("screenshot_path"), ")"),
-            ),
-            "",
-        ],
+        {
+            1: [
+                _text("### ", F.date_format("ts", "HH:mm"), " — ", F.col("event")),
+                F.when(F.size("tags") > 0, _text("Tags: ", X.render_tags("tags", "code"))),
+                X.labelled("URL: ", F.col("url")),
+                X.labelled("\n", F.col("detail")),
+                F.when(
+                    ~X.blank("screenshot_path"),
+                    _text("\n![", F.col("event"), "](", F.col("screenshot_path"), ")"),
+                ),
+                "",
+            ]
+        },
         at="ts",
         seq="id",
     )
-    return _union([heads, none, headings, entries])
+    return _union([heads, headings, entries])
 
 
 def _status_mark(prefix: str, suffix: str) -> Column:
@@ -156,119 +172,57 @@ def brief(personas: DataFrame, accounts: DataFrame, milestones: DataFrame) -> Da
     known = people.select("persona")
     accounts = accounts.join(known, "persona", "left_semi")
     milestones = milestones.join(known, "persona", "left_semi")
-    posts = log.newest(
-        milestones.where(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in POST_TAGS]))),
-        key,
-        ["ts", "id"],
-        3,
-    )
     notes = F.when(X.blank("notes"), "").otherwise(_text(" — ", F.col("notes")))
-    voice = emit(
-        people.where(~X.blank("profile")),
-        key,
-        1,
-        ["## Voice & Writing Style", "", F.col("profile"), ""],
+    is_post = F.arrays_overlap("tags", F.array(*[F.lit(t) for t in POST_TAGS]))
+    people = _with_counts(
+        people,
+        accounts,
+        n_accounts=F.count(F.lit(1)),
+        mail=F.min(F.when(joins.is_mail(), F.struct("created_at", "id", "email"))),
+    )
+    people = _with_counts(
+        people, milestones, n_milestones=F.count(F.lit(1)), n_posts=F.count_if(is_post)
     )
-    parts = [
-        emit(people, key, 0, [_text("# ", F.col("persona"), " — Persona Brief"), ""]),
-        voice,
-        emit(
-            people,
-            key,
-            2,
-            [
+    has_accounts = F.col("n_accounts").isNotNull()
+    has_milestones = F.col("n_milestones").isNotNull()
+    has_posts = F.col("n_posts") > 0
+    has_profile = ~X.blank("profile")
+    knows = ~X.blank("context_summary")
+    mail = F.col("mail.email")
+    fixed = emit(
+        people,
+        key,
+        {
+            0: [_text("# ", F.col("persona"), " — Persona Brief"), ""],
+            1: _if(has_profile, "## Voice & Writing Style", "", F.col("profile"), ""),
+            2: [
                 X.labelled("**Who I am:** ", F.col("description")),
                 X.labelled("**Purpose:** ", F.col("purpose")),
                 _text("**Location:** ", F.col("locale"), " / ", F.col("timezone")),
                 "",
             ],
-        ),
-        emit(_having(known, accounts), key, 3, ["## My Accounts", ""]),
-        emit(
-            accounts,
-            key,
-            4,
-            [
-                _text(
-                    "- **",
-                    F.col("service"),
-                    "**: ",
-                    F.col("email"),
-                    _status_mark(" ⚠️ ", ""),
-                    notes,
-                )
-            ],
-            at="created_at",
-            seq="id",
-        ),
-        emit(_having(known, accounts), key, 5, [""]),
-        emit(
-            joins.primary_email(accounts),
-            key,
-            6,
-            [
+            3: _if(has_accounts, "## My Accounts", ""),
+            5: _if(has_accounts, ""),
+            6: _if(
+                mail.isNotNull(),
                 _text(
                     "**⚡ My primary email: `",
-                    F.col("primary_email"),
+                    mail,
                     "`** — use this when signing up for new services.",
                 ),
                 "",
-            ],
-        ),
-        emit(_having(known, milestones), key, 7, ["## What I've Done", ""]),
-        emit(
-            milestones,
-            key,
-            8,
-            [
-                _text(
-                    "- **",
-                    F.date_format("ts", "yyyy-MM-dd"),
-                    "** — ",
-                    F.col("event"),
-                    X.render_tags("tags"),
-                ),
-                F.when(~X.blank("detail"), _text("  ", X.first_line("detail", 200))),
-            ],
-            at="ts",
-            seq="id",
-        ),
-        emit(_having(known, milestones), key, 9, [""]),
-        emit(
-            _having(known, posts),
-            key,
-            10,
-            [
+            ),
+            7: _if(has_milestones, "## What I've Done", ""),
+            9: _if(has_milestones, ""),
+            10: _if(
+                has_posts,
                 "## My Writing Style",
                 "",
                 "Here are things I've written before — match this tone and style:",
                 "",
-            ],
-        ),
-        # Blank details are skipped after the last three posts are taken.
-        emit(
-            posts.where(~X.blank("detail")),
-            key,
-            11,
-            [
-                _text("**", F.col("event"), ":**"),
-                _text("> ", X.preview("detail", 500)),
-                "",
-            ],
-            at="ts",
-            seq="id",
-        ),
-        emit(
-            people.where(~X.blank("context_summary")),
-            key,
-            12,
-            ["## What I Know", "", F.col("context_summary"), ""],
-        ),
-        emit(
-            people,
-            key,
-            13,
-            [
+            ),
+            12: _if(knows, "## What I Know", "", F.col("context_summary"), ""),
+            13: [
                 "## Rules",
                 "",
                 "- Always use my primary email when signing up for new services",
@@ -276,9 +230,26 @@ def brief(personas: DataFrame, accounts: DataFrame, milestones: DataFrame) -> Da
                 "- Record milestones for significant actions",
                 "- Check my account list before creating duplicate accounts",
             ],
-        ),
-    ]
-    return _union(parts)
+        },
+    )
+    account_line = _text(
+        "- **", F.col("service"), "**: ", F.col("email"), _status_mark(" ⚠️ ", ""), notes
+    )
+    done = _text(
+        "- **", F.date_format("ts", "yyyy-MM-dd"), "** — ", F.col("event"), X.render_tags("tags")
+    )
+    detail = F.when(~X.blank("detail"), _text("  ", X.first_line("detail", 200)))
+    # Blank details are skipped after the last three posts are taken.
+    posts = log.newest(milestones.where(is_post), key, ["ts", "id"], 3).where(~X.blank("detail"))
+    quoted = [_text("**", F.col("event"), ":**"), _text("> ", X.preview("detail", 500)), ""]
+    return _union(
+        [
+            fixed,
+            emit(accounts, key, {4: [account_line]}, at="created_at", seq="id"),
+            emit(milestones, key, {8: [done, detail]}, at="ts", seq="id"),
+            emit(posts, key, {11: quoted}, at="ts", seq="id"),
+        ]
+    )
 
 
 def state(
@@ -302,64 +273,40 @@ def state(
         F.when(F.col("last_used_at").isNotNull(), _text("last_used: ", X.format_ts("last_used_at"))),
     ]
     creds = F.when(X.blank("creds_ref"), "").otherwise(_text(" creds=", F.col("creds_ref")))
-    per = log.counts(milestones, "persona")
+    for name, rows in (("accounts", accounts), ("milestones", milestones), ("actions", actions)):
+        people = _with_counts(people, rows, **{f"n_{name}": F.count(F.lit(1))})
+    n_milestones = F.col("n_milestones")
+    fixed = emit(
+        people,
+        key,
+        {
+            0: fields,
+            1: _if(F.col("n_accounts").isNotNull(), "", "accounts:"),
+            3: _if(
+                n_milestones.isNotNull(),
+                "",
+                _text("milestones: ", n_milestones.cast("string"), " recorded"),
+            ),
+            5: _if(F.col("n_actions").isNotNull(), "", "recent_actions:"),
+        },
+    )
+    account_line = _text(
+        "  - ", F.col("service"), ": ", F.col("email"), creds, _status_mark(" (", ")")
+    )
+    milestone_line = _text(
+        "  - ", X.format_ts("ts"), " — ", F.col("event"), X.render_tags("tags")
+    )
+    action_line = _text(
+        "  - ", X.format_ts("ts"), " — ", F.col("action"), ": ", _or_empty("detail")
+    )
+    last5 = log.newest(milestones, key, ["ts", "id"], 5)
+    last10 = log.newest(actions, key, ["ts", "id"], 10)
     return _union(
         [
-            emit(people, key, 0, fields),
-            emit(_having(known, accounts), key, 1, ["", "accounts:"]),
-            emit(
-                accounts,
-                key,
-                2,
-                [
-                    _text(
-                        "  - ",
-                        F.col("service"),
-                        ": ",
-                        F.col("email"),
-                        creds,
-                        _status_mark(" (", ")"),
-                    )
-                ],
-                at="created_at",
-                seq="id",
-            ),
-            emit(
-                per,
-                key,
-                3,
-                ["", _text("milestones: ", F.col("n").cast("string"), " recorded")],
-            ),
-            emit(
-                log.newest(milestones, key, ["ts", "id"], 5),
-                key,
-                4,
-                [
-                    _text(
-                        "  - ", X.format_ts("ts"), " — ", F.col("event"), X.render_tags("tags")
-                    )
-                ],
-                at="ts",
-                seq="id",
-            ),
-            emit(_having(known, actions), key, 5, ["", "recent_actions:"]),
-            emit(
-                log.newest(actions, key, ["ts", "id"], 10),
-                key,
-                6,
-                [
-                    _text(
-                        "  - ",
-                        X.format_ts("ts"),
-                        " — ",
-                        F.col("action"),
-                        ": ",
-                        _or_empty("detail"),
-                    )
-                ],
-                at="ts",
-                seq="id",
-            ),
+            fixed,
+            emit(accounts, key, {2: [account_line]}, at="created_at", seq="id"),
+            emit(last5, key, {4: [milestone_line]}, at="ts", seq="id"),
+            emit(last10, key, {6: [action_line]}, at="ts", seq="id"),
         ]
     )
 
@@ -392,8 +339,7 @@ def audit_log(actions: DataFrame, n: int = 20) -> DataFrame:
     return emit(
         log.newest(actions, ["persona"], ["ts", "id"], n),
         ["persona"],
-        0,
-        [_text(X.format_ts("ts"), " — ", F.col("action"), ": ", _or_empty("detail"))],
+        {0: [_text(X.format_ts("ts"), " — ", F.col("action"), ": ", _or_empty("detail"))]},
         at="ts",
         seq="id",
     )
@@ -444,9 +390,8 @@ def flow_list(flows: DataFrame, compact: bool = False) -> DataFrame:
         )
     return _union(
         [
-            emit(domains, ["domain"], 0, [head]),
-            emit(flows, ["domain"], 1, [line], by="action"),
-            emit(domains, ["domain"], 2, [""]),
+            emit(domains, ["domain"], {0: [head], 2: [""]}),
+            emit(flows, ["domain"], {1: [line]}, by="action"),
         ]
     )
 
@@ -469,8 +414,8 @@ def flow_domains(flows: DataFrame) -> DataFrame:
     ]
     return _union(
         [
-            emit(domains, ["domain"], 0, [_text("## ", F.col("domain"), " flows"), ""]),
-            emit(flows, ["domain"], 1, lines, by="action"),
+            emit(domains, ["domain"], {0: [_text("## ", F.col("domain"), " flows"), ""]}),
+            emit(flows, ["domain"], {1: lines}, by="action"),
         ]
     )
 
@@ -522,7 +467,7 @@ def flow_details(flows: DataFrame, compact: bool = False) -> DataFrame:
             F.when(has_steps, F.lit("Steps:")),
             _steps("detail"),
         ]
-    return emit(flows, keys, 0, lines)
+    return emit(flows, keys, {0: lines})
 
 
 def recipe_context(matches: DataFrame, flows: DataFrame) -> DataFrame:
@@ -553,8 +498,8 @@ def recipe_context(matches: DataFrame, flows: DataFrame) -> DataFrame:
     title = ["## Stored Flow Recipes for this domain", ""]
     return _union(
         [
-            emit(heads, keys, 0, title),
-            emit(listed, keys, 1, lines, by=_text(F.col("domain"), "\t", F.col("action"))),
+            emit(heads, keys, {0: title}),
+            emit(listed, keys, {1: lines}, by=_text(F.col("domain"), "\t", F.col("action"))),
         ]
     )
 
@@ -578,7 +523,7 @@ def account_list(accounts: DataFrame) -> DataFrame:
         creds,
         ")",
     )
-    return emit(shown, ["persona"], 0, [line], at="created_at", seq="id")
+    return emit(shown, ["persona"], {0: [line]}, at="created_at", seq="id")
 
 
 def milestone_list(milestones: DataFrame) -> DataFrame:
@@ -596,7 +541,7 @@ def milestone_list(milestones: DataFrame) -> DataFrame:
         ),
         F.when(~X.blank("detail"), _text("    ", X.preview("detail", 100, "if_cut"))),
     ]
-    return emit(milestones, ["persona"], 0, lines, at="ts", seq="id")
+    return emit(milestones, ["persona"], {0: lines}, at="ts", seq="id")
 
 
 def _entry(text: Column, mark: Column | str = "", with_source: bool = True) -> Column:
@@ -610,7 +555,7 @@ def context_list(context: DataFrame) -> DataFrame:
     """Live knowledge entries; a tick marks digested ones."""
     mark = F.when(F.col("digested_at").isNotNull(), " ✓").otherwise(" •")
     line = _entry(X.preview("summary", 120), mark)
-    return emit(filters.live(context), ["persona"], 0, [line], at="created_at", seq="id")
+    return emit(filters.live(context), ["persona"], {0: [line]}, at="created_at", seq="id")
 
 
 def digest_worksheet(personas: DataFrame, context: DataFrame) -> DataFrame:
@@ -620,36 +565,39 @@ def digest_worksheet(personas: DataFrame, context: DataFrame) -> DataFrame:
     pending = changes.digest_classes(context).join(
         people.select("persona"), "persona", "left_semi"
     )
-    per = log.counts(pending, "persona", "digest_class")
-    summary = people.where(~X.blank("context_summary"))
-    parts = [
-        emit(summary, key, 0, ["## Current Summary", F.col("context_summary"), ""]),
-        emit(
-            _lacking(people.where(X.blank("context_summary")), pending),
-            key,
-            0,
-            [_text("No context to digest for '", F.col("persona"), "'. Add entries first.")],
-        ),
-    ]
-    with_tags = _entry(F.col("summary"), with_source=False)
-    bare = _text("[", F.col("id").cast("string"), "] ", F.col("summary"))
+    blocks = ("new", "updated", "deleted")
+    counts = {f"n_{b}": F.count_if(F.col("digest_class") == b) for b in blocks}
+    people = _with_counts(people, pending, **counts)
+    summarised = ~X.blank("context_summary")
+    shown = summarised | F.col("n_new").isNotNull()
+    nothing = _text("No context to digest for '", F.col("persona"), "'. Add entries first.")
+    sections = {
+        0: [
+            F.when(summarised, F.lit("## Current Summary")).when(~shown, nothing),
+            *_if(summarised, F.col("context_summary"), ""),
+        ],
+        10: _if(shown, "---"),
+    }
+    for i, block in enumerate(blocks):
+        n = F.col(f"n_{block}")
+        head = _text(f"## {block.title()} Entries (", n.cast("string"), ")")
+        sections[3 * i + 1] = _if(n > 0, head)
+        sections[3 * i + 3] = _if(n > 0, "")
+    entry = _text("- ", _entry(F.col("summary"), with_source=False))
+    bare = _text("- [", F.col("id").cast("string"), "] ", F.col("summary"))
     source = F.when(X.blank("source"), "").otherwise(_text("\n  Source: ", F.col("source")))
-    blocks = (
-        ("new", "New", _text("- ", with_tags, source)),
-        ("updated", "Updated", _text("- ", with_tags)),
-        ("deleted", "Deleted", _text("- ", bare)),
+
+    def only(block: str, line: Column) -> list[Column]:
+        return _if(F.col("digest_class") == block, line)
+
+    rows = {
+        2: only("new", _text(entry, source)),
+        5: only("updated", entry),
+        8: only("deleted", bare),
+    }
+    return _union(
+        [emit(people, key, sections), emit(pending, key, rows, at="created_at", seq="id")]
     )
-    for i, (name, title, line) in enumerate(blocks):
-        one = F.col("digest_class") == name
-        head = _text(f"## {title} Entries (", F.col("n").cast("string"), ")")
-        parts += [
-            emit(per.where(one), key, 3 * i + 1, [head]),
-            emit(pending.where(one), key, 3 * i + 2, [line], at="created_at", seq="id"),
-            emit(per.where(one), key, 3 * i + 3, [""]),
-        ]
-    shown = _union([summary.select("persona"), per.select("persona")]).distinct()
-    parts.append(emit(shown, key, 10, ["---"]))
-    return _union(parts)
 
 
 # --- runs ---
@@ -671,7 +619,7 @@ def step_log(steps: DataFrame) -> DataFrame:
         F.format_string("%.1f", F.coalesce("confidence", F.lit(0.0))),
         ")",
     )
-    return emit(steps, ["run_id"], 0, [line], seq="step")
+    return emit(steps, ["run_id"], {0: [line]}, seq="step")
 
 
 def run_footer(runs: DataFrame) -> DataFrame:
@@ -697,4 +645,4 @@ def run_footer(runs: DataFrame) -> DataFrame:
         " steps OK)",
     )
     none = _text("📋 No stored flow for ", _or_empty("domain"), ".")
-    return emit(runs, ["run_id"], 1, [F.when(used, flow).otherwise(none)])
+    return emit(runs, ["run_id"], {1: [F.when(used, flow).otherwise(none)]})

@@ -408,7 +408,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         recordings(spark, sf_dir)
         .repartition(spread, "rec_id")
         .select("rec_id", F.explode(idx).alias("frame_idx"))
-        .withColumn("file", F.format_string("frame-%06d.png", "frame_idx"))
+        .withColumn("file", F.concat(F.lit("frame-"), F.col("frame_idx").cast("string"), F.lit(".png")))
     )
 
 

@@ -459,7 +459,7 @@ def _(spark, d):
 
 @query(
     "trimmed_frames",
-    f"""WITH {D.FRAMES} SELECT f.rec_id, f.frame_idx, printf('frame-%06d.png', f.frame_idx) AS file, g.trimmed
+    f"""WITH {D.FRAMES} SELECT f.rec_id, f.frame_idx, 'frame-' || f.frame_idx || '.png' AS file, g.trimmed
     FROM frames f JOIN gate g ON g.rec_id = f.rec_id
     LEFT JOIN near n ON n.rec_id = f.rec_id AND n.frame_idx = f.frame_idx
     WHERE n.rec_id IS NOT NULL OR NOT g.trimmed""",
