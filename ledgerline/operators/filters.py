@@ -116,9 +116,18 @@ def entries_for(entries: DataFrame, personas: DataFrame, namespace: str) -> Data
         F.col("name").alias("persona"),
         F.concat(F.lit(f"{namespace}/"), F.col("name"), F.lit("/")).alias("prefix"),
     )
-    return wanted.join(keyed, "prefix", "left").select(
+    # An inner join and an anti join rather than an outer join, whose many side
+    # could not be split for a persona with very many entries.
+    matched = keyed.join(wanted, "prefix").select(
         "persona",
         "entry",
         X.strip_prefix("entry", "prefix").alias("service"),
-        F.col("entry").isNull().alias("fallback"),
+        F.lit(False).alias("fallback"),
     )
+    bare = wanted.join(keyed.select("prefix").distinct(), "prefix", "left_anti").select(
+        "persona",
+        F.lit(None).cast("string").alias("entry"),
+        F.lit(None).cast("string").alias("service"),
+        F.lit(True).alias("fallback"),
+    )
+    return matched.unionByName(bare)

@@ -29,13 +29,13 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 CHUNK = "__chunk"
-HOUR = 3_600
+SECONDS = 600
 SLOTS = 16_384
 # Keys in slots with more rows than this are cut; 0 cuts every key.
 HOT_ROWS = 1_000_000
 
 
-def time_chunk(ts: Column | str, seconds: int = HOUR) -> Column:
+def time_chunk(ts: Column | str, seconds: int = SECONDS) -> Column:
     """Chunk for rows ordered by a timestamp: the start of its time span."""
     micros = F.unix_micros(F.col(ts) if isinstance(ts, str) else ts)
     return micros - F.pmod(micros, F.lit(seconds * 1_000_000))

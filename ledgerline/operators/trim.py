@@ -74,7 +74,7 @@ def action_ranges(
     ``recordings``: (rec_id, start_ms, fps). ``actions``: (rec_id, ts_ms, action,
     duration_ms), where duration_ms is NULL unless the detail is an object.
     """
-    placed = actions.join(recordings, "rec_id").join(frame_counts, "rec_id")
+    placed = actions.join(recordings.join(frame_counts, "rec_id"), "rec_id")
     frame_ms = F.lit(1000) / F.col("fps")
     offset = (F.col("ts_ms") - F.col("start_ms")) / frame_ms
     # A cast to integer cuts toward zero, also for actions before the start.

@@ -357,18 +357,45 @@ def _(spark, d):
     return _classified(spark, d).groupBy("page_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("page_elements")
+# The stored pages list anchors only, with plain text inside.
+_ANCHORS = r"""clean AS (
+  SELECT page_id, html, regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>', '', 'g'),
+    '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
+found AS (SELECT page_id, regexp_extract_all(h, '(?is)<a\b[^>]*>([^<]*)</a>', 1) AS texts FROM clean),
+anchors AS (
+  SELECT * FROM (SELECT page_id, unnest(range(0, len(texts))) AS pos, unnest(texts) AS text FROM found)
+  WHERE pos < 50)"""
+
+
+@query(
+    "page_elements",
+    f"""WITH {_ANCHORS} SELECT page_id, CAST(pos AS INTEGER) AS pos, 'a' AS tag, '' AS id, '' AS name,
+      '' AS type, left(trim(text), 80) AS text FROM anchors""",
+)
 def _(spark, d):
     return pages.explode_elements(I.source(spark, d, "pages")).select(
         "page_id", "pos", "tag", "id", "name", "type", "text"
     )
 
 
-@query("stored_page_classes")
+@query(
+    "stored_page_classes",
+    f"""WITH {_ANCHORS}, f AS (
+      SELECT page_id, count(*) AS n, bool_or(regexp_matches(lower(text), 'accept|cookie|consent')
+        AND regexp_matches(lower(text), 'accept|agree|ok|got it|dismiss|allow')) AS cookie
+      FROM anchors GROUP BY page_id)
+    SELECT p.page_id, CASE WHEN cookie THEN 'cookie_banner'
+      WHEN regexp_matches(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '404|500|error|not found')
+        THEN 'error' WHEN n > 0 THEN 'content' ELSE 'unknown' END AS page_type
+    FROM pages p LEFT JOIN f ON f.page_id = p.page_id""",
+)
 def _(spark, d):
     stored = I.source(spark, d, "pages")
-    titles = stored.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-    return pages.classify_pages(pages.explode_elements(stored), titles).drop("detected")
+    titles = stored.select(
+        "page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title")
+    )
+    classed = pages.classify_pages(pages.explode_elements(stored), titles)
+    return classed.select("page_id", "page_type")
 
 
 @query(

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 LINE = "ts bigint, action string, detail string"
 
 
-def append_actions(df: DataFrame, path: str) -> None:
+def append_actions(df: DataFrame, path: str, files_per_date: int = 16) -> None:
     """Append rows, laid out by date so that time filters prune folders.
 
-    Rows are spread over (date, persona hash) first: each date gets few files,
-    and neither a busy date nor a busy persona ends up in one task.
+    Rows are spread over (date, row hash) first: each date gets a bounded number
+    of files, and neither a busy date nor a busy persona ends up in one task.
     """
     dated = df.withColumn("date", F.to_date("ts"))
-    spread = F.pmod(F.xxhash64("persona", "id"), F.lit(16))
+    spread = F.pmod(F.xxhash64("persona", "id"), F.lit(files_per_date))
     dated.repartition("date", spread).write.mode("append").partitionBy("date").parquet(path)
 
 
