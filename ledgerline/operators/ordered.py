@@ -70,17 +70,19 @@ def _busy_slots(df: DataFrame, slot: Column) -> Column:
     table is so large that average slots are. Keys that share a busy slot are
     cut without need, which changes no result.
     """
-    counted = df.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    sizes = counted.agg(
-        F.collect_list(F.struct("slot", "n")).alias("sizes"), F.sum("n").alias("total")
+    # One zero row per slot makes the list of counts complete, so that sorting it
+    # is enough to read it by position.
+    zeros = df.sparkSession.range(0, SLOTS, 1, 1).select(
+        F.col("id").alias("slot"), F.lit(0).cast("bigint").alias("n")
     )
-    limit = F.greatest(F.lit(HOT_ROWS).cast("double"), F.col("total") * (4 / SLOTS))
-    busy = F.transform(F.filter("sizes", lambda s: s["n"] > limit), lambda s: s["slot"])
-    flags = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.lit(SLOTS - 1).cast("bigint")),
-        lambda i: F.array_contains(F.col("busy"), i),
+    ones = df.select(slot.alias("slot"), F.lit(1).cast("bigint").alias("n"))
+    per_slot = ones.unionByName(zeros).groupBy("slot").agg(F.sum("n").alias("n"))
+    sizes = per_slot.agg(
+        F.array_sort(F.collect_list(F.struct("slot", "n"))).alias("sizes"),
+        F.sum("n").alias("total"),
     )
-    return sizes.select(busy.alias("busy")).where(F.size("busy") > 0).select(flags).scalar()
+    limit = F.greatest(F.lit(HOT_ROWS).cast("double"), F.col("total") * (4 / SLOTS))
+    return sizes.select(F.transform("sizes", lambda s: s["n"] > limit)).scalar()
 
 
 def chunk_window(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
