@@ -24,9 +24,8 @@ def test_query_equals_sql(spark, con, name):
     assert oracle.compare(spark, con, catalog.QUERIES[name], catalog.CHECKS[name], SF) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.CHECKS)))
-def test_query_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() > 0
+def test_every_query_has_checking_sql():
+    assert set(catalog.QUERIES) == set(catalog.CHECKS)
 
 
 def test_entry_points(spark):
