@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import packing, simhash, token_counts
+from ledgerline.llm import checks, packing, quality, simhash, token_counts
 from ledgerline.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,10 @@ def count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_simhash_near_dedup")
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), tau=3, words_per_shingle=3)
+
+
+@query("op8_quality_rules", checks.QUALITY)
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), "v1").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
