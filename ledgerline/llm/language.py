@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.llm import shared
 
@@ -173,40 +174,56 @@ def _parser(samples: dict[str, str]) -> CrossParser:
     return _PARSERS[key]
 
 
-def identify(
+def annotate(
     docs: DataFrame, samples: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text",
     lang_col: str = "lang",
 ) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score, bits_per_symbol`` of every whole text.
+    """All rows and columns with ``lang_pred, score, bits_per_symbol`` of the whole text behind them.
 
     ``samples`` maps languages to training text; without it, it is drawn from the labelled documents that are not
     held out. Text that is null or has no letter is ``und`` with score 0, as is everything if nothing could be
-    learned. Equal cost goes to the first language by name. A null id stays null (and is not held out), repeated
-    rows are repeated, an empty table gives an empty one. Only text enters a prediction.
+    learned. Equal cost goes to the first language by name. Columns of the added names are replaced. Repeated
+    rows are repeated and an empty table gives an empty one. Only text enters a prediction.
     """
     if samples is None:
         samples = training_sample(docs, id_col, text_col, lang_col)
     model = docs.sparkSession.sparkContext.broadcast(samples)  # TRAIN_DOCS * TRAIN_CHARS per language
-    key = F.col(id_col)
-    rows = docs.select(
-        key.alias("doc_id"), F.coalesce(held_out(key), F.lit(False)).alias("held_out"), F.col(text_col).alias("text")
-    )
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "held_out", "lang_pred", "score", "bits_per_symbol"]
+    added = ["lang_pred", "score", "bits_per_symbol"]
+    rows = docs.drop(*added)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(model.value) if model.value else None
         for batch in batches:
-            for part, texts in shared.text_slices(batch):
+            for part, texts in shared.text_slices(batch, text_col):
                 if parser is None:
                     langs, score, rate = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
                 else:
                     langs, score, rate = parser.predict(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), pa.array(langs, pa.string()), pa.array(score), pa.array(rate)],
-                    names,
+                    [*part.columns, pa.array(langs, pa.string()), pa.array(score), pa.array(rate)],
+                    [*part.schema.names, *added],
                 )
 
-    return rows.mapInArrow(
-        predict, f"doc_id {id_type}, held_out boolean, lang_pred string, score double, bits_per_symbol double"
+    schema = T.StructType(rows.schema.fields + [
+        T.StructField("lang_pred", T.StringType()),
+        T.StructField("score", T.DoubleType()),
+        T.StructField("bits_per_symbol", T.DoubleType()),
+    ])
+    return rows.mapInArrow(predict, schema)
+
+
+def identify(
+    docs: DataFrame, samples: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text",
+    lang_col: str = "lang",
+) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score, bits_per_symbol`` of every row, as ``annotate`` has them.
+
+    A null id stays null and is not held out.
+    """
+    if samples is None:
+        samples = training_sample(docs, id_col, text_col, lang_col)
+    key = F.col(id_col)
+    rows = docs.select(
+        key.alias("doc_id"), F.coalesce(held_out(key), F.lit(False)).alias("held_out"), F.col(text_col).alias("text")
     )
+    return annotate(rows, samples).drop("text")

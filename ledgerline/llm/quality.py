@@ -61,47 +61,30 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(counted)
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and the measurements (all long) of every whole text; null text has no words and no lines."""
-    text = F.coalesce(F.col("_text"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    words = _filled(F.split(text, BLANK))
+def measured(text: Column) -> Column:
+    """Struct of all measurements (long) of a whole text; null text has no words and no lines."""
+    text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    from_words = let(
-        words,
-        lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            repeat_words(w).cast("long").alias("n_repeat_words"),
+    return let(
+        _filled(F.split(text, BLANK)),
+        lambda words: let(
+            lines,
+            lambda rows: F.struct(
+                *[
+                    value.cast("long").alias(name)
+                    for name, value in {
+                        "n_words": F.size(words),
+                        "word_chars": F.length(F.array_join(words, "")),
+                        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)),
+                        "n_dup_lines": F.size(rows) - F.size(F.array_distinct(rows)),
+                        "n_repeat_words": repeat_words(words),
+                        "n_lines": F.size(rows),
+                        "n_capitals": F.regexp_count(text, F.lit("[A-Z]")),
+                    }.items()
+                ]
+            ),
         ),
     )
-    from_lines = let(
-        lines,
-        lambda x: F.struct(
-            F.size(x).cast("long").alias("n_lines"),
-            (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        ),
-    )
-    found = rows.select(
-        "doc_id",
-        from_words.alias("_w"),
-        from_lines.alias("_l"),
-        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        F.regexp_count(text, F.lit("[A-Z]")).cast("long").alias("n_capitals"),
-    )
-    return found.select("doc_id", "_w.*", "_l.*", "n_symbols", "n_capitals").select("doc_id", *MEASURES)
-
-
-def _failures() -> dict[str, Column]:
-    col = F.col
-    return {
-        "few_words": col("n_words") < 50,
-        "repeated_words": 100 * col("n_repeat_words") > 50 * col("n_words"),
-        "many_symbols": 100 * col("n_symbols") > 20 * col("n_words"),
-        "repeated_lines": 100 * col("n_dup_lines") > 50 * col("n_lines"),
-        "capitals": 100 * col("n_capitals") > 40 * col("word_chars"),
-        "word_length": (col("word_chars") < 2 * col("n_words")) | (col("word_chars") > 20 * col("n_words")),
-    }
 
 
 # The place of a rule gives its bit; new rules are added at the end.
@@ -113,18 +96,37 @@ POLICIES = {
 }
 
 
+def failed_bits(m: Column) -> Column:
+    """Bit i is set if rule i of RULE_NAMES fails; measurements are numbers, so no rule is undecided."""
+    failures = {
+        "few_words": m["n_words"] < 50,
+        "repeated_words": 100 * m["n_repeat_words"] > 50 * m["n_words"],
+        "many_symbols": 100 * m["n_symbols"] > 20 * m["n_words"],
+        "repeated_lines": 100 * m["n_dup_lines"] > 50 * m["n_lines"],
+        "capitals": 100 * m["n_capitals"] > 40 * m["word_chars"],
+        "word_length": (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 20 * m["n_words"]),
+    }
+    total = F.lit(0).cast("long")
+    for name in RULE_NAMES:
+        total = total.bitwiseOR(F.when(failures[name], F.lit(BIT[name])).otherwise(F.lit(0)).cast("long"))
+    return total
+
+
+def verdict(version: str = "v1", text_col: str = "text") -> Column:
+    """Whether a policy keeps a document, as a condition on its text."""
+    failed = let(measured(F.col(text_col)), failed_bits)
+    return failed.bitwiseAND(F.lit(POLICIES[version])) == 0
+
+
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Measurements and ``failed`` (bit i set: rule i of RULE_NAMES failed), one row per document.
+    """``doc_id``, the measurements and ``failed`` (bit i set: rule i of RULE_NAMES failed) of every row.
 
     A null or empty text fails ``few_words``. Repeated rows are repeated, a null id stays null, an empty table
     gives an empty one; other columns are not carried.
     """
-    failures = _failures()
-    bits = [F.when(F.coalesce(failures[name], F.lit(False)), F.lit(BIT[name])).otherwise(F.lit(0)) for name in RULE_NAMES]
-    total = bits[0]
-    for bit in bits[1:]:
-        total = total.bitwiseOR(bit)
-    return measure(docs, id_col, text_col).withColumn("failed", total.cast("long"))
+    entry = let(measured(F.col(text_col)), lambda m: F.struct(m.alias("m"), failed_bits(m).alias("failed")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.inline(F.array(entry)))
+    return rows.select("doc_id", *[F.col("m")[name].alias(name) for name in MEASURES], "failed")
 
 
 def apply_policy(rows: DataFrame, version: str = "v1") -> DataFrame:

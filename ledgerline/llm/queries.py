@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import byte_bpe, checks, language, packing, quality, simhash, token_counts
+from ledgerline.llm import byte_bpe, checks, language, packing, quality, secrets, simhash, token_counts
 from ledgerline.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,9 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_byte_bpe")
 def byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query("op10_secret_scan")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.counted(secrets.findings(docs, secrets.trained(docs)))
