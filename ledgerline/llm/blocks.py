@@ -13,11 +13,12 @@ BLOCK = 1024
 BUFFER_ROWS = 1 << 15
 
 
-def in_blocks(rows: DataFrame, keys: list[str], spread: str, block: int = BLOCK) -> DataFrame:
+def in_blocks(rows: DataFrame, keys: list[str], spread: str, block: int = BLOCK, keep_own: bool = False) -> DataFrame:
     """Repartition rows so that any two with the same key meet in some group of at most about ``2 * block`` rows.
 
     A key with more rows is cut into hashed blocks and every pair of its blocks makes a group, so no pair is lost
-    and no group grows. Keys of a single row are dropped. Groups are ``keys + [_a, _b]``, contiguous and sorted.
+    and no group grows. Keys of a single row are dropped. Groups are ``keys + [_a, _b]``, contiguous and sorted;
+    ``keep_own`` leaves the row's own block in ``_own``.
     """
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
     parts = F.ceil(F.col("_rows") / F.lit(block)).cast("int")
@@ -29,7 +30,7 @@ def in_blocks(rows: DataFrame, keys: list[str], spread: str, block: int = BLOCK)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
         .withColumn("_a", F.least("_own", "_other"))
         .withColumn("_b", F.greatest("_own", "_other"))
-        .drop("_rows", "_parts", "_own", "_other")
+        .drop("_rows", "_parts", "_other", *([] if keep_own else ["_own"]))
     )
     by = [*keys, "_a", "_b"]
     return groups.repartition(*by).sortWithinPartitions(*by)

@@ -32,3 +32,85 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
         OR 100 * n_capitals > 40 * word_chars OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
 FROM b
 """
+
+URLS = r"""
+WITH rules(host, path, action) AS (
+    VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'),
+        ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')
+),
+t AS (
+    SELECT row_number() OVER () AS r, page_id,
+        CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest
+    FROM pages
+),
+u AS (
+    SELECT r, page_id,
+        translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM t
+),
+best AS (
+    SELECT r, arg_max({'rule': rules.host || rules.path, 'action': action},
+        length(rules.host || rules.path) * 1000 + length(rules.host)) AS b
+    FROM u JOIN rules ON (u.host = rules.host OR ends_with(u.host, '.' || rules.host)) AND starts_with(u.path, rules.path)
+    GROUP BY r
+)
+SELECT page_id, host, path, b.rule AS rule, coalesce(b.action, 'allow') AS verdict FROM u LEFT JOIN best USING (r)
+"""
+
+PREFERENCE = r"""
+WITH turns AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+last AS (
+    SELECT conv_id, turn, text FROM turns WHERE role = 'assistant'
+    QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC NULLS LAST) = 1
+),
+rejected AS (
+    SELECT t.* FROM turns t LEFT JOIN last l USING (conv_id) WHERE l.turn IS NULL OR t.turn < l.turn
+    UNION ALL
+    SELECT l.conv_id, l.turn, 'assistant', o.text FROM last l JOIN last o ON o.conv_id = xor(l.conv_id, 1::BIGINT)
+),
+sides AS (
+    SELECT conv_id, turn, 'c' AS side, coalesce(role, '') AS role, coalesce(text, '') AS text FROM turns
+    UNION ALL
+    SELECT conv_id, turn, 'r', coalesce(role, ''), coalesce(text, '') FROM rejected
+),
+one AS (
+    SELECT *, '<|' || role || '|>' || chr(10) AS head, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS line
+    FROM sides QUALIFY row_number() OVER (PARTITION BY conv_id, turn, side ORDER BY role, text) = 1
+),
+met AS (SELECT conv_id, turn, count(*) = 2 AND min(line) = max(line) AS same FROM one GROUP BY ALL),
+cuts AS (SELECT conv_id, min(turn) FILTER (NOT same) AS cut FROM met GROUP BY conv_id),
+placed AS (
+    SELECT one.*, cut, cut IS NULL OR turn < cut AS shared,
+        coalesce(sum(length(line)) FILTER (cut IS NOT NULL AND turn >= cut) OVER (
+            PARTITION BY conv_id, side ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+    FROM one JOIN cuts USING (conv_id)
+)
+SELECT conv_id, count(*) FILTER (shared AND side = 'c') AS n_shared,
+    coalesce(string_agg(line, '' ORDER BY turn) FILTER (shared AND side = 'c'), '') AS prompt,
+    coalesce(string_agg(line, '' ORDER BY turn) FILTER (NOT shared AND side = 'c'), '') AS chosen,
+    coalesce(string_agg(line, '' ORDER BY turn) FILTER (NOT shared AND side = 'r'), '') AS rejected,
+    coalesce(string_agg((pos + length(head)) || ':' || (pos + length(line) - 1), ',' ORDER BY turn)
+        FILTER (NOT shared AND side = 'c' AND role = 'assistant'), '') AS chosen_mask,
+    coalesce(string_agg((pos + length(head)) || ':' || (pos + length(line) - 1), ',' ORDER BY turn)
+        FILTER (NOT shared AND side = 'r' AND role = 'assistant'), '') AS rejected_mask
+FROM placed GROUP BY conv_id
+"""
+
+EMBEDDINGS = r"""
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93
+),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a WHERE l.b < r.a OR l.b < r.b),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+lowest AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
+    vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+FROM embeddings LEFT JOIN degree d ON d.a = vec_id LEFT JOIN lowest w ON w.a = vec_id
+"""

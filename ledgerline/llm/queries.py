@@ -5,8 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from ledgerline.llm import byte_bpe, checks, language, packing, quality, secrets, simhash, token_counts
+from pyspark.sql import functions as F
+
+from ledgerline.llm import (
+    byte_bpe,
+    checks,
+    embeddings,
+    language,
+    packing,
+    preference,
+    quality,
+    secrets,
+    simhash,
+    token_counts,
+    url_filter,
+)
 from ledgerline.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +72,29 @@ def byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.counted(secrets.findings(docs, secrets.trained(docs)))
+
+
+@query("op3_preference_format", checks.PREFERENCE)
+def preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    pairs = preference.preference_pairs(turns, preference.with_other_answers(turns), pair_col="conv_id")
+    spans = lambda mask: F.array_join(F.transform(mask, lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return pairs.select(
+        F.col("pair_id").alias("conv_id"),
+        F.col("n_shared").cast("long").alias("n_shared"),
+        "prompt",
+        "chosen",
+        "rejected",
+        spans("chosen_mask").alias("chosen_mask"),
+        spans("rejected_mask").alias("rejected_mask"),
+    )
+
+
+@query("op4_url_filter", checks.URLS)
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op5_embedding_near_dedup", checks.EMBEDDINGS)
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
