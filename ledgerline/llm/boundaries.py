@@ -20,8 +20,8 @@ START, IN_LETTERS, IN_NUMBERS, IN_OTHERS, SPACE_1, BLANK_1, SPACE_2, BLANK_2, QU
 )
 N_STATES, WIDTH = 12, 16
 HERE, BEFORE = 1, 2
-TEXT_END, PIECE_END = "\ud800", "\ud801"  # code points that no text holds
-CHUNK = 512
+TEXT_END = "\ud800"  # a code point that no text holds
+CHUNK = 256
 
 _OPENS = {NUMBER: IN_NUMBERS, OTHER: IN_OTHERS, SPACE: SPACE_1, BLANK: BLANK_1, QUOTE: QUOTED}
 _LETTERS = {LETTER, TAIL, R, V, L, E}
@@ -125,20 +125,15 @@ def piece_starts(kinds: np.ndarray) -> np.ndarray:
 
 
 def split_pieces(texts: list[str], kinds_of: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Pieces of all texts in order, and the number of pieces before each text's end (with a leading zero)."""
+    """Pieces of all texts in order, each text's last one being TEXT_END, and where each text's pieces begin (with
+    the number of all at the end)."""
     stream = TEXT_END.join([*texts, ""])
-    codes = np.frombuffer(stream.encode("utf-32-le", "surrogatepass"), np.uint32)
-    kinds = kinds_of[codes]
-    starts = piece_starts(kinds)
-    before = np.cumsum(starts)
-    ends = np.flatnonzero(kinds == END)
-    bounds = np.concatenate([[0], before[ends]]).astype(np.int64)
-    inside = kinds != END
-    written = np.full(int(inside.sum()) + int(before[-1]) if len(before) else 0, ord(PIECE_END), np.uint32)
-    place = (np.cumsum(inside) - 1 + before)[inside]
-    written[place] = codes[inside]
-    pieces = written.tobytes().decode("utf-32-le", "surrogatepass").split(PIECE_END)
-    return pieces[1:], bounds
+    kinds = kinds_of[np.frombuffer(stream.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    ends = kinds == END
+    begins = np.flatnonzero(piece_starts(kinds) | ends)
+    bounds = np.concatenate([[0], np.flatnonzero(ends[begins]) + 1])
+    cuts = [*begins.tolist(), len(stream)]
+    return [stream[i:j] for i, j in zip(cuts, cuts[1:])], bounds
 
 
 def with_added(texts: list[str], added: list[str]) -> tuple[list[str], list[int], list[list[str]]]:

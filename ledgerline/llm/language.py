@@ -20,9 +20,9 @@ from pyspark.sql import types as T
 from ledgerline.llm import shared
 
 TRAIN_DOCS = 64  # per language
-TRAIN_CHARS = 1_500  # of each
+TRAIN_CHARS = 500  # of each
 TRAIN_LANGUAGES = 64
-WINDOW = 1024  # a phrase ends where a window of this many symbols ends
+WINDOW = 512  # a phrase ends where a window of this many symbols ends
 UNDETERMINED = "und"
 GAP, PAD = 0, 1  # classes of anything that is no letter, and of nothing
 
@@ -84,18 +84,17 @@ class SuffixAutomaton:
 
     def parser(self, width: int) -> np.ndarray:
         """Transitions of the greedy parse: ``next state * 4 + phrases ended``, for states times classes."""
-        root = np.zeros(width, np.int64)
-        root += 1  # a symbol the text does not hold is a phrase of its own
+        root = np.ones(width, np.int32)  # a symbol the text does not hold is a phrase of its own
         for symbol, target in self.edges[0].items():
             root[symbol] = target * 4
-        table = np.empty((len(self.edges), width), np.int64)
+        table = np.empty((len(self.edges), width), np.int32)
         table[0] = root
         table[1:] = root + 1  # end the phrase, then do as the root does
         for state, edges in enumerate(self.edges):
             for symbol, target in edges.items():
                 table[state, symbol] = target * 4
             table[state, PAD] = state * 4
-        return table.astype(np.int32).reshape(-1)
+        return table.reshape(-1)
 
 
 class CrossParser:

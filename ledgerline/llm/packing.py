@@ -10,6 +10,7 @@ items share is never ranked in one task.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,7 +24,7 @@ from tokenizers import Tokenizer
 from ledgerline.llm import boundaries, shared
 
 BLOCKS = 256
-MAX_KNOWN = 400_000
+MAX_KNOWN = 300_000
 LONGEST_KNOWN = 64
 
 
@@ -201,22 +202,25 @@ class PieceIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = {text: _packed([token]) for text, token in shared.read_byte_bpe(path)[2].items()}
         self.kinds = np.frombuffer(kinds, np.uint8)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {boundaries.TEXT_END: b""}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Per text, its ids as unsigned little-endian 32-bit integers."""
         segments, segment_bounds, found = boundaries.with_added(texts, list(self.added))
         pieces, bounds = boundaries.split_pieces(segments, self.kinds)
         known = self.known
-        fresh = sorted({piece for piece in pieces if piece not in known})
+        blobs = list(map(known.get, pieces))
+        missing = [i for i, blob in enumerate(blobs) if blob is None]
+        fresh = list(dict.fromkeys(pieces[i] for i in missing))
         for begin in range(0, len(fresh), 1 << 14):
             some = fresh[begin : begin + (1 << 14)]
             for piece, encoding in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 known[piece] = _packed(encoding.ids)
-        blobs = list(map(known.__getitem__, pieces))
+        for i in missing:
+            blobs[i] = known[pieces[i]]
         if len(known) > MAX_KNOWN:
-            known.clear()
-        elif any(len(piece) > LONGEST_KNOWN for piece in fresh):
+            self.known = {boundaries.TEXT_END: b""}
+        else:
             for piece in fresh:
                 if len(piece) > LONGEST_KNOWN:
                     del known[piece]
@@ -233,7 +237,7 @@ class PieceIds:
 
 
 def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _IDS: dict[str, PieceIds] = {}

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm import boundaries, shared
 
-MAX_STATES = 200_000
-MAX_KNOWN = 400_000
+MAX_STATES = 120_000
+MAX_KNOWN = 250_000
 LONGEST_KNOWN = 64
 SHIFT = 128
 
@@ -123,24 +123,23 @@ class TokenCounter:
         self.added = list(added)
         self.kinds = np.frombuffer(kinds, np.uint8)
         self.transducer = PieceTransducer(merges, vocab)
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = {boundaries.TEXT_END: 0}
 
     def counts(self, texts: list[str]) -> np.ndarray:
         segments, segment_bounds, found = boundaries.with_added(texts, self.added)
         pieces, bounds = boundaries.split_pieces(segments, self.kinds)
         values = list(map(self.known.get, pieces))
         if None in values:
-            for i, value in enumerate(values):
+            for i in [i for i, value in enumerate(values) if value is None]:
+                piece = pieces[i]
+                value = self.known.get(piece)
                 if value is None:
-                    piece = pieces[i]
-                    value = self.known.get(piece)
-                    if value is None:
-                        value = self.transducer.count(piece.encode("utf-8"))
-                        if len(piece) <= LONGEST_KNOWN:
-                            self.known[piece] = value
-                    values[i] = value
+                    value = self.transducer.count(piece.encode("utf-8"))
+                    if len(piece) <= LONGEST_KNOWN:
+                        self.known[piece] = value
+                values[i] = value
             if len(self.known) > MAX_KNOWN:
-                self.known.clear()
+                self.known = {boundaries.TEXT_END: 0}
         running = np.concatenate([[0], np.cumsum(np.array(values, np.int64))])
         at = running[bounds[np.array(segment_bounds)]]
         return np.diff(at) + np.array([len(f) for f in found], np.int64)
