@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from ledgerline.llm import blocks, shared
 from ledgerline.llm.components import components, local_roots
 
-PIVOTS = 256  # bounded sample the index is fitted on
+SAMPLE = 1024  # vectors that pivots are picked from
+PIVOTS = 256
+APART = 0.8
 LEADERS = 8
 SHARE = 3
 
@@ -40,11 +42,24 @@ def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col: s
 
 
 def pick_pivots(nodes: DataFrame, n: int = PIVOTS) -> dict[int, np.ndarray]:
-    """At most ``n`` reference vectors by hash, as unit rows per dimension."""
+    """At most ``n`` reference vectors, as unit rows per dimension, out of SAMPLE vectors picked by hash.
+
+    Two pivots are less than APART similar: a crowd of near copies in the sample would otherwise order its
+    members by noise, and they would share few of their nearest pivots.
+    """
     found: dict[int, list] = {}
-    for row in nodes.orderBy(F.xxhash64("v"), "node").select("v").limit(n).collect():
+    for row in nodes.orderBy(F.xxhash64("v"), "node").select("v").limit(SAMPLE).collect():
         found.setdefault(len(row["v"]), []).append(row["v"])
-    return {size: _units(np.array(rows)) for size, rows in found.items()}
+    pivots, left = {}, n
+    for size, rows in sorted(found.items()):
+        units = _units(np.array(rows))
+        chosen: list[int] = []
+        for i in range(len(units)):
+            if left and (not chosen or (units[chosen] @ units[i]).max() < APART):
+                chosen.append(i)
+                left -= 1
+        pivots[size] = units[chosen]
+    return pivots
 
 
 def _units(rows: np.ndarray) -> np.ndarray:
