@@ -190,39 +190,20 @@ def find_account(requests: DataFrame, accounts: DataFrame) -> DataFrame:
 # --- page elements ---
 
 
-def match_elements(targets: DataFrame, elements: DataFrame, per_page: int = 50) -> DataFrame:
+def match_elements(targets: DataFrame, elements: DataFrame) -> DataFrame:
     """First element, in document order, with a word of the description in one of its texts.
 
-    A page offers at most ``per_page`` elements (the element listing stops
-    there), so a page packs into one bounded array and each target is joined to
-    one row.
+    Distinct (page, description) pairs meet the page's elements by equality and
+    keep the smallest matching position; pages may list any number of elements.
     """
-    texts = ("text", "ariaLabel", "placeholder", "name")
-    packed = (
-        filters.head_per(elements, n=per_page)
-        .groupBy("page_id")
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct("pos", *[F.lower(F.coalesce(t, F.lit(""))).alias(t) for t in texts])
-                )
-            ).alias("__elements")
-        )
-    )
+    texts = [
+        F.lower(F.coalesce(t, F.lit(""))) for t in ("text", "ariaLabel", "placeholder", "name")
+    ]
+    offered = elements.select("page_id", "pos", F.array(*texts).alias("__texts"))
     words = F.filter(F.split(F.lower("description"), r"\s+"), lambda w: w != "")
-
-    def hit(el):
-        return F.exists(
-            F.col("__words"),
-            lambda w: el["text"].contains(w)
-            | el["ariaLabel"].contains(w)
-            | el["placeholder"].contains(w)
-            | el["name"].contains(w),
-        )
-
-    return (
-        targets.withColumn("__words", words)
-        .join(packed, "page_id", "left")
-        .withColumn("pos", F.get(F.filter("__elements", hit), F.lit(0))["pos"])
-        .drop("__words", "__elements")
+    asked = targets.select("page_id", "description").distinct().withColumn("__words", words)
+    hit = F.exists("__words", lambda w: F.exists("__texts", lambda text: text.contains(w)))
+    first = (
+        asked.join(offered, "page_id").where(hit).groupBy("page_id", "description").agg(F.min("pos").alias("pos"))
     )
+    return targets.join(first, ["page_id", "description"], "left").select(*targets.columns, "pos")

@@ -61,13 +61,14 @@ def newest_overall(df: DataFrame, order: Sequence[str] = ("ts", "id"), n: int =
     return df.orderBy(*[F.col(c).desc() for c in order]).limit(n)
 
 
-def log_slice(actions: DataFrame, since: DataFrame | Column, cap: int = 100) -> DataFrame:
-    """Rows at or after a time, taken from the newest ``cap`` rows of each persona.
+def log_slice(actions: DataFrame, since: DataFrame | Column, cap: int | None = None) -> DataFrame:
+    """Rows at or after a time.
 
-    The cap comes first, so a busy persona loses older rows that are in range.
-    ``since`` is a column, or a table (persona, since).
+    ``since`` is a column, or a table (persona, since). A ``cap`` takes them from
+    the newest rows of each persona only, so that a busy persona loses older rows
+    that are in range; without one all are returned and the filter reaches the scan.
     """
-    rows = newest(actions, ["persona"], ["ts", "id"], cap)
+    rows = actions if cap is None else newest(actions, ["persona"], ["ts", "id"], cap)
     if isinstance(since, DataFrame):
         kept = rows.join(since.select("persona", "since"), "persona")
         return kept.where(F.col("ts") >= F.col("since")).drop("since")

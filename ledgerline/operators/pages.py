@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -203,85 +204,100 @@ def classify_pages(elements: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
-# What the element listing selects and how it cuts text.
+# What the element listing selects.
 LISTED_TAGS = ("a", "button", "input", "select", "textarea")
 LISTED_ROLES = ("button", "link")
-MAX_TEXT = 80
 VOID_TAGS = frozenset(
     "area base br col embed hr img input link meta source track wbr".split()
 )
+# Tags that end an open one of their own kind where the page leaves the end out.
+ENDS_ITSELF = ("a", "button", "option", "p")
+PAGES_AT_ONCE = 200
 
 
-def _list_elements(html: str, limit: int) -> list[dict]:
-    """Listed elements of one page in document order."""
-    from html.parser import HTMLParser
-
-    listed: list[dict] = []
-
-    class Lister(HTMLParser):
-        open_tags: list = []
-
-        def handle_starttag(self, tag, attrs):
-            a = {k: v or "" for k, v in reversed(attrs)}
-            row = None
-            if tag in LISTED_TAGS or a.get("role", "").lower() in LISTED_ROLES:
-                default_type = {"input": "text", "button": "submit"}.get(tag, "")
-                row = {
-                    "tag": tag,
-                    "id": a.get("id", ""),
-                    "name": a.get("name", ""),
-                    "type": a.get("type", default_type).lower(),
-                    "role": a.get("role", ""),
-                    "value": a.get("value", "")[:MAX_TEXT],
-                    "placeholder": a.get("placeholder", ""),
-                    "ariaLabel": a.get("aria-label", ""),
-                    "class": a.get("class", ""),
-                    "src": a.get("src", ""),
-                    "text": [],
-                }
-                if len(listed) < limit:
-                    listed.append(row)
-            if tag not in VOID_TAGS:
-                self.open_tags.append((tag, row))
-
-        def handle_endtag(self, tag):
-            for i in range(len(self.open_tags) - 1, -1, -1):
-                if self.open_tags[i][0] == tag:
-                    del self.open_tags[i:]
-                    break
-
-        def handle_data(self, data):
-            for _, row in self.open_tags:
-                if row is not None:
-                    row["text"].append(data)
-
-    parser = Lister(convert_charrefs=True)
-    parser.open_tags = []
-    parser.feed(html or "")
-    parser.close()
-    for row in listed:
-        row["text"] = "".join(row["text"]).strip()[:MAX_TEXT]
-    return listed
-
-
-def explode_elements(pages: DataFrame, limit: int = 50) -> DataFrame:
-    """Element rows of stored HTML, at most ``limit`` per page.
+class _Lister(HTMLParser):
+    """Listed elements of one page in document order.
+
+    Text is kept once, and an element knows the stretch it spans, so the parse
+    takes time in proportion to the page and what it lists.
+    """
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.listed: list[dict] = []
+        self.open_tags: list[tuple[str, dict | None]] = []
+        self.n_open: dict[str, int] = {}
+        self.texts: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        top = self.open_tags[-1][0] if self.open_tags else None
+        if tag in ENDS_ITSELF or tag == top == "li":
+            self.handle_endtag(tag)
+        a = {k: v or "" for k, v in reversed(attrs)}
+        row = None
+        if tag in LISTED_TAGS or a.get("role", "").lower() in LISTED_ROLES:
+            default_type = {"input": "text", "button": "submit"}.get(tag, "")
+            row = {
+                "tag": tag,
+                "id": a.get("id", ""),
+                "name": a.get("name", ""),
+                "type": a.get("type", default_type).lower(),
+                "role": a.get("role", ""),
+                "value": a.get("value", ""),
+                "placeholder": a.get("placeholder", ""),
+                "ariaLabel": a.get("aria-label", ""),
+                "class": a.get("class", ""),
+                "src": a.get("src", ""),
+                "text": (len(self.texts), len(self.texts) if tag in VOID_TAGS else None),
+            }
+            self.listed.append(row)
+        if tag not in VOID_TAGS:
+            self.open_tags.append((tag, row))
+            self.n_open[tag] = self.n_open.get(tag, 0) + 1
+
+    def handle_endtag(self, tag):
+        while self.n_open.get(tag):
+            closed, row = self.open_tags.pop()
+            self.n_open[closed] -= 1
+            if row is not None:
+                row["text"] = (row["text"][0], len(self.texts))
+            if closed == tag:
+                break
+
+    def handle_data(self, data):
+        self.texts.append(data)
+
+
+def _list_elements(html: str | None) -> list[dict]:
+    lister = _Lister()
+    lister.feed(html or "")
+    lister.close()
+    for row in lister.listed:
+        begin, end = row["text"]
+        row["text"] = "".join(lister.texts[begin:end]).strip()
+    return lister.listed
+
+
+def explode_elements(pages: DataFrame) -> DataFrame:
+    """Element rows of stored HTML: all of a page, with their whole text.
 
     Stored HTML has no layout, so ``visible`` is NULL. HTML cannot be parsed
     with column expressions; this is the one operator that runs Python on the
-    workers, batch by batch.
+    workers, a few hundred pages at a time.
     """
     schema = schemas.TABLES["elements"]
     names = [field.split()[0] for field in schema.split(", ")]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [
-                {"page_id": page_id, "pos": pos, "visible": None, **element}
-                for page_id, html in zip(batch["page_id"], batch["html"])
-                for pos, element in enumerate(_list_elements(html, limit))
-            ]
-            yield pd.DataFrame(rows, columns=names)
+            for begin in range(0, len(batch), PAGES_AT_ONCE):
+                some = batch.iloc[begin : begin + PAGES_AT_ONCE]
+                rows = [
+                    {"page_id": page_id, "pos": pos, "visible": None, **element}
+                    for page_id, html in zip(some["page_id"], some["html"])
+                    for pos, element in enumerate(_list_elements(html))
+                ]
+                yield pd.DataFrame(rows, columns=names)
 
     return pages.select("page_id", "html").mapInPandas(parse, schema)
 

@@ -80,58 +80,38 @@ def _label(step: Column, repeated: Column) -> Column:
 
 
 def classify_runs(
-    steps: DataFrame, runs: DataFrame | None = None, max_steps: int = 10, k: int = 3
+    steps: DataFrame, runs: DataFrame | None = None, max_steps: int = 10, k: int = 3, chunk_size: int = 4_096
 ) -> DataFrame:
     """One row per run: outcome, the step that ended it, and its label inputs.
 
     The smallest step with a terminal label decides. Without one the run is
     'max_steps' when it used them all, else 'in_progress'. ``runs`` (run_id,
-    navigate_ok, fast_path_ok) adds the outcomes decided before the first step.
+    navigate_ok, fast_path_ok) adds the outcomes decided before the first step;
+    its column ``max_steps``, where there is one, holds the limit of each run.
 
-    A run has ``max_steps`` steps at most, so it folds into one slot per step by
-    an aggregate with map-side partials; no window or sort over steps is needed.
+    Runs may have any number of steps: repeats are flagged in chunks, and the
+    first label and last step of a run are aggregates with map-side partials.
     """
-    fields = ["step", "action_taken", "page_type", "tier", "confidence"]
-    slots = [
-        F.max(F.when(F.col("step") == i, F.struct(*fields))).alias(f"__{i}")
-        for i in range(1, max_steps + 1)
-    ]
-    packed = (
-        steps.where(F.col("step").between(1, max_steps))
+    label = _label({f: F.col(f) for f in ("action_taken", "tier", "confidence")}, F.col("repeats"))
+    fields = ["step", "label", "page_type", "action_taken"]
+    per_run = (
+        repeats(steps, k, chunk_size)
+        .withColumn("label", label)
         .groupBy("run_id")
-        .agg(*slots)
-        .select(
-            "run_id",
-            F.filter(
-                F.array(*[F.col(f"__{i}") for i in range(1, max_steps + 1)]),
-                lambda s: s.isNotNull(),
-            ).alias("__steps"),
+        .agg(
+            F.min(F.when(F.col("label").isNotNull(), F.struct(*fields))).alias("__end"),
+            F.max("step").alias("__last"),
         )
     )
-
-    def labelled(step: Column, i: Column) -> Column:
-        repeated = i >= k - 1
-        for back in range(1, k):
-            earlier = F.get("__steps", i - back)
-            for field in ("action_taken", "page_type"):
-                repeated = repeated & earlier[field].eqNullSafe(step[field])
-        return F.struct(_label(step, repeated).alias("label"), *[step[f].alias(f) for f in fields])
-
-    ends = F.filter(F.transform("__steps", labelled), lambda s: s["label"].isNotNull())
-    per_run = packed.select(
-        "run_id",
-        F.get(ends, F.lit(0)).alias("__end"),
-        F.get("__steps", F.size("__steps") - 1)["step"].alias("__last"),
-    )
+    limit = F.lit(max_steps)
+    if runs is not None and "max_steps" in runs.columns:
+        limit = F.coalesce("max_steps", limit)
     outcome = F.coalesce(
-        F.col("__end.label"),
-        F.when(F.col("__last") >= max_steps, "max_steps").otherwise("in_progress"),
+        F.col("__end.label"), F.when(F.col("__last") >= limit, "max_steps").otherwise("in_progress")
     )
     early = F.lit(None).cast("string")
     if runs is not None:
-        per_run = runs.select("run_id", "navigate_ok", "fast_path_ok").join(
-            per_run, "run_id", "left"
-        )
+        per_run = runs.join(per_run, "run_id", "left")
         early = F.when(~F.col("navigate_ok"), "navigate_failed").when(
             F.col("fast_path_ok"), "fast_path"
         )

@@ -92,8 +92,8 @@ def action_ranges(
 def _wanted(frames, recordings, actions, before_ms, after_ms, keep_ratio):
     """(merged ranges near actions, one gate row per recording).
 
-    Frame numbers are positions, 0 to n - 1 without gaps, so the number of kept
-    frames follows from the ranges and the frames themselves are only counted.
+    Ranges are over positions, 0 to n - 1, so the number of kept frames follows
+    from the ranges and the frames themselves are only counted.
     """
     frame_counts = frames.groupBy("rec_id").agg(F.count(F.lit(1)).alias("n_frames"))
     merged = merge_ranges(
@@ -147,28 +147,33 @@ def trim_frames(
     Frames near an action stay. A recording keeps all its frames when fewer
     than one in five would go.
 
-    The ranges to keep are cut at bucket borders and meet the frames by equality
-    on (recording, bucket). They do not overlap, so a frame finds one piece at
-    most, and a bucket holds no more pieces than half its frames. A long
-    recording is spread over its buckets.
+    Frames count by their position in the order of their numbers, which may have
+    gaps. The ranges to keep are cut at bucket borders and meet the frames by
+    equality on (recording, bucket). They do not overlap, so a frame finds one
+    piece at most, and a bucket holds no more pieces than half its frames. A long
+    recording is spread over its buckets. Recordings left whole need no ranges.
     """
     merged, gate = _wanted(frames, recordings, actions, before_ms, after_ms, keep_ratio)
     near = merged.join(gate.where("trimmed").select("rec_id"), "rec_id", "left_semi")
-    whole = gate.where(~F.col("trimmed")).select(
-        "rec_id", F.lit(0).cast("bigint").alias("start"), (F.col("n_frames") - 1).alias("end")
-    )
-    kept = near.withColumn("trimmed", F.lit(True)).unionByName(
-        whole.withColumn("trimmed", F.lit(False))
-    )
     buckets = F.sequence(_bucket("start"), _bucket("end"))
-    pieces = kept.withColumn("bucket", F.explode(buckets)).alias("p")
-    f = frames.withColumn("bucket", _bucket("frame_idx")).alias("f")
+    pieces = near.withColumn("bucket", F.explode(buckets)).alias("p")
+    place = ordered.range_chunk("frame_idx", 4_096)
+    numbered = ordered.ordinal(frames, ["rec_id"], ["frame_idx"], place, "__position")
+    f = (
+        numbered.withColumn("__position", F.col("__position") - 1)
+        .withColumn("bucket", _bucket("__position"))
+        .alias("f")
+    )
     hit = (
         (F.col("f.rec_id") == F.col("p.rec_id"))
         & (F.col("f.bucket") == F.col("p.bucket"))
-        & F.col("f.frame_idx").between(F.col("p.start"), F.col("p.end"))
+        & F.col("f.__position").between(F.col("p.start"), F.col("p.end"))
+    )
+    trimmed = f.join(pieces, hit).select(*[F.col(f"f.{c}") for c in frames.columns])
+    whole = frames.join(gate.where(~F.col("trimmed")).select("rec_id"), "rec_id", "left_semi")
+    return trimmed.withColumn("trimmed", F.lit(True)).unionByName(
+        whole.select(*frames.columns).withColumn("trimmed", F.lit(False))
     )
-    return f.join(pieces, hit).select(*[F.col(f"f.{c}") for c in frames.columns], "p.trimmed")
 
 
 def _bucket(frame: str) -> Column:

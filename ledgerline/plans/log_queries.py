@@ -235,13 +235,11 @@ def _(spark, d):
 
 @query(
     "log_slice",
-    f"""WITH {D.ACTIONS}, newest AS (
-      SELECT * FROM actions QUALIFY row_number() OVER (PARTITION BY persona ORDER BY ts DESC, id DESC) <= 40)
-    SELECT * FROM newest WHERE ts >= TIMESTAMP '2024-01-10 00:00:00'""",
+    f"WITH {D.ACTIONS} SELECT * FROM actions WHERE ts >= TIMESTAMP '2024-01-10 00:00:00'",
 )
 def _(spark, d):
     since = F.lit(datetime(2024, 1, 10)).cast("timestamp")
-    return log.log_slice(I.actions(spark, d), since, cap=40)
+    return log.log_slice(I.actions(spark, d), since)
 
 
 @query(

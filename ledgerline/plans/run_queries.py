@@ -120,8 +120,8 @@ def _(spark, d):
     )
 
 
-_LABELS = f"""WITH {D.steps(D.DAY)}, cut AS (SELECT * FROM steps WHERE step <= 6), l AS (
-  SELECT *, {_LAGS} FROM cut WINDOW w AS (PARTITION BY run_id ORDER BY step)),
+_LABELS = f"""WITH {D.steps(D.DAY)}, l AS (
+  SELECT *, {_LAGS} FROM steps WINDOW w AS (PARTITION BY run_id ORDER BY step)),
 labelled AS (
   SELECT *, CASE WHEN action_taken = 'done' THEN 'done'
     WHEN {_REPEATS} AND action_taken <> 'recaptcha_checkbox_passed' THEN 'stuck'
@@ -363,14 +363,13 @@ _ANCHORS = r"""clean AS (
     '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
 found AS (SELECT page_id, regexp_extract_all(h, '(?is)<a\b[^>]*>([^<]*)</a>', 1) AS texts FROM clean),
 anchors AS (
-  SELECT * FROM (SELECT page_id, unnest(range(0, len(texts))) AS pos, unnest(texts) AS text FROM found)
-  WHERE pos < 50)"""
+  SELECT page_id, unnest(range(0, len(texts))) AS pos, unnest(texts) AS text FROM found)"""
 
 
 @query(
     "page_elements",
     f"""WITH {_ANCHORS} SELECT page_id, CAST(pos AS INTEGER) AS pos, 'a' AS tag, '' AS id, '' AS name,
-      '' AS type, left(trim(text), 80) AS text FROM anchors""",
+      '' AS type, trim(text) AS text FROM anchors""",
 )
 def _(spark, d):
     return pages.explode_elements(I.source(spark, d, "pages")).select(

@@ -187,7 +187,7 @@ def test_html_elements(spark):
         ("textarea", "abc", ""),
     ]
     assert (first[2].ariaLabel, first[2].role, first[2].visible) == ("Go", "button", None)
-    assert rows(got.groupBy("page_id").count()) == [(1, 5), (3, 50)]
+    assert rows(got.groupBy("page_id").count()) == [(1, 5), (3, 60)]
 
 
 def test_tiers(spark):
@@ -213,3 +213,25 @@ def test_element_match(spark):
     )
     got = joins.match_elements(targets, element_rows(spark, per_page))
     assert rows(got, "target_id", "pos") == [(1, 1), (2, 2), (3, None), (4, None), (5, None)]
+
+
+def test_match_beyond_the_fiftieth_element(spark):
+    listed = [{"text": "no"}] * 60 + [{"text": "Buy now"}, {"text": "buy later"}]
+    targets = spark.createDataFrame([(1, 1, "buy"), (2, 1, "buy")], "target_id bigint, page_id bigint, description string")
+    got = joins.match_elements(targets, element_rows(spark, {1: listed}))
+    assert rows(got, "target_id", "pos") == [(1, 60), (2, 60)]
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    for html in ("<a href=x>text " * 100_000, "<p>a<li>b" * 50_000, "<div><p>x</li>" * 50_000):
+        start = time.perf_counter()
+        pages._list_elements(html)
+        assert time.perf_counter() - start < 5
+
+
+def test_long_texts_stay_whole(spark):
+    html = f"<a>{'word ' * 50}</a><p>one<p><a>two<a>three"
+    got = pages.explode_elements(spark.createDataFrame([(1, html)], "page_id bigint, html string"))
+    assert [r.text for r in got.orderBy("pos").collect()] == [("word " * 50).strip(), "two", "three"]

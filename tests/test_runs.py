@@ -35,8 +35,6 @@ def first_stuck(listed, k=3):
 
 def outcome(listed, max_steps):
     for i, (_run, step, action, page, tier, conf) in enumerate(listed):
-        if step > max_steps:
-            break
         if action == "done":
             return "done", step
         if first_stuck(listed[max(0, i - 2) : i + 1]) and action not in runs.CONTINUED:
@@ -45,7 +43,7 @@ def outcome(listed, max_steps):
             return "needs_guidance", step
         if action == "abort":
             return "aborted", step
-    last = min(max_steps, listed[-1][1])
+    last = listed[-1][1]
     return ("max_steps" if last >= max_steps else "in_progress"), last
 
 
@@ -71,7 +69,7 @@ def test_outcomes_equal_scan(spark):
         run: [
             (run, s, rng.choice(actions), rng.choice(["login", "captcha"]),
              rng.choice(["api"] * 9 + ["heuristics"]), rng.random())
-            for s in range(1, rng.randrange(2, 13))
+            for s in range(1, rng.randrange(2, 19))
         ]
         for run in range(300)
     }
@@ -165,3 +163,14 @@ def test_verified_steps_and_caveats(spark):
     caveats = spark.createDataFrame([(1, "slow"), (2, "moves")], "run_id bigint, caveat string")
     results = spark.createDataFrame([(1, True), (2, False)], "run_id bigint, ok boolean")
     assert rows(runs.verify_caveats(caveats, results), "caveat") == ["moves"]
+
+
+def test_limits_per_run_and_long_runs(spark, cut_all):
+    calm = lambda run, n: [(run, s, "click", "abcd"[s % 4], "api", 0.9) for s in range(1, n)]
+    listed = [*calm(1, 15), (1, 15, "done", "x", "api", 0.9), *calm(2, 6), *calm(3, 6), *calm(4, 31)]
+    starts = spark.createDataFrame(
+        [(1, True, False, 10), (2, True, False, 5), (3, True, False, 10), (4, True, False, None)],
+        "run_id bigint, navigate_ok boolean, fast_path_ok boolean, max_steps int",
+    )
+    got = rows(runs.classify_runs(make(spark, listed), starts, max_steps=30, chunk_size=4), "run_id", "outcome", "end_step")
+    assert got == [(1, "done", 15), (2, "max_steps", 5), (3, "in_progress", 5), (4, "max_steps", 30)]

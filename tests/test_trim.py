@@ -76,3 +76,19 @@ def test_no_action_keeps_everything(spark):
     r = spark.createDataFrame([(1, 0, 4.0)], "rec_id bigint, start_ms bigint, fps double")
     a = spark.createDataFrame([], "rec_id bigint, ts_ms bigint, action string, duration_ms bigint")
     assert rows(trim.trim_frames(f, r, a), "frame_idx") == [0, 1, 2, 3, 4]
+
+
+def test_gaps_in_frame_numbers(spark):
+    recordings = spark.createDataFrame([(1, 0, 1.0), (2, 0, 1.0)], "rec_id bigint, start_ms bigint, fps double")
+    numbers = [0, 1, 2, 5, 6, 7]
+    frames = spark.createDataFrame(
+        [(rec, i, f"f{i}") for rec in (1, 2) for i in numbers], "rec_id bigint, frame_idx bigint, file string"
+    )
+    actions = spark.createDataFrame(
+        [(1, 3_000, "click", None)], "rec_id bigint, ts_ms bigint, action string, duration_ms bigint"
+    )
+    got = trim.trim_frames(frames, recordings, actions)
+    assert rows(got.where("rec_id = 1"), "file") == ["f2", "f5", "f6", "f7"]
+    assert rows(got.where("rec_id = 2"), "file") == [f"f{i}" for i in numbers]
+    summary = trim.trim_summary(frames, recordings, actions)
+    assert rows(summary, "rec_id", "n_near", "trimmed") == [(1, 4, True), (2, 0, False)]
