@@ -43,6 +43,11 @@ HEADLINE = [
     "timeline_lines",
     "brief_lines",
     "audit_log",
+    "replay_results",
+    "checkpoint_audit",
+    "verified_steps",
+    "assigned_ids",
+    "live_stuck_alerts",
 ]
 
 
