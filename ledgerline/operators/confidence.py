@@ -222,3 +222,54 @@ def last_states(trace: DataFrame) -> DataFrame:
 def confidence_state(trace: DataFrame) -> DataFrame:
     """Recipes that exist after the last event, with their state."""
     return last_states(trace).where(F.col("confidence").isNotNull())
+
+
+def replay_state(outcomes: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """What ``confidence_state`` of the full trace holds, from aggregates only.
+
+    The state after the last event needs the latest delete, reset and failure of a key, then what came after them:
+    the successes since the reset and the first save since the delete. Both passes combine rows before they move,
+    and only saves and successes meet the marks of the first one, so a busy key is one row per task of input.
+    """
+    at = F.struct(*ORDER)
+
+    def latest(*kinds: str) -> Column:
+        return F.max(F.when(F.col("outcome").isin(*kinds), at))
+
+    marks = outcomes.groupBy(*KEYS).agg(
+        latest("delete").alias("__deleted"),
+        latest("save", "fast_fail").alias("__reset"),
+        latest("fast_fail").alias("__failed"),
+        latest("save", "success").alias("__verified"),
+    )
+    stored = ["confidence", "created", "last_verified", "last_failed"]
+    if base is None:
+        kinds = ["int", "timestamp", "timestamp", "timestamp"]
+        known = marks.withColumns({f"__b_{c}": F.lit(None).cast(k) for c, k in zip(stored, kinds)})
+    else:
+        held = base.select(*KEYS, *[F.col(c).alias(f"__b_{c}") for c in stored])
+        known = marks.join(held, KEYS, "left")
+    gains = outcomes.where(F.col("outcome").isin("save", "success")).select(*KEYS, "outcome", *ORDER)
+    after = gains.join(marks.select(*KEYS, "__deleted", "__reset"), KEYS).groupBy(*KEYS).agg(
+        F.count(F.when(_is("success") & F.coalesce(at > F.col("__reset"), F.lit(True)), 1)).alias("__successes"),
+        F.min(F.when(_is("save") & F.coalesce(at > F.col("__deleted"), F.lit(True)), at)).alias("__created"),
+    )
+    step = known.join(after, KEYS, "left")
+    on_base = F.col("__deleted").isNull() & F.col("__b_confidence").isNotNull()
+    start = F.when(F.col("__reset").isNotNull(), F.lit(1)).otherwise(F.col("__b_confidence"))
+    value = F.least(F.lit(MAX_CONFIDENCE), start + F.coalesce("__successes", F.lit(0)))
+    failed = F.col("__failed")
+    return (
+        step.where(on_base | F.col("__created").isNotNull())
+        .select(
+            *KEYS,
+            value.cast("int").alias("confidence"),
+            F.when(on_base, F.col("__b_created")).otherwise(F.col("__created.ts")).alias("created"),
+            F.coalesce(F.col("__verified.ts"), F.when(on_base, F.col("__b_last_verified"))).alias("last_verified"),
+            F.when(on_base, F.coalesce(failed["ts"], F.col("__b_last_failed")))
+            .when(failed > F.col("__created"), failed["ts"])
+            .alias("last_failed"),
+        )
+        .withColumn("tier", X.confidence_tier("confidence"))
+        .select(*KEYS, *STATE)
+    )

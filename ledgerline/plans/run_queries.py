@@ -83,7 +83,8 @@ def confidence_trace(spark, d):
       ELSE 'guided' END AS tier, {_SHOWN} FROM last WHERE confidence IS NOT NULL""",
 )
 def _(spark, d):
-    return _shown(confidence.confidence_state(_trace(spark, d)), "domain", "tier")
+    events = confidence.effective_outcomes(I.flow_outcomes(spark, d))
+    return _shown(confidence.replay_state(events, I.stored_flows(spark, d)), "domain", "tier")
 
 
 # --- runs ---

@@ -1,24 +1,40 @@
-"""The live operators run over the event log until it is used up."""
+"""The live operators run over the event log, which arrives in several micro-batches."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ledgerline.plans import derived as D
 from ledgerline.plans import inputs as I
 from ledgerline.plans.registry import query
 from ledgerline.plans.run_queries import _LAGS, _REPEATS, _SHOWN, _TRACE
 from ledgerline.streaming import live
-from ledgerline.streaming.epochs import work_folder
+from ledgerline.streaming.folders import work_folder
 
 
-def _stream(spark: SparkSession, d: str) -> DataFrame:
-    # A pattern, because a plain path must be a folder; it matches a folder too.
-    return spark.readStream.schema(I.SOURCES["events"]).parquet(f"{d}/events.parque[t]")
+PARTS = 3
+
+
+def _arrivals(spark: SparkSession, d: str, path: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Let all events arrive in PARTS micro-batches, in spans of time, and run the live operator after each.
+
+    Between spans the query stops and is started again from its checkpoint, so state is stored and read back.
+    """
+    events = I.source(spark, d, "events")
+    ends = events.agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    place = F.unix_micros("ts") - ends.select(F.unix_micros("first")).scalar()
+    width = ends.select(F.unix_micros("last") - F.unix_micros("first") + 1).scalar()
+    parted = events.withColumn("__part", F.floor(place * PARTS / width))
+    arrived = f"{path}/arrived"
+    for part in range(PARTS):
+        parted.where(F.col("__part") == part).drop("__part").write.mode("append").parquet(arrived)
+        start(spark.readStream.schema(I.SOURCES["events"]).parquet(arrived)).awaitTermination()
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -32,7 +48,7 @@ def _folder(spark: SparkSession, name: str) -> str:
 )
 def _(spark, d):
     path = _folder(spark, "recent")
-    live.live_recent(I.as_actions(_stream(spark, d)), path, once=True).awaitTermination()
+    _arrivals(spark, d, path, lambda events: live.live_recent(I.as_actions(events), path, once=True))
     return live.recent_actions(spark, path)
 
 
@@ -46,8 +62,11 @@ def _(spark, d):
 def _(spark, d):
     path = _folder(spark, "stuck")
     # Event ids grow with time, so they number the steps of a run.
-    steps = I.as_steps(_stream(spark, d), F.col("user_id")).withColumn("step", F.col("event_id"))
-    live.live_stuck(steps, path, once=True).awaitTermination()
+    def start(events):
+        steps = I.as_steps(events, F.col("user_id")).withColumn("step", F.col("event_id"))
+        return live.live_stuck(steps, path, once=True)
+
+    _arrivals(spark, d, path, start)
     return live.stuck_alerts(spark, path)
 
 
@@ -62,7 +81,7 @@ _FROM_NOTHING = _TRACE.replace("FROM customer WHERE c_acctbal > 0", "FROM custom
 )
 def _(spark, d):
     path = _folder(spark, "confidence")
-    live.live_confidence(I.as_outcomes(_stream(spark, d)), path, once=True).awaitTermination()
+    _arrivals(spark, d, path, lambda events: live.live_confidence(I.as_outcomes(events), path, once=True))
     never = F.lit(datetime(1970, 1, 1))
     return live.current_confidence(spark, path).select(
         "domain",
@@ -77,5 +96,5 @@ def _(spark, d):
 )
 def _(spark, d):
     path = _folder(spark, "milestones")
-    live.live_milestones(I.as_milestones(_stream(spark, d)), path, once=True).awaitTermination()
+    _arrivals(spark, d, path, lambda events: live.live_milestones(I.as_milestones(events), path, once=True))
     return live.all_milestones(spark, path)

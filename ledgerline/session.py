@@ -20,6 +20,12 @@ RUNTIME_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Rows can be long texts or pages, so few of them go into one Arrow batch.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    # Idle state expires along with the next rows; otherwise a query that is to end when its input is used up would
+    # run empty batches for ever to look for expired state.
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
 _shipped: set[str] = set()

@@ -1,135 +1,269 @@
-"""Live operators. Each batch runs the batch operator on its rows plus stored state.
+"""Live operators on the state that Spark keeps per key, with expiry.
 
-The state rows are few per key and the work inside a batch is the same
-key-and-chunk work as in batch jobs, so one busy key does not end up in one
-task. Rows of a key are expected in order across batches.
+Each operator is a stateful transformation with a bounded state per key (the newest n rows, the last k - 1 steps,
+one recipe) that a file sink records in append mode, so results are exactly-once and a restart goes on from the
+checkpoint. State of keys that stay idle expires by time-out. What is recorded of a key that changes carries a
+version, and the newest version of a key is its current state.
+
+Rows of a key may come in any order within a micro-batch. Rows older than what a key has already seen cannot be
+replayed: order-dependent operators put them into the same sink as ``late`` rows, which ``late_rows`` returns.
+A micro-batch holds at most what the source's rate limit lets through, and so does the part of it one key has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator
+from typing import Any
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ledgerline.operators import confidence, log, runs
-from ledgerline.streaming.epochs import EPOCH, EpochTable
+from ledgerline.functions import scalars as X
+from ledgerline.operators import confidence, log
 
 ACTIONS = "id bigint, persona string, action string, detail string, ts timestamp"
-STATES = (
-    "domain string, action string, confidence int, tier string, created timestamp, "
-    "last_verified timestamp, last_failed timestamp"
-)
-FAILED = "domain string, action string, run_id bigint, ts timestamp, id bigint"
-TAILS = "run_id bigint, step bigint, action_taken string, page_type string"
-ALERTS = "run_id bigint, stuck_step bigint, action_taken string, page_type string"
+STEPS = "run_id bigint, step bigint, action_taken string, page_type string"
+OUTCOMES = "id bigint, domain string, action string, run_id bigint, outcome string, ts timestamp"
 MILESTONES = "id bigint, persona string, event string, ts timestamp"
+_RECENT = f"version bigint, {ACTIONS}"
+_STUCK = f"late boolean, {STEPS}"
+_CONFIDENCE = (
+    "late boolean, version bigint, domain string, action string, confidence int, created timestamp, "
+    "last_verified timestamp, last_failed timestamp, id bigint, run_id bigint, outcome string, ts timestamp"
+)
+_SPLIT = f"late boolean, {MILESTONES}"
 
+DAY_MS = 24 * 3_600 * 1_000
+SHARDS = 4_096  # groups of rows that need no order; many more than tasks
 
-def _start(stream: DataFrame, handler, path: str, once: bool, name: str) -> StreamingQuery:
-    writer = stream.writeStream.queryName(name).option("checkpointLocation", f"{path}/checkpoint")
-    if once:
-        writer = writer.trigger(availableNow=True)
-    return writer.foreachBatch(handler).start()
 
+def _names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
 
-def _newest_epoch(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of each key from the last epoch that wrote it."""
-    last = rows.groupBy(*keys).agg(F.max(EPOCH).alias(EPOCH))
-    return rows.join(last, [*keys, EPOCH], "left_semi").drop(EPOCH)
 
+def _start(rows: DataFrame, path: str, once: bool, name: str) -> StreamingQuery:
+    writer = rows.writeStream.queryName(name).format("parquet").outputMode("append")
+    writer = writer.option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/rows")
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
-# --- recent actions ---
 
+def _recorded(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{path}/rows")
 
-def live_recent(
-    actions: DataFrame, path: str, n: int = 20, once: bool = False
-) -> StreamingQuery:
-    """Keep the newest n actions per persona; read them with ``recent_actions``."""
-    table = EpochTable(actions.sparkSession, f"{path}/recent", ACTIONS)
 
-    def handle(batch: DataFrame, epoch: int) -> None:
-        def cut(rows: DataFrame) -> DataFrame:
-            return log.newest(rows.drop(EPOCH), ["persona"], ["ts", "id"], n)
+def _newest_version(rows: DataFrame, key: str) -> DataFrame:
+    """All rows of each key's newest version; the maximum is taken before rows move."""
+    last = rows.groupBy(F.col(key).alias("__key")).agg(F.max("version").alias("__last"))
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("version") == F.col("__last"))
+    return rows.join(last, same, "left_semi")
 
-        table.advance(cut(batch), epoch, cut)
 
-    return _start(actions, handle, path, once, "live_recent")
+def _kept(state: GroupState, empty: tuple) -> tuple:
+    return state.get if state.exists else empty
 
 
-def recent_actions(spark, path: str, n: int = 20) -> DataFrame:
-    rows = EpochTable(spark, f"{path}/recent", ACTIONS).current().drop(EPOCH)
-    return log.recent_n(rows, n=n)
+def _idle(state: GroupState) -> bool:
+    """Forget a key that had no rows for the time-out; True if this call was for that."""
+    if state.hasTimedOut:
+        state.remove()
+        return True
+    return False
 
 
-# --- stuck runs ---
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    names = _names(schema)
+    frame = pd.DataFrame(rows, columns=names, dtype=object)
+    for part in schema.split(", "):
+        name, kind = part.split()
+        if kind in ("bigint", "int"):
+            frame[name] = frame[name].astype("Int64")
+        elif kind == "timestamp":
+            frame[name] = pd.to_datetime(frame[name])
+    return frame
 
 
-def live_stuck(steps: DataFrame, path: str, k: int = 3, once: bool = False) -> StreamingQuery:
-    """Write one alert per run when its last k steps first are equal."""
-    spark = steps.sparkSession
-    tails = EpochTable(spark, f"{path}/tails", TAILS)
-    alerts = EpochTable(spark, f"{path}/alerts", ALERTS)
-    columns = ["run_id", "step", "action_taken", "page_type"]
-
-    def handle(batch: DataFrame, epoch: int) -> None:
-        fresh = batch.select(*columns).withColumn("__new", F.lit(True))
-        touched = fresh.select("run_id").distinct()
-        known = _newest_epoch(tails.before(epoch), ["run_id"])
-        context = known.join(touched, "run_id", "left_semi").withColumn("__new", F.lit(False))
-        seen = fresh.unionByName(context)
-        hits = runs.repeats(seen, k).where(F.col("repeats") & F.col("__new"))
-        first = hits.groupBy("run_id").agg(
-            F.min("step").alias("stuck_step"),
-            F.min_by("action_taken", "step").alias("action_taken"),
-            F.min_by("page_type", "step").alias("page_type"),
-        )
-        fired = alerts.before(epoch).select("run_id").distinct()
-        # Alerts are few, and each whole-state epoch repeats the earlier ones.
-        alerts.advance(
-            first.join(fired, "run_id", "left_anti"), epoch, lambda rows: rows.drop(EPOCH)
-        )
-        last = log.newest(seen.drop("__new"), ["run_id"], ["step"], k - 1)
-        tails.advance(last, epoch, lambda rows: _newest_epoch(rows, ["run_id"]))
-
-    return _start(steps, handle, path, once, "live_stuck")
-
-
-def stuck_alerts(spark, path: str) -> DataFrame:
-    return EpochTable(spark, f"{path}/alerts", ALERTS).current().drop(EPOCH)
+def _rows(batches: Iterator[pd.DataFrame], names: list[str]) -> list[tuple]:
+    """A key's rows of one micro-batch as plain values, missing ones as None."""
+    out: list[tuple] = []
+    for batch in batches:
+        columns = [batch[n].astype(object).where(batch[n].notna(), None).tolist() for n in names]
+        out += zip(*columns)
+    return out
 
 
-# --- confidence ---
+def _whole(value: Any) -> int | None:
+    return None if value is None else int(value)
 
 
-def live_confidence(outcomes: DataFrame, path: str, once: bool = False) -> StreamingQuery:
-    """Advance the stored state of each recipe; read it with ``current_confidence``."""
-    spark = outcomes.sparkSession
-    states = EpochTable(spark, f"{path}/states", STATES)
-    failed = EpochTable(spark, f"{path}/failed", FAILED)
+# --- recent actions ---
 
-    def handle(batch: DataFrame, epoch: int) -> None:
-        earlier = failed.before(epoch).drop(EPOCH)
-        events = confidence.effective_outcomes(batch, earlier)
-        keys = batch.select(*confidence.KEYS).distinct()
-        stored = _newest_epoch(states.before(epoch), confidence.KEYS)
-        base = stored.join(keys, confidence.KEYS, "left_semi").where("confidence IS NOT NULL")
-        trace = confidence.replay_confidence(events, base, sized_by=batch)
-        # A NULL state marks a recipe that was deleted.
-        states.advance(
-            confidence.last_states(trace), epoch, lambda rows: _newest_epoch(rows, confidence.KEYS)
-        )
-        failed.advance(
-            confidence.failed_runs(batch), epoch, lambda rows: rows.drop(EPOCH)
-        )
 
-    return _start(outcomes, handle, path, once, "live_confidence")
+def live_recent(
+    actions: DataFrame, path: str, n: int = 20, once: bool = False, idle_ms: int | None = None
+) -> StreamingQuery:
+    """Keep the newest n actions per persona; read them with ``recent_actions``.
+
+    The state is at most n rows, and so is what a busy persona holds in memory beside one Arrow batch; no order of
+    arrival is needed. With ``idle_ms`` a persona that had no rows for so long starts anew with its next one.
+    """
+    names = _names(ACTIONS)
+    order = ["ts", "id"]
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if _idle(state):
+            return
+        version, *kept = _kept(state, (0, [], [], [], []))
+        best = pd.DataFrame(dict(zip(["id", "action", "detail", "ts"], kept)), dtype=object)
+        best["ts"] = pd.to_datetime(best["ts"])
+        for batch in batches:
+            part = batch[["id", "action", "detail", "ts"]]
+            best = part if best.empty else pd.concat([best, part], ignore_index=True)
+            # A row without a time is older than all others, as in the batch operator's descending order.
+            best = best.sort_values(order, ascending=False, na_position="last").head(n)
+        held = [best[c].astype(object).where(best[c].notna(), None).tolist() for c in ("id", "action", "detail")]
+        times = [None if pd.isna(t) else t.to_pydatetime() for t in best["ts"]]
+        version = max(version + 1, state.getCurrentProcessingTimeMs())
+        state.update((version, [_whole(i) for i in held[0]], held[1], held[2], times))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        yield best.assign(version=version, persona=key[0])[["version", *names]]
+
+    stored = "version bigint, ids array<bigint>, actions array<string>, details array<string>, times array<timestamp>"
+    kept = actions.select(*names).groupBy("persona").applyInPandasWithState(
+        fold, _RECENT, stored, "append", GroupStateTimeout.ProcessingTimeTimeout
+    )
+    return _start(kept, path, once, "live_recent")
+
+
+def recent_actions(spark: SparkSession, path: str, n: int = 20) -> DataFrame:
+    """The newest n actions of every persona that the stream has seen."""
+    rows = _newest_version(_recorded(spark, path, _RECENT), "persona")
+    return log.recent_n(rows.select(*_names(ACTIONS)), n=n)
 
 
-def current_confidence(spark, path: str) -> DataFrame:
-    rows = EpochTable(spark, f"{path}/states", STATES).current()
-    return _newest_epoch(rows, confidence.KEYS).where("confidence IS NOT NULL")
+# --- stuck runs ---
+
+
+def live_stuck(
+    steps: DataFrame, path: str, k: int = 3, once: bool = False, idle_ms: int = DAY_MS
+) -> StreamingQuery:
+    """Write one alert per run when its last k steps first are equal; read them with ``stuck_alerts``.
+
+    The state is the last k - 1 steps and whether the run was reported. Steps at or below the newest step of
+    earlier micro-batches are late.
+    """
+    names = _names(STEPS)
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if _idle(state):
+            return
+        last, fired, *tail = _kept(state, (None, False, [], []))
+        tail = list(zip(*tail))
+        found = []
+        newest = last
+        for _, step, action, page in sorted(_rows(batches, names), key=lambda r: r[1]):
+            if last is not None and step <= last:
+                found.append((True, key[0], step, action, page))
+                continue
+            if not fired and len(tail) == k - 1 and all(seen == (action, page) for seen in tail):
+                fired = True
+                found.append((False, key[0], step, action, page))
+            tail = [*tail, (action, page)][1 - k :] if k > 1 else []
+            newest = int(step)
+        state.update((newest, fired, [a for a, _ in tail], [p for _, p in tail]))
+        state.setTimeoutDuration(idle_ms)
+        yield _frame(found, _STUCK)
+
+    stored = "last bigint, fired boolean, actions array<string>, pages array<string>"
+    alerts = steps.select(*names).where("step IS NOT NULL").groupBy("run_id").applyInPandasWithState(
+        fold, _STUCK, stored, "append", GroupStateTimeout.ProcessingTimeTimeout
+    )
+    return _start(alerts, path, once, "live_stuck")
+
+
+def stuck_alerts(spark: SparkSession, path: str) -> DataFrame:
+    alerts = _recorded(spark, path, _STUCK).where("NOT late")
+    return alerts.select("run_id", F.col("step").alias("stuck_step"), "action_taken", "page_type")
+
+
+def late_steps(spark: SparkSession, path: str) -> DataFrame:
+    return _recorded(spark, path, _STUCK).where("late").drop("late")
+
+
+# --- confidence ---
+
+
+def live_confidence(
+    outcomes: DataFrame, path: str, once: bool = False, idle_ms: int = 365 * DAY_MS, run_ms: int = DAY_MS
+) -> StreamingQuery:
+    """Advance the state of each recipe; read it with ``current_confidence``.
+
+    The state is the recipe, the place of its newest event, and the runs whose fast path failed within ``run_ms``
+    of that event: a later success of such a run does not count. Events before the newest one of earlier
+    micro-batches are late.
+    """
+    names = _names(OUTCOMES)
+    span = pd.Timedelta(milliseconds=run_ms)
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if _idle(state):
+            return
+        empty = (0, None, None, None, None, None, None, [], [])
+        version, last_ts, last_id, level, created, verified, failed, runs, since = _kept(state, empty)
+        bad_runs = dict(zip(runs, map(pd.Timestamp, since)))
+        seen = (pd.Timestamp(last_ts), last_id) if last_ts is not None else None
+        out, newest = [], seen
+        for id_, _, _, run, outcome, ts in sorted(_rows(batches, names), key=lambda r: (r[5], r[0])):
+            if seen is not None and (ts, id_) < seen:
+                out.append((True, None, *key, None, None, None, None, id_, _whole(run), outcome, ts))
+                continue
+            newest = (ts, id_)
+            if outcome == "save":
+                level, created, verified = 1, ts if level is None else created, ts
+            elif outcome == "delete":
+                level = created = verified = failed = None
+            elif outcome == "fast_fail":
+                if run is not None:
+                    bad_runs.setdefault(int(run), ts)
+                if level is not None:
+                    level, failed = 1, ts
+            elif outcome == "success" and level is not None and (run is None or int(run) not in bad_runs):
+                level, verified = min(confidence.MAX_CONFIDENCE, level + 1), ts
+        if newest is not None:
+            bad_runs = {run: at for run, at in bad_runs.items() if at >= newest[0] - span}
+            version = max(version + 1, state.getCurrentProcessingTimeMs())
+            plain = [None if t is None else pd.Timestamp(t).to_pydatetime() for t in (created, verified, failed)]
+            at = [t.to_pydatetime() for t in bad_runs.values()]
+            state.update((version, newest[0].to_pydatetime(), int(newest[1]), level, *plain, list(bad_runs), at))
+            state.setTimeoutDuration(idle_ms)
+            out.append((False, version, *key, level, created, verified, failed, None, None, None, None))
+        yield _frame(out, _CONFIDENCE)
+
+    stored = (
+        "version bigint, last_ts timestamp, last_id bigint, level int, created timestamp, verified timestamp, "
+        "failed timestamp, runs array<bigint>, since array<timestamp>"
+    )
+    rows = outcomes.select(*names).where("ts IS NOT NULL AND id IS NOT NULL")
+    states = rows.groupBy(*confidence.KEYS).applyInPandasWithState(
+        fold, _CONFIDENCE, stored, "append", GroupStateTimeout.ProcessingTimeTimeout
+    )
+    return _start(states, path, once, "live_confidence")
+
+
+def current_confidence(spark: SparkSession, path: str) -> DataFrame:
+    """Recipes that exist, with the state of their newest version."""
+    names = ["confidence", "created", "last_verified", "last_failed"]
+    states = _recorded(spark, path, _CONFIDENCE).where("NOT late")
+    last = states.groupBy(*confidence.KEYS).agg(F.max_by(F.struct(*names), "version").alias("__state"))
+    known = last.select(*confidence.KEYS, "__state.*").where("confidence IS NOT NULL")
+    return known.withColumn("tier", X.confidence_tier("confidence"))
+
+
+def late_outcomes(spark: SparkSession, path: str) -> DataFrame:
+    return _recorded(spark, path, _CONFIDENCE).where("late").select(*_names(OUTCOMES))
 
 
 # --- late milestones ---
@@ -138,37 +272,31 @@ def current_confidence(spark, path: str) -> DataFrame:
 def live_milestones(
     milestones: DataFrame, path: str, delay_seconds: int = 3_600, once: bool = False
 ) -> StreamingQuery:
-    """Split arrivals at the watermark: on-time rows to the live table, late ones aside.
+    """Mark arrivals before Spark's watermark as late; ``all_milestones`` folds them in at their event time.
 
-    The watermark of a batch is the newest time of earlier batches minus the
-    delay. ``all_milestones`` folds the late rows in at their event time.
+    A stateful operator with an event-time time-out would drop such rows. This one keeps no state and only reads
+    the watermark, so rows need no order and are grouped by a hash of their id, which splits a busy persona.
     """
-    spark = milestones.sparkSession
-    live = EpochTable(spark, f"{path}/live", MILESTONES)
-    late = EpochTable(spark, f"{path}/late", MILESTONES)
-    clock = EpochTable(spark, f"{path}/clock", "newest timestamp")
+    names = _names(MILESTONES)
 
-    def handle(batch: DataFrame, epoch: int) -> None:
-        rows = batch.select("id", "persona", "event", "ts")
-        newest = clock.before(epoch).agg(F.max("newest").alias("t"))
-        mark = newest.select(F.col("t") - F.make_dt_interval(secs=F.lit(delay_seconds))).scalar()
-        is_late = F.coalesce(F.col("ts") < mark, F.lit(False))
-        live.write(rows.where(~is_late), epoch)
-        late.write(rows.where(is_late), epoch)
-        clock.advance(
-            rows.agg(F.max("ts").alias("newest")),
-            epoch,
-            lambda seen: seen.agg(F.max("newest").alias("newest")),
-        )
+    def split(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+        for batch in batches:
+            rows = batch[names]
+            yield rows.assign(late=rows["ts"] < mark)[["late", *names]]
 
-    return _start(milestones, handle, path, once, "live_milestones")
+    rows = milestones.select(*names).withWatermark("ts", f"{delay_seconds} seconds")
+    shard = F.pmod(F.xxhash64("id", "persona", "event"), F.lit(SHARDS))
+    marked = rows.withColumn("__shard", shard).groupBy("__shard").applyInPandasWithState(
+        split, _SPLIT, "unused boolean", "append", GroupStateTimeout.NoTimeout
+    )
+    return _start(marked, path, once, "live_milestones")
 
 
-def late_milestones(spark, path: str) -> DataFrame:
-    return EpochTable(spark, f"{path}/late", MILESTONES).all()
+def late_milestones(spark: SparkSession, path: str) -> DataFrame:
+    return _recorded(spark, path, _SPLIT).where("late").drop("late")
 
 
-def all_milestones(spark, path: str) -> DataFrame:
+def all_milestones(spark: SparkSession, path: str) -> DataFrame:
     """Live and late rows together, ordered by event time per persona."""
-    live = EpochTable(spark, f"{path}/live", MILESTONES).all()
-    return live.unionByName(late_milestones(spark, path)).orderBy("persona", "ts", "id")
+    return _recorded(spark, path, _SPLIT).drop("late").orderBy("persona", "ts", "id")

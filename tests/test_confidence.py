@@ -68,6 +68,11 @@ def test_replay_equals_fold(spark, monkeypatch, chunk_seconds, with_base, hot_ro
     seen = {r[0]: tuple(r[1:]) for r in rows(
         got, "id", "confidence", "created", "last_verified", "last_failed")}
     assert seen == want
+    state = confidence.replay_state(
+        spark.createDataFrame(events, EVENTS), spark.createDataFrame(base, BASE) if with_base else None
+    )
+    assert rows(state) == rows(confidence.confidence_state(got).select(state.columns))
+    assert state.count() > 5
 
 
 def case(spark, *outcomes):

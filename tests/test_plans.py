@@ -98,3 +98,9 @@ def test_match_is_by_equality(spark):
     flows = spark.createDataFrame([("a.com", "x")], "domain string, action string")
     plan = plan_of(joins.match_flows(urls, flows))
     assert "NestedLoop" not in plan and "partial_min" in plan
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs the supplied tables")
+def test_confidence_state_needs_no_window(spark):
+    plan = plan_of(catalog.QUERIES["confidence_state"](spark, SF))
+    assert "Window" not in plan and "__chunk" not in plan

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import random
 
-import pytest
-
 from ledgerline.operators import confidence, log, runs
-from ledgerline.streaming import epochs, live
+from ledgerline.streaming import folders, live
 from tests.helpers import at, rows
 
 
@@ -22,17 +20,6 @@ def feed(spark, path, batches, schema, start, before=None):
             before(i)
 
 
-@pytest.fixture(autouse=True)
-def short_cycle(monkeypatch):
-    """Whole-state epochs come often enough to be part of each test."""
-    wide = epochs.EpochTable.__init__
-
-    def narrow(self, spark, path, schema, every=3):
-        wide(self, spark, path, schema, every)
-
-    monkeypatch.setattr(epochs.EpochTable, "__init__", narrow)
-
-
 def cut(data, n):
     size = -(-len(data) // n)
     return [data[i : i + size] for i in range(0, len(data), size)]
@@ -51,8 +38,8 @@ def test_stuck_runs_alert_once(spark, tmp_path):
     rng = random.Random(2)
     data = [(run, step, rng.choice("ab"), "x") for step in range(1, 16) for run in range(25)]
     state = str(tmp_path / "state")
-    feed(spark, tmp_path, cut(data, 5), live.TAILS, lambda s: live.live_stuck(s, state, once=True))
-    want = runs.stuck_points(spark.createDataFrame(data, live.TAILS))
+    feed(spark, tmp_path, cut(data, 5), live.STEPS, lambda s: live.live_stuck(s, state, once=True))
+    want = runs.stuck_points(spark.createDataFrame(data, live.STEPS))
     got = live.stuck_alerts(spark, state)
     assert rows(got) == rows(want.select(got.columns))
     assert got.count() == got.select("run_id").distinct().count() > 10
@@ -89,21 +76,40 @@ def test_late_milestones_go_aside_and_come_back(spark, tmp_path):
     assert {r.id for r in back} == set(range(1, 12))
 
 
-def test_an_epoch_run_again_changes_nothing(spark, tmp_path):
-    table = epochs.EpochTable(spark, str(tmp_path / "t"), "k string, v int")
+def test_late_steps_go_aside(spark, tmp_path):
+    batches = [
+        [(1, 2, "a", "x"), (1, 1, "a", "x"), (2, 1, "b", None)],
+        [(1, 1, "late", "x"), (1, 3, "a", "x"), (2, 3, "b", None), (2, 2, "b", None)],
+        [(1, 4, "a", "x"), (2, 3, "late", "y")],
+    ]
+    state = str(tmp_path / "state")
+    feed(spark, tmp_path, batches, live.STEPS, lambda s: live.live_stuck(s, state, once=True))
+    assert rows(live.stuck_alerts(spark, state)) == [(1, 3, "a", "x"), (2, 3, "b", None)]
+    assert rows(live.late_steps(spark, state)) == [(1, 1, "late", "x"), (2, 3, "late", "y")]
 
-    def newest(df):
-        return live._newest_epoch(df, ["k"])
 
-    for epoch in range(8):
-        for _ in range(2):
-            batch = spark.createDataFrame([(f"k{epoch % 3}", epoch)], "k string, v int")
-            table.advance(batch, epoch, newest)
-    assert rows(newest(table.current())) == [("k0", 6), ("k1", 7), ("k2", 5)]
-    assert rows(newest(table.before(4))) == [("k0", 3), ("k1", 1), ("k2", 2)]
+def test_late_outcomes_go_aside(spark, tmp_path):
+    batches = [
+        [(2, "a.com", "login", 1, "success", at(2)), (1, "a.com", "login", 1, "save", at(1))],
+        [(4, "a.com", "login", 2, "fast_fail", at(4)), (0, "a.com", "login", 1, "delete", at(0))],
+        [(5, "a.com", "login", 2, "success", at(5)), (6, "a.com", "login", 3, "success", at(6))],
+    ]
+    state = str(tmp_path / "state")
+    feed(spark, tmp_path, batches, live.OUTCOMES, lambda s: live.live_confidence(s, state, once=True))
+    got = live.current_confidence(spark, state)
+    assert rows(got, "confidence", "created", "last_verified", "last_failed") == [(2, at(1), at(6), at(4))]
+    assert rows(live.late_outcomes(spark, state), "id") == [0]
+
+
+def test_repeated_and_missing_values_in_recent_actions(spark, tmp_path):
+    row = (1, "p", None, None, at(1))
+    batches = [[row, row, (2, "p", "b", "", None)], [(None, None, "c", "d", at(2))]]
+    state = str(tmp_path / "state")
+    feed(spark, tmp_path, batches, live.ACTIONS, lambda s: live.live_recent(s, state, 2, once=True))
+    assert rows(live.recent_actions(spark, state, 2)) == [row, row, (None, None, "c", "d", at(2))]
 
 
 def test_folder_needs_a_shared_place_on_a_cluster(spark):
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    folder = epochs.work_folder(spark)
+    folder = folders.work_folder(spark)
     assert folder == shared.rstrip("/") if shared else folder
