@@ -10,12 +10,13 @@ join are spread over chunks, and the summary is pre-aggregated before its
 shuffle.
 
 Only busy keys are cut. Row counts are taken per hash slot of the key, a fixed
-number of slots, and a key is cut when its slot holds many rows; the rows of
-any other key form one chunk, which costs no more than a plain window: summaries
-are made for cut keys only.
+number of slots, and a key is cut when its slot holds more than HOT_ROWS rows,
+however large the table is; the rows of any other key form one chunk, which
+costs no more than a plain window: summaries are made for cut keys only.
 
 The chunk must grow with the order columns: rows of an earlier chunk sort
-before rows of a later one. Key columns must not be NULL (the tables declare
+before rows of a later one. Rows without an order value sort first and have a
+chunk of their own. Key columns must not be NULL (the tables declare
 them so): the join back uses plain equality, which keeps the partitioning of
 the window and saves a shuffle of the big side.
 """
@@ -30,9 +31,13 @@ from pyspark.sql import functions as F
 
 CHUNK = "__chunk"
 SECONDS = 600
-SLOTS = 16_384
+# Slots are kept as bits of this many numbers.
+WORDS = 16_384
+SLOTS = 64 * WORDS
 # Keys in slots with more rows than this are cut; 0 cuts every key.
 HOT_ROWS = 1_000_000
+# Chunk of rows without an order value.
+FIRST = -(1 << 63)
 
 
 def time_chunk(ts: Column | str, seconds: int = SECONDS) -> Column:
@@ -56,33 +61,30 @@ def chunked(
     bare key, windows over (key, chunk) would accept that and leave a busy key
     in one task. ``sized_by`` is a cheaper table to count keys on than ``df``.
     """
-    cut = chunk
+    cut = F.coalesce(chunk, F.lit(FIRST))
     if HOT_ROWS > 0 and keys:
         slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS))
-        cut = F.when(F.get(_busy_slots(sized_by or df, slot), slot.cast("int")), chunk)
+        word = F.get(_busy_slots(sized_by or df, slot), F.floor(slot / 64).cast("int"))
+        cut = F.when(F.getbit(word, F.pmod(slot, F.lit(64)).cast("int")) == 1, cut)
     return df.withColumn(CHUNK, cut).repartition(*keys, CHUNK)
 
 
 def _busy_slots(df: DataFrame, slot: Column) -> Column:
-    """One flag per hash slot, as a value of fixed size that is read by position.
+    """One bit per hash slot, set above HOT_ROWS: a value of fixed size that is read by position.
 
-    A slot is busy above HOT_ROWS, or above four times the average slot once the
-    table is so large that average slots are. Keys that share a busy slot are
-    cut without need, which changes no result.
+    Keys that share a busy slot are cut without need, which changes no result.
     """
-    # One zero row per slot makes the list of counts complete, so that sorting it
-    # is enough to read it by position.
-    zeros = df.sparkSession.range(0, SLOTS, 1, 1).select(
-        F.col("id").alias("slot"), F.lit(0).cast("bigint").alias("n")
+    per_slot = df.select(slot.alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("slot", F.lit(64)).cast("int"))
+    busy = per_slot.where(F.col("n") > HOT_ROWS).select(F.floor(F.col("slot") / 64).alias("word"), bit.alias("bits"))
+    # One empty number per place makes the list complete, so that sorting it is
+    # enough to read it by position.
+    empty = df.sparkSession.range(0, WORDS, 1, 1).select(
+        F.col("id").alias("word"), F.lit(0).cast("bigint").alias("bits")
     )
-    ones = df.select(slot.alias("slot"), F.lit(1).cast("bigint").alias("n"))
-    per_slot = ones.unionByName(zeros).groupBy("slot").agg(F.sum("n").alias("n"))
-    sizes = per_slot.agg(
-        F.array_sort(F.collect_list(F.struct("slot", "n"))).alias("sizes"),
-        F.sum("n").alias("total"),
-    )
-    limit = F.greatest(F.lit(HOT_ROWS).cast("double"), F.col("total") * (4 / SLOTS))
-    return sizes.select(F.transform("sizes", lambda s: s["n"] > limit)).scalar()
+    words = busy.unionByName(empty).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    listed = F.array_sort(F.collect_list(F.struct("word", "bits")))
+    return words.agg(listed.alias("listed")).select(F.transform("listed", lambda w: w["bits"])).scalar()
 
 
 def chunk_window(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
@@ -133,10 +135,15 @@ def before(window: WindowSpec) -> WindowSpec:
 
 
 def ordinal(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, name: str
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    chunk: Column,
+    name: str,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Position 1..n of each row within its key."""
-    local = chunked(df, keys, chunk).withColumn(
+    local = chunked(df, keys, chunk, sized_by).withColumn(
         name, F.row_number().over(chunk_window(keys, order)).cast("bigint")
     )
     placed = carry(
@@ -158,6 +165,7 @@ def previous_rows(
     n: int,
     cols: Sequence[str],
     name: str,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Add an array of up to n structs: the preceding rows of the key, oldest first.
 
@@ -166,7 +174,7 @@ def previous_rows(
     """
     w = chunk_window(keys, order)
     local = (
-        chunked(df, keys, chunk)
+        chunked(df, keys, chunk, sized_by)
         .withColumn(name, F.collect_list(F.struct(*cols)).over(w.rowsBetween(-n, -1)))
         .withColumn("__is_tail", F.lead(F.lit(True), n).over(w).isNull())
     )

@@ -13,11 +13,17 @@ CONTINUED = ("recaptcha_checkbox_passed", "recaptcha_challenge_solved")
 LOW_CONFIDENCE = 0.5
 
 
-def repeats(steps: DataFrame, k: int = 3, chunk_size: int = 4_096) -> DataFrame:
-    """Flag steps that end k equal (action_taken, page_type) rows in a row."""
+def repeats(
+    steps: DataFrame, k: int = 3, chunk_size: int = 4_096, sized_by: DataFrame | None = None
+) -> DataFrame:
+    """Flag steps that end k equal (action_taken, page_type) rows in a row.
+
+    Here and below, ``sized_by`` is a table with the same runs that is cheaper to count than ``steps``.
+    """
     same = ["action_taken", "page_type"]
     seen = ordered.previous_rows(
-        steps, ["run_id"], ["step"], ordered.range_chunk("step", chunk_size), k - 1, same, "__prev"
+        steps, ["run_id"], ["step"], ordered.range_chunk("step", chunk_size), k - 1, same, "__prev",
+        sized_by,
     )
     equal = F.forall(
         "__prev",
@@ -27,9 +33,11 @@ def repeats(steps: DataFrame, k: int = 3, chunk_size: int = 4_096) -> DataFrame:
     return seen.withColumn("repeats", (F.size("__prev") == k - 1) & equal).drop("__prev")
 
 
-def stuck_points(steps: DataFrame, k: int = 3, chunk_size: int = 4_096) -> DataFrame:
+def stuck_points(
+    steps: DataFrame, k: int = 3, chunk_size: int = 4_096, sized_by: DataFrame | None = None
+) -> DataFrame:
     """First step per run at which the last k steps had equal action and page type."""
-    hits = repeats(steps, k, chunk_size).where("repeats")
+    hits = repeats(steps, k, chunk_size, sized_by).where("repeats")
     return hits.groupBy("run_id").agg(
         F.min("step").alias("stuck_step"),
         F.min_by("action_taken", "step").alias("action_taken"),
@@ -37,11 +45,14 @@ def stuck_points(steps: DataFrame, k: int = 3, chunk_size: int = 4_096) -> DataF
     )
 
 
-def with_history(steps: DataFrame, n: int = 3, chunk_size: int = 4_096) -> DataFrame:
+def with_history(
+    steps: DataFrame, n: int = 3, chunk_size: int = 4_096, sized_by: DataFrame | None = None
+) -> DataFrame:
     """Add the last n steps before each step as text lines."""
     cols = ["step", "description", "action_taken", "confidence"]
     seen = ordered.previous_rows(
-        steps, ["run_id"], ["step"], ordered.range_chunk("step", chunk_size), n, cols, "__prev"
+        steps, ["run_id"], ["step"], ordered.range_chunk("step", chunk_size), n, cols, "__prev",
+        sized_by,
     )
 
     def text(name):
@@ -80,7 +91,12 @@ def _label(step: Column, repeated: Column) -> Column:
 
 
 def classify_runs(
-    steps: DataFrame, runs: DataFrame | None = None, max_steps: int = 10, k: int = 3, chunk_size: int = 4_096
+    steps: DataFrame,
+    runs: DataFrame | None = None,
+    max_steps: int = 10,
+    k: int = 3,
+    chunk_size: int = 4_096,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """One row per run: outcome, the step that ended it, and its label inputs.
 
@@ -95,7 +111,7 @@ def classify_runs(
     label = _label({f: F.col(f) for f in ("action_taken", "tier", "confidence")}, F.col("repeats"))
     fields = ["step", "label", "page_type", "action_taken"]
     per_run = (
-        repeats(steps, k, chunk_size)
+        repeats(steps, k, chunk_size, sized_by)
         .withColumn("label", label)
         .groupBy("run_id")
         .agg(

@@ -344,6 +344,11 @@ def user_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _steps(spark, sf_dir, F.col("user_id"))
 
 
+def raw_runs(spark: SparkSession, sf_dir: str, run: Column) -> DataFrame:
+    """The runs of the steps, read straight from the log, to count their rows on."""
+    return source(spark, sf_dir, "events").select(run.alias("run_id"))
+
+
 def flow_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_outcomes(source(spark, sf_dir, "events"))
 

@@ -103,7 +103,7 @@ _REPEATS = "coalesce(action_taken = a1 AND a1 = a2 AND page_type = p1 AND p1 = p
       arg_min(page_type, step) AS page_type FROM l WHERE {_REPEATS} GROUP BY run_id""",
 )
 def stuck_runs(spark, d):
-    return runs.stuck_points(I.user_steps(spark, d), chunk_size=32)
+    return runs.stuck_points(I.user_steps(spark, d), chunk_size=32, sized_by=I.raw_runs(spark, d, F.col("user_id")))
 
 
 @query(
@@ -114,7 +114,7 @@ def stuck_runs(spark, d):
     FROM t WINDOW w AS (PARTITION BY run_id ORDER BY step)""",
 )
 def _(spark, d):
-    steps = runs.with_history(I.user_steps(spark, d), chunk_size=16)
+    steps = runs.with_history(I.user_steps(spark, d), chunk_size=16, sized_by=I.raw_runs(spark, d, F.col("user_id")))
     # Float text differs between engines, so the confidence part is cut off here.
     return steps.select(
         "run_id", "step", F.regexp_replace("history", r" \(conf: [^)]*\)", "").alias("history")
@@ -139,7 +139,8 @@ ended AS (
       AS outcome, coalesce(end_step, last) AS end_step FROM ended""",
 )
 def run_outcomes(spark, d):
-    return runs.classify_runs(I.day_steps(spark, d), max_steps=6).select("run_id", "outcome", "end_step")
+    counted = I.raw_runs(spark, d, I.user_day())
+    return runs.classify_runs(I.day_steps(spark, d), max_steps=6, sized_by=counted).select("run_id", "outcome", "end_step")
 
 
 _RUNS = f"""runs AS (SELECT {D.DAY} AS run_id, min(value) >= 2 AS navigate_ok, max(value) > 120 AS fast_path_ok
@@ -160,7 +161,8 @@ def _(spark, d):
             (F.min("value") >= 2).alias("navigate_ok"), (F.max("value") > 120).alias("fast_path_ok")
         )
     )
-    return runs.classify_runs(I.day_steps(spark, d), starts, max_steps=6).select("run_id", "outcome")
+    counted = I.raw_runs(spark, d, I.user_day())
+    return runs.classify_runs(I.day_steps(spark, d), starts, max_steps=6, sized_by=counted).select("run_id", "outcome")
 
 
 def _recipes(spark, d):

@@ -91,3 +91,19 @@ def test_ranges_of_a_long_recording(hot):
     assert merged.count() == N
     touching = ranges.withColumn("end", F.col("start") + 9)
     assert rows(trim.merge_ranges(touching, ["rec_id"], chunk_size=64)) == [(1, 0, N * 10 - 1)]
+
+
+def test_rows_without_order_values_are_numbered_alike_cut_or_not(spark, monkeypatch):
+    data = [("a", None, 3), ("a", None, 1), *[("a", i * 5_000, i) for i in range(5)], ("b", None, 2), ("b", 7, 9)]
+    df = spark.createDataFrame(data, "run_id string, step bigint, id bigint")
+
+    def numbered():
+        got = ordered.ordinal(df, ["run_id"], ["step", "id"], ordered.range_chunk("step"), "n")
+        return rows(got, "run_id", "id", "n")
+
+    monkeypatch.setattr(ordered, "HOT_ROWS", 1_000)
+    whole = numbered()
+    assert [r for r in whole if r[0] == "a"][:1] == [("a", 0, 3)]
+    for limit in (0, 3):
+        monkeypatch.setattr(ordered, "HOT_ROWS", limit)
+        assert numbered() == whole
