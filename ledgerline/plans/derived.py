@@ -80,14 +80,16 @@ DIGEST_PERSONAS = """digest_personas AS (
 
 FLOWS = f"""sites AS (
   SELECT page_id, url, {DOMAIN} AS domain, regexp_extract(url, '://[^/]*/([a-z]+)/', 1) AS action FROM pages),
+recipe_sites AS (
+  SELECT page_id, url, action, CASE WHEN url LIKE 'https://%' THEN replace(domain, 'example.org', 'example.invalid')
+    ELSE 'old.' || domain END AS domain FROM sites),
 flows AS (
   SELECT min(page_id) AS id, domain, action, 'Read ' || action AS description,
          CAST(least(10, count(*)) AS INTEGER) AS confidence, min(url) AS first_url, count(*) AS n,
          {minutes('min(page_id)')} AS created,
          CASE WHEN count(*) > 1 THEN {minutes('min(page_id) + 60')} END AS last_verified,
          CASE WHEN count(*) > 3 THEN {minutes('min(page_id) + 30')} END AS last_failed
-  FROM sites WHERE url LIKE 'https://%' AND domain NOT LIKE '%example.org'
-  GROUP BY domain, action)"""
+  FROM recipe_sites GROUP BY domain, action)"""
 
 ELEMENTS = f"""elements AS (
   SELECT {DAY} AS page_id, event_id AS pos,
@@ -141,7 +143,7 @@ STORED_FLOWS = f"""stored AS (
     CAST(least(10, c_nationkey) AS INTEGER) AS b_confidence, {minutes('c_custkey')} AS b_created,
     CASE WHEN c_nationkey > 5 THEN {minutes('c_custkey + 10')} END AS b_verified,
     CASE WHEN c_nationkey > 15 THEN {minutes('c_custkey + 5')} END AS b_failed
-  FROM customer WHERE c_acctbal > 0)"""
+  FROM customer)"""
 
 FRAMES = """recordings AS (
   SELECT user_id AS rec_id, epoch_us(min(ts)) // 1000 + 7200000 AS start_ms, epoch_us(max(ts)) // 1000 AS last_ms,

@@ -200,16 +200,19 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recipes for the sites served over https, outside example.org."""
+    """Recipes of all pages.
+
+    Those of plain http pages are held under a host of their own, so that they match by base domain at most, and
+    those of example.org under a domain without pages, so that its URLs match nothing.
+    """
+    held = F.when(F.col("url").startswith("https://"), F.replace("domain", F.lit("example.org"), F.lit("example.invalid")))
     sites = urls(spark, sf_dir).select(
         "page_id",
         "url",
         X.extract_domain("url").alias("domain"),
         F.regexp_extract("url", r"://[^/]*/([a-z]+)/", 1).alias("action"),
     )
-    sites = sites.where(
-        F.col("url").startswith("https://") & (X.base_domain("domain") != "example.org")
-    )
+    sites = sites.withColumn("domain", held.otherwise(F.concat(F.lit("old."), F.col("domain"))))
     grouped = sites.groupBy("domain", "action").agg(
         F.min("page_id").alias("id"),
         F.count(F.lit(1)).alias("n"),
@@ -369,11 +372,10 @@ def as_outcomes(events: DataFrame) -> DataFrame:
 
 
 def stored_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recipes stored before the first outcome; only some sites have one."""
+    """Recipes stored before the first outcome."""
     n = F.col("c_nationkey")
     return (
         source(spark, sf_dir, "customer")
-        .where(F.col("c_acctbal") > 0)
         .select(
             F.concat(F.lit("site"), F.col("c_custkey").cast("string"), F.lit(".example.com")).alias(
                 "domain"

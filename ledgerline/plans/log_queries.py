@@ -353,10 +353,12 @@ def _(spark, d):
 
 @query(
     "split_tags",
-    "SELECT doc_id AS id, lang || '|' || source AS tags, CAST(2 AS INTEGER) AS n FROM documents",
+    """SELECT doc_id AS id, lang || '|' || source || CASE WHEN doc_id % 3 = 0 THEN '|third' ELSE '' END AS tags,
+      CAST(CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 2 END AS INTEGER) AS n FROM documents""",
 )
 def _(spark, d):
-    tags = X.split_tags("tags")
+    listed = F.when(F.col("id") % 3 == 0, F.concat("tags", F.lit(" ,, third,"))).otherwise(F.col("tags"))
+    tags = X.split_tags(listed)
     return I.context(spark, d).select("id", F.array_join(tags, "|").alias("tags"), F.size(tags).alias("n"))
 
 
@@ -445,10 +447,16 @@ def _(spark, d):
     )
 
 
-@query("conversation_json", "SELECT conv_id, turn, false AS found FROM conversations")
+@query(
+    "conversation_json",
+    "SELECT conv_id, turn, turn % 3 = 0 AS found, CASE WHEN turn % 3 = 0 THEN role ELSE '' END AS role FROM conversations",
+)
 def _(spark, d):
     c = I.source(spark, d, "conversations")
-    return c.select("conv_id", "turn", X.extract_json("text").isNotNull().alias("found"))
+    answer = F.concat(F.lit(' {"turn":'), F.col("turn").cast("string"), F.lit(',"role":"'), "role", F.lit('"} done'))
+    value = X.extract_json(F.when(F.col("turn") % 3 == 0, F.concat("text", answer)).otherwise(F.col("text")))
+    role = F.coalesce(F.variant_get(value, "$.role", "string"), F.lit(""))
+    return c.select("conv_id", "turn", value.isNotNull().alias("found"), role.alias("role"))
 
 
 # --- log reads ---

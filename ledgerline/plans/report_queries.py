@@ -549,7 +549,7 @@ def digest_worksheet_lines(spark, d):
             0,
             [
                 "'  Step ' || step || ': [' || page_type || '] ' || description || ' -> ' || action_taken"
-                " || ' (tier: ' || tier || ', conf: '"
+                " || ' (tier: ' || tier || ', conf: ' || printf('%.1f', floor(confidence * 2) / 2) || ')'"
             ],
             "run_id",
             seq="step",
@@ -557,9 +557,9 @@ def digest_worksheet_lines(spark, d):
     ),
 )
 def _(spark, d):
-    lines = _shown(reports.step_log(I.day_steps(spark, d)), "run_id")
-    # Engines round halves differently, so the number itself is left to the fixtures.
-    return lines.withColumn("line", F.regexp_replace("line", r"[0-9.]+\)$", ""))
+    # Engines round halves differently; halves of one need no rounding.
+    steps = I.day_steps(spark, d).withColumn("confidence", F.floor(F.col("confidence") * 2) / 2)
+    return _shown(reports.step_log(steps), "run_id")
 
 
 @query(

@@ -109,16 +109,16 @@ def stuck_runs(spark, d):
 @query(
     "step_history",
     f"""WITH {D.steps('user_id')}, t AS (
-      SELECT run_id, step, '  Step ' || step || ': ' || description || ' -> ' || action_taken AS line FROM steps)
+      SELECT run_id, step, '  Step ' || step || ': ' || description || ' -> ' || action_taken
+        || ' (conf: ' || floor(confidence * 64) / 64 || ')' AS line FROM steps)
     SELECT run_id, step, concat_ws(chr(10), lag(line, 3) OVER w, lag(line, 2) OVER w, lag(line, 1) OVER w) AS history
     FROM t WINDOW w AS (PARTITION BY run_id ORDER BY step)""",
 )
 def _(spark, d):
-    steps = runs.with_history(I.user_steps(spark, d), chunk_size=16, sized_by=I.raw_runs(spark, d, F.col("user_id")))
-    # Float text differs between engines, so the confidence part is cut off here.
-    return steps.select(
-        "run_id", "step", F.regexp_replace("history", r" \(conf: [^)]*\)", "").alias("history")
-    )
+    # 64ths are written alike by both engines.
+    steps = I.user_steps(spark, d).withColumn("confidence", F.floor(F.col("confidence") * 64) / 64)
+    counted = I.raw_runs(spark, d, F.col("user_id"))
+    return runs.with_history(steps, chunk_size=16, sized_by=counted).select("run_id", "step", "history")
 
 
 _LABELS = f"""WITH {D.steps(D.DAY)}, l AS (

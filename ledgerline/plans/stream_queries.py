@@ -70,7 +70,7 @@ def _(spark, d):
     return live.stuck_alerts(spark, path)
 
 
-_FROM_NOTHING = _TRACE.replace("FROM customer WHERE c_acctbal > 0", "FROM customer WHERE false")
+_FROM_NOTHING = _TRACE.replace("FROM customer)", "FROM customer WHERE false)")
 
 
 @query(
