@@ -308,8 +308,8 @@ def page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visited.unionByName(stored)
 
 
-def as_steps(events: DataFrame, run: Column) -> DataFrame:
-    """Step rows without their number."""
+def as_steps(events: DataFrame, run: Column, *carried: str) -> DataFrame:
+    """Step rows without their number; ``carried`` are columns of the events to keep."""
     v = F.col("value")
     return events.select(
         run.alias("run_id"),
@@ -329,18 +329,19 @@ def as_steps(events: DataFrame, run: Column) -> DataFrame:
         ).alias("action_taken"),
         F.when((v < 15) | (F.col("event_type") == "view"), "heuristics").otherwise("api").alias("tier"),
         F.least(F.lit(1.0), v / 100).alias("confidence"),
+        *carried,
     )
 
 
-def _steps(spark: SparkSession, sf_dir: str, run: Column) -> DataFrame:
-    rows = as_steps(source(spark, sf_dir, "events"), run)
+def _steps(spark: SparkSession, sf_dir: str, run: Column, *carried: str) -> DataFrame:
+    rows = as_steps(source(spark, sf_dir, "events"), run, *carried)
     return ordered.ordinal(
         rows, ["run_id"], ["ts", "event_id"], ordered.time_chunk("ts"), "step"
     )
 
 
-def day_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _steps(spark, sf_dir, user_day())
+def day_steps(spark: SparkSession, sf_dir: str, *carried: str) -> DataFrame:
+    return _steps(spark, sf_dir, user_day(), *carried)
 
 
 def user_steps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,9 +188,7 @@ def _recipes(spark, d):
     UNION ALL SELECT -1 - page_id, false, 0, 0, -1, 'No steps in recipe' FROM pages""",
 )
 def _(spark, d):
-    results = I.day_steps(spark, d).join(
-        I.source(spark, d, "events").select("event_id", "event_type", "value"), "event_id"
-    )
+    results = I.day_steps(spark, d, "event_type", "value")
     results = results.select(
         "run_id",
         (F.col("step") - 1).alias("step"),
@@ -264,9 +262,7 @@ def _(spark, d):
     FROM (SELECT *, coalesce(e <> '' AND o IS NOT NULL AND e <> o, false) AS bad FROM s) GROUP BY run_id""",
 )
 def _(spark, d):
-    rows = I.day_steps(spark, d).join(
-        I.source(spark, d, "events").select("event_id", "event_type", "value"), "event_id"
-    )
+    rows = I.day_steps(spark, d, "event_type", "value")
     t, v = F.col("event_type"), F.col("value")
     steps = rows.select(
         "run_id",
