@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline import schemas
-from ledgerline.operators import log, ordered
+from ledgerline.operators import joins, log, ordered
 
 DEFAULT_PERSONA = "default"
 # Columns a patch may touch, per table.
@@ -69,7 +69,11 @@ def ensure_default(personas: DataFrame, as_of: datetime) -> DataFrame:
 
 
 def assign_ids(
-    base: DataFrame, new: DataFrame, order: Sequence[str], chunk: Column, id_col: str = "id"
+    base: DataFrame,
+    new: DataFrame,
+    order: Sequence[str],
+    chunk: Column | Sequence[Column],
+    id_col: str = "id",
 ) -> DataFrame:
     """Dense ids after the highest id of the base, in batch order."""
     last = base.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("m")).scalar()
@@ -158,9 +162,8 @@ def soft_delete(base: DataFrame, ids: DataFrame, as_of: datetime | Column) -> Da
 def hard_delete(
     base: DataFrame, doomed: DataFrame, keys: Sequence[str] = ("id",)
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows that stay, rows that went)."""
-    wanted = doomed.select(*keys).distinct()
-    return base.join(wanted, [*keys], "left_anti"), base.join(wanted, [*keys], "left_semi")
+    """(rows that stay, rows that went); ``joins.flag_known`` gives both in one table."""
+    return joins.split_conflicts(base, doomed, keys)
 
 
 def cascade_delete(

@@ -9,6 +9,7 @@ only, never the list of a key's events.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 from functools import partial
 
@@ -70,7 +71,7 @@ def _total_before(window, column: str) -> Column:
 def replay_confidence(
     outcomes: DataFrame,
     base: DataFrame | None = None,
-    chunk: Column | None = None,
+    chunk: Column | Sequence[Column] | None = None,
     sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """State after every event: confidence, tier, created, last_verified, last_failed.
@@ -78,7 +79,7 @@ def replay_confidence(
     ``base`` holds stored recipes (domain, action, confidence, created,
     last_verified, last_failed) from before the first event. State columns are
     NULL while the recipe does not exist. ``sized_by`` is a table with the same
-    keys that is cheaper to count than ``outcomes``, such as the unfiltered log.
+    keys and ``ts`` that is cheaper to count than ``outcomes``, such as the unfiltered log.
     """
     stored = ["confidence", "created", "last_verified", "last_failed"]
     held = [f"__b_{c}" for c in stored]

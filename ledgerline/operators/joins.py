@@ -47,12 +47,18 @@ def orphans(child: DataFrame, parent: DataFrame, on: tuple[str, str]) -> DataFra
     return child.join(keys, child_col, "left_anti")
 
 
+def flag_known(rows: DataFrame, base: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
+    """Add whether the base holds the row's key, in one pass; a key with a NULL is not held."""
+    known = base.select(*keys).distinct().withColumn(flag, F.lit(True))
+    return rows.join(known, [*keys], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
 def split_conflicts(
     new: DataFrame, base: DataFrame, keys: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows free to insert, rows whose key already exists)."""
-    taken = base.select(*keys).distinct()
-    return new.join(taken, [*keys], "left_anti"), new.join(taken, [*keys], "left_semi")
+    """(rows free to insert, rows whose key already exists); ``flag_known`` gives both in one table."""
+    flagged = flag_known(new, base, keys, "__taken")
+    return flagged.where(~F.col("__taken")).drop("__taken"), flagged.where("__taken").drop("__taken")
 
 
 # --- URLs to recipes ---

@@ -14,6 +14,12 @@ number of slots, and a key is cut when its slot holds more than HOT_ROWS rows,
 however large the table is; the rows of any other key form one chunk, which
 costs no more than a plain window: summaries are made for cut keys only.
 
+Chunks follow the data: widths come as a list, coarse to fine, each dividing
+the one before. A chunk that holds more than HOT_ROWS rows by the same kind of
+count is cut again by the next width, so a burst is split and quiet spans stay
+whole. The counts are exact, not sketches: a plan may evaluate them twice and
+must get the same chunks.
+
 The chunk must grow with the order columns: rows of an earlier chunk sort
 before rows of a later one. Rows without an order value sort first and have a
 chunk of their own. Key columns must not be NULL (the tables declare
@@ -38,48 +44,68 @@ SLOTS = 64 * WORDS
 HOT_ROWS = 1_000_000
 # Chunk of rows without an order value.
 FIRST = -(1 << 63)
+# Without keys, chunks are summed in groups of 2 ** 36 (microseconds: 19 hours) first.
+GROUP_BITS = 36
+
 
+def time_chunk(ts: Column | str, seconds: int = SECONDS) -> list[Column]:
+    """Chunks for rows ordered by a timestamp: starts of time spans, then of seconds and milliseconds.
 
-def time_chunk(ts: Column | str, seconds: int = SECONDS) -> Column:
-    """Chunk for rows ordered by a timestamp: the start of its time span."""
+    Rows of one key and one millisecond are not cut further.
+    """
     micros = F.unix_micros(F.col(ts) if isinstance(ts, str) else ts)
-    return micros - F.pmod(micros, F.lit(seconds * 1_000_000))
+    widths = [seconds * 1_000_000, 1_000_000, 1_000]
+    return [micros - F.pmod(micros, F.lit(width)) for width in widths]
 
 
 def range_chunk(position: Column | str, size: int = 4_096) -> Column:
-    """Chunk for rows ordered by a number: the start of its range."""
+    """Chunk for rows ordered by a number that no two rows of a key share: the start of its range."""
     c = (F.col(position) if isinstance(position, str) else position).cast("bigint")
     return c - F.pmod(c, F.lit(size))
 
 
 def chunked(
-    df: DataFrame, keys: Sequence[str], chunk: Column, sized_by: DataFrame | None = None
+    df: DataFrame, keys: Sequence[str], chunk: Column | Sequence[Column], sized_by: DataFrame | None = None
 ) -> DataFrame:
     """Add the chunk column (NULL for keys that stay whole) and spread rows by (key, chunk).
 
     The repartition is explicit: if the input were already partitioned by the
     bare key, windows over (key, chunk) would accept that and leave a busy key
-    in one task. ``sized_by`` is a cheaper table to count keys on than ``df``.
+    in one task. ``sized_by`` is a cheaper table to count rows on than ``df``,
+    with the keys and, where there are several widths, the order column.
     """
-    cut = F.coalesce(chunk, F.lit(FIRST))
-    if HOT_ROWS > 0 and keys:
-        slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS))
-        word = F.get(_busy_slots(sized_by or df, slot), F.floor(slot / 64).cast("int"))
-        cut = F.when(F.getbit(word, F.pmod(slot, F.lit(64)).cast("int")) == 1, cut)
+    widths = [F.coalesce(c, F.lit(FIRST)) for c in ([chunk] if isinstance(chunk, Column) else chunk)]
+    cut = widths[0]
+    if HOT_ROWS > 0 and (keys or len(widths) > 1):
+        groups = ([list(keys)] if keys else []) + [[*keys, width] for width in widths[:-1]]
+        slots = [F.pmod(F.xxhash64(*group), F.lit(SLOTS)) + i * SLOTS for i, group in enumerate(groups)]
+        bits = _busy_slots(df if sized_by is None else sized_by, slots)
+        cut = widths[-1]
+        for width, slot in reversed(list(zip(widths, slots[1:] if keys else slots))):
+            cut = F.when(_is_busy(slot, bits), cut).otherwise(width)
+        if keys:
+            cut = F.when(_is_busy(slots[0], bits), cut)
     return df.withColumn(CHUNK, cut).repartition(*keys, CHUNK)
 
 
-def _busy_slots(df: DataFrame, slot: Column) -> Column:
+def _is_busy(slot: Column, bits: Column) -> Column:
+    word = F.get(bits, F.floor(slot / 64).cast("int"))
+    return F.getbit(word, F.pmod(slot, F.lit(64)).cast("int")) == 1
+
+
+def _busy_slots(df: DataFrame, slots: list[Column]) -> Column:
     """One bit per hash slot, set above HOT_ROWS: a value of fixed size that is read by position.
 
-    Keys that share a busy slot are cut without need, which changes no result.
+    All of ``slots``, each with SLOTS numbers of its own, are counted in one
+    pass. What shares a busy slot is cut without need, which changes no result.
     """
+    slot = slots[0] if len(slots) == 1 else F.explode(F.array(*slots))
     per_slot = df.select(slot.alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("slot", F.lit(64)).cast("int"))
     busy = per_slot.where(F.col("n") > HOT_ROWS).select(F.floor(F.col("slot") / 64).alias("word"), bit.alias("bits"))
     # One empty number per place makes the list complete, so that sorting it is
     # enough to read it by position.
-    empty = df.sparkSession.range(0, WORDS, 1, 1).select(
+    empty = df.sparkSession.range(0, WORDS * len(slots), 1, 1).select(
         F.col("id").alias("word"), F.lit(0).cast("bigint").alias("bits")
     )
     words = busy.unionByName(empty).groupBy("word").agg(F.bit_or("bits").alias("bits"))
@@ -138,7 +164,7 @@ def ordinal(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column,
+    chunk: Column | Sequence[Column],
     name: str,
     sized_by: DataFrame | None = None,
 ) -> DataFrame:
@@ -146,22 +172,40 @@ def ordinal(
     local = chunked(df, keys, chunk, sized_by).withColumn(
         name, F.row_number().over(chunk_window(keys, order)).cast("bigint")
     )
-    placed = carry(
-        local,
-        keys,
-        {"__n": F.count(F.lit(1))},
-        {"__offset": lambda w: F.sum("__n").over(before(w))},
-    )
+    if keys:
+        placed = carry(
+            local,
+            keys,
+            {"__n": F.count(F.lit(1))},
+            {"__offset": lambda w: F.sum("__n").over(before(w))},
+        )
+    else:
+        placed = local.join(_offsets(local), CHUNK)
     return placed.withColumn(name, F.col(name) + F.coalesce("__offset", F.lit(0))).drop(
         CHUNK, "__offset"
     )
 
 
+def _offsets(local: DataFrame) -> DataFrame:
+    """Rows before each chunk of a table without keys.
+
+    Chunks are summed within groups and groups among each other, so that no
+    task scans all chunks: only one row per group goes through a single task.
+    """
+    group = F.shiftright(CHUNK, GROUP_BITS).alias("__group")
+    chunks = local.groupBy(CHUNK).agg(F.count(F.lit(1)).alias("__n")).select(CHUNK, "__n", group)
+    groups = chunks.groupBy("__group").agg(F.sum("__n").alias("__total"))
+    earlier = groups.select("__group", F.sum("__total").over(before(Window.orderBy("__group"))).alias("__before"))
+    within = F.sum("__n").over(before(Window.partitionBy("__group").orderBy(CHUNK)))
+    offset = F.coalesce(within, F.lit(0)) + F.coalesce("__before", F.lit(0))
+    return chunks.join(earlier, "__group").select(CHUNK, offset.alias("__offset"))
+
+
 def previous_rows(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column,
+    chunk: Column | Sequence[Column],
     n: int,
     cols: Sequence[str],
     name: str,

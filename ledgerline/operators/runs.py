@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as X
-from ledgerline.operators import ordered
+from ledgerline.operators import joins, ordered
 
 # Logged results after which a run went on.
 CONTINUED = ("recaptcha_checkbox_passed", "recaptcha_challenge_solved")
@@ -181,20 +181,23 @@ def _signature(df: DataFrame) -> DataFrame:
     return df.withColumn("__target", target)
 
 
-def verify_steps(playbook: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(steps backed by the run's log, steps that are not).
+def flag_steps(playbook: DataFrame, log: DataFrame) -> DataFrame:
+    """Add ``backed``: the log of the same run has the same action on the same target.
 
-    A step is backed when the log of the same run has the same action on the
-    same selector, or the same URL where there is no selector.
+    The target is the selector, or the URL where there is no selector.
     """
     keys = ["run_id", "action", "__target"]
-    claimed, seen = _signature(playbook), _signature(log).select(*keys).distinct()
-    return (
-        claimed.join(seen, keys, "left_semi").drop("__target"),
-        claimed.join(seen, keys, "left_anti").drop("__target"),
+    return joins.flag_known(_signature(playbook), _signature(log), keys, "backed").select(
+        *playbook.columns, "backed"
     )
 
 
+def verify_steps(playbook: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(steps backed by the run's log, steps that are not)."""
+    flagged = flag_steps(playbook, log)
+    return flagged.where("backed").drop("backed"), flagged.where(~F.col("backed")).drop("backed")
+
+
 def verify_caveats(caveats: DataFrame, log: DataFrame) -> DataFrame:
     """Caveats of runs whose log has a failure (``ok`` false)."""
     return caveats.join(log.where(~F.col("ok")).select("run_id").distinct(), "run_id", "left_semi")

@@ -21,15 +21,15 @@ def merge_ranges(
 ) -> DataFrame:
     """Union of closed integer ranges per key; ranges that touch are joined.
 
-    A range opens a new segment when it starts past every earlier end. Each row
+    Of ranges with the same start only the longest counts. A range opens a new segment when it starts past every earlier end. Each row
     takes the latest opening start as its segment, so the segments come from two
     running maxima and a grouped maximum.
     """
-    order = [start, end]
-    distinct = ranges.select(*keys, start, end).distinct()
+    order = [start]
+    longest = ranges.groupBy(*keys, start).agg(F.max(end).alias(end))
     w = ordered.chunk_window(keys, order)
     cut = ordered.range_chunk(start, chunk_size)
-    local = ordered.chunked(distinct, keys, cut, sized_by=ranges).withColumn(
+    local = ordered.chunked(longest, keys, cut, sized_by=ranges).withColumn(
         "__reach", F.max(end).over(ordered.before(w))
     )
     local = ordered.carry(
@@ -99,22 +99,19 @@ def _wanted(frames, recordings, actions, before_ms, after_ms, keep_ratio):
     merged = merge_ranges(
         action_ranges(recordings, frame_counts, actions, before_ms, after_ms), ["rec_id"]
     )
-    near = merged.groupBy("rec_id").agg(
-        F.sum(F.col("end") - F.col("start") + 1).alias("n_near")
+    # Actions add nothing to the sum but show that the recording has some.
+    acted = actions.select("rec_id", F.lit(0).cast("bigint").alias("n_near"))
+    near = (
+        merged.select("rec_id", (F.col("end") - F.col("start") + 1).alias("n_near"))
+        .unionByName(acted)
+        .groupBy("rec_id")
+        .agg(F.sum("n_near").alias("n_near"))
     )
-    acted = actions.select("rec_id").distinct().withColumn("__acted", F.lit(True))
-    gate = (
-        frame_counts.join(near, "rec_id", "left")
-        .join(acted, "rec_id", "left")
-        .select(
-            "rec_id",
-            "n_frames",
-            F.coalesce("n_near", F.lit(0)).alias("n_near"),
-            (
-                (F.coalesce("n_near", F.lit(0)) < F.col("n_frames") * F.lit(keep_ratio))
-                & F.coalesce("__acted", F.lit(False))
-            ).alias("trimmed"),
-        )
+    gate = frame_counts.join(near, "rec_id", "left").select(
+        "rec_id",
+        "n_frames",
+        F.coalesce("n_near", F.lit(0)).alias("n_near"),
+        F.coalesce(F.col("n_near") < F.col("n_frames") * F.lit(keep_ratio), F.lit(False)).alias("trimmed"),
     )
     return merged, gate
 

@@ -61,10 +61,7 @@ def _(spark, d):
 )
 def _(spark, d):
     base = I.actions(spark, d).select(F.col("persona").alias("name"))
-    free, taken = joins.split_conflicts(I.personas(spark, d).select("name"), base, ["name"])
-    return free.withColumn("conflict", F.lit(False)).unionByName(
-        taken.withColumn("conflict", F.lit(True))
-    )
+    return joins.flag_known(I.personas(spark, d).select("name"), base, ["name"], "conflict")
 
 
 _MATCH = f"""WITH {D.FLOWS}, u AS (SELECT page_id, {D.DOMAIN} AS domain FROM pages),
@@ -400,10 +397,7 @@ def _(spark, d):
 )
 def _(spark, d):
     doomed = I.accounts(spark, d).where("status = 'blocked'").select("id")
-    stays, went = changes.hard_delete(I.milestones(spark, d).select("id", "event"), doomed)
-    return stays.withColumn("removed", F.lit(False)).unionByName(
-        went.withColumn("removed", F.lit(True))
-    )
+    return joins.flag_known(I.milestones(spark, d).select("id", "event"), doomed, ["id"], "removed")
 
 
 @query(

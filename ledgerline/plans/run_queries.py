@@ -230,12 +230,7 @@ def _claims(spark, d):
 )
 def _(spark, d):
     claims, log = _claims(spark, d)
-    backed, rest = runs.verify_steps(claims, log)
-    return (
-        backed.withColumn("backed", F.lit(True))
-        .unionByName(rest.withColumn("backed", F.lit(False)))
-        .select("run_id", "step", "backed")
-    )
+    return runs.flag_steps(claims, log).select("run_id", "step", "backed")
 
 
 @query(

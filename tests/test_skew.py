@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators import confidence, log, ordered, runs, trim
@@ -107,3 +108,60 @@ def test_rows_without_order_values_are_numbered_alike_cut_or_not(spark, monkeypa
     for limit in (0, 3):
         monkeypatch.setattr(ordered, "HOT_ROWS", limit)
         assert numbered() == whole
+
+
+@pytest.fixture(scope="module")
+def burst(spark):
+    """Half of a key's rows fall into one minute, most of them into one second, 20 of each millisecond there."""
+    i = F.col("id")
+    micros = (
+        F.when(i < 20_000, i * 600_000_000)
+        .when(i < 22_000, F.lit(7_000_000_000) + i * 3_000)
+        .otherwise(F.lit(7_200_000_000) + F.floor((i - 22_000) / 20) * 1_000)
+    )
+    return spark.range(40_000).select(
+        "id",
+        F.when(i % 40 == 7, F.concat(F.lit("k"), (i % 997).cast("string"))).otherwise("busy").alias("persona"),
+        F.when(i % 5_000 == 3, None).otherwise(F.timestamp_micros(micros.cast("bigint"))).alias("ts"),
+    )
+
+
+def test_a_burst_is_cut_to_the_limit_and_quiet_spans_stay_whole(burst):
+    chunked = ordered.chunked(burst, ["persona"], ordered.time_chunk("ts"))
+    assert largest_group(chunked.where("persona = 'busy'"), ordered.CHUNK) <= 1_000
+    spans = chunked.where("persona = 'busy' and id between 20000 and 21999").groupBy(ordered.CHUNK).count()
+    assert spans.count() < 30
+    rest = chunked.where("persona <> 'busy'")
+    assert rest.where(F.col(ordered.CHUNK).isNotNull()).count() == 0
+
+
+@pytest.mark.parametrize("keys", [["persona"], []])
+def test_numbers_in_a_burst_equal_a_plain_window(burst, keys):
+    order = ["ts", "id"]
+    plain = burst.withColumn("want", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    got = ordered.ordinal(burst, keys, order, ordered.time_chunk("ts"), "n").select("id", "n")
+    both = plain.join(got, "id")
+    assert both.count() == 40_000 and both.where("n <> want").count() == 0
+
+
+def test_confidence_in_a_burst_is_the_same_uncut(burst, monkeypatch):
+    i = F.col("id")
+    outcome = F.when(i % 3_000 == 1, "save").when(i % 1_700 == 0, "fast_fail").otherwise("success")
+    events = burst.where("ts is not null").select(
+        "id", F.col("persona").alias("domain"), F.lit("x").alias("action"),
+        F.lit(None).cast("bigint").alias("run_id"), outcome.alias("outcome"), "ts",
+    )
+
+    def digest():
+        trace = confidence.replay_confidence(events)
+        state = F.xxhash64("id", "confidence", "created", "last_verified", "last_failed")
+        return trace.agg(F.count(F.lit(1)), F.sum(state.cast("decimal(38,0)"))).first()
+
+    cut = digest()
+    monkeypatch.setattr(ordered, "HOT_ROWS", 1_000_000)
+    assert digest() == cut
+
+
+def test_ranges_with_one_start_count_once(hot):
+    ranges = hot.select(F.lit(1).alias("rec_id"), (F.col("id") % 3 * 100).alias("start"), (F.col("id") % 150).alias("end"))
+    assert rows(trim.merge_ranges(ranges.where("start <= end"), ["rec_id"], chunk_size=64)) == [(1, 0, 148)]
