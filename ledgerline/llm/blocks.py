@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 BLOCK = 1024
 BUFFER_ROWS = 1 << 15
+BUFFER_BYTES = 64 << 20
 
 
 def in_blocks(rows: DataFrame, keys: list[str], spread: str, block: int = BLOCK, keep_own: bool = False) -> DataFrame:
@@ -40,20 +41,21 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[p
     """Tables of whole groups with, for each row, the position after its group's last row."""
     by = [*keys, "_a", "_b"]
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows = size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         rows += batch.num_rows
-        if rows >= BUFFER_ROWS:
+        size += batch.nbytes
+        if rows >= BUFFER_ROWS or size >= BUFFER_BYTES:
             table = pa.Table.from_batches(held).combine_chunks()
             ends = _ends(table, by)
             cut = int(np.searchsorted(ends, len(ends)))  # the last group may go on
             if cut:
                 yield table.slice(0, cut), ends[:cut]
             rest = table.slice(cut)
-            held, rows = rest.to_batches(), rest.num_rows
+            held, rows, size = rest.to_batches(), rest.num_rows, rest.nbytes
     if held:
         table = pa.Table.from_batches(held).combine_chunks()
         yield table, _ends(table, by)
