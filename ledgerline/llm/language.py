@@ -21,7 +21,6 @@ from ledgerline.llm import shared
 
 TRAIN_DOCS = 64  # per language
 TRAIN_CHARS = 500  # of each
-TRAIN_LANGUAGES = 64
 WINDOW = 512  # a phrase ends where a window of this many symbols ends
 UNDETERMINED = "und"
 GAP, PAD = 0, 1  # classes of anything that is no letter, and of nothing
@@ -43,7 +42,7 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= TRAIN_DOCS)
     short = ids.select("lang", "n", F.substring("text", 1, TRAIN_CHARS).alias("text"))
     parts: dict[str, list[tuple[int, str]]] = {}
-    for row in short.limit(TRAIN_DOCS * TRAIN_LANGUAGES).collect():
+    for row in short.collect():  # TRAIN_DOCS rows of each label, however many labels there are
         parts.setdefault(row["lang"], []).append((row["n"], row["text"]))
     return {lang: "\n".join(text for _, text in sorted(found)) for lang, found in sorted(parts.items())}
 
