@@ -72,12 +72,11 @@ def assign_ids(
     base: DataFrame,
     new: DataFrame,
     order: Sequence[str],
-    chunk: Column | Sequence[Column],
     id_col: str = "id",
 ) -> DataFrame:
     """Dense ids after the highest id of the base, in batch order."""
     last = base.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("m")).scalar()
-    numbered = ordered.ordinal(new, [], order, chunk, id_col)
+    numbered = ordered.ordinal(new, [], order, id_col)
     return numbered.withColumn(id_col, F.col(id_col) + last)
 
 

@@ -9,7 +9,6 @@ only, never the list of a key's events.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from datetime import datetime
 from functools import partial
 
@@ -71,7 +70,6 @@ def _total_before(window, column: str) -> Column:
 def replay_confidence(
     outcomes: DataFrame,
     base: DataFrame | None = None,
-    chunk: Column | Sequence[Column] | None = None,
     sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """State after every event: confidence, tier, created, last_verified, last_failed.
@@ -79,7 +77,7 @@ def replay_confidence(
     ``base`` holds stored recipes (domain, action, confidence, created,
     last_verified, last_failed) from before the first event. State columns are
     NULL while the recipe does not exist. ``sized_by`` is a table with the same
-    keys and ``ts`` that is cheaper to count than ``outcomes``, such as the unfiltered log.
+    keys, ``ts`` and ``id`` that is cheaper to read than ``outcomes``, such as the unfiltered log.
     """
     stored = ["confidence", "created", "last_verified", "last_failed"]
     held = [f"__b_{c}" for c in stored]
@@ -95,11 +93,10 @@ def replay_confidence(
             *[F.col(c).cast(k).alias(h) for c, h, k in zip(stored, held, kinds)],
         )
         events = events.unionByName(start, allowMissingColumns=True)
-    w = ordered.so_far(KEYS, ORDER)
-    chunk = ordered.time_chunk("ts") if chunk is None else chunk
+    ranged = ordered.chunked(events, KEYS, ORDER, outcomes if sized_by is None else sized_by)
+    w = ordered.so_far(ranged, KEYS, ORDER)
     step = (
-        ordered.chunked(events, KEYS, chunk, outcomes if sized_by is None else sized_by)
-        .withColumns(
+        ranged.withColumns(
             {
                 "__reset": _is("save") | _is("fast_fail"),
                 "__n_success": F.count(F.when(_is("success"), 1)).over(w),

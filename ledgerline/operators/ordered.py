@@ -1,30 +1,26 @@
-"""Ordered work per key that does not put a whole key into one task.
+"""Ordered work per key that does not put a whole key into one task: a segmented scan over ranges.
 
 A plain window partitioned by a key sorts all rows of that key in one task. If
 a single key holds a large share of the table, that task decides the run time.
-Here the rows of a key are cut into chunks along their order (a time span, a
-range of step numbers). Windows run per (key, chunk); what a chunk needs to
-know about earlier chunks comes from one summary row per (key, chunk), scanned
-in chunk order and joined back on (key, chunk). Both the big window and the
-join are spread over chunks, and the summary is pre-aggregated before its
-shuffle.
-
-Only busy keys are cut. Row counts are taken per hash slot of the key, a fixed
-number of slots, and a key is cut when its slot holds more than HOT_ROWS rows,
-however large the table is; the rows of any other key form one chunk, which
-costs no more than a plain window: summaries are made for cut keys only.
-
-Chunks follow the data: widths come as a list, coarse to fine, each dividing
-the one before. A chunk that holds more than HOT_ROWS rows by the same kind of
-count is cut again by the next width, so a burst is split and quiet spans stay
-whole. The counts are exact, not sketches: a plan may evaluate them twice and
-must get the same chunks.
-
-The chunk must grow with the order columns: rows of an earlier chunk sort
-before rows of a later one. Rows without an order value sort first and have a
-chunk of their own. Key columns must not be NULL (the tables declare
-them so): the join back uses plain equality, which keeps the partitioning of
-the window and saves a shuffle of the big side.
+Here the rows of a busy key are cut into ranges of (key, order). Windows run
+per (key, range), every range is summed up in one row, the summaries are
+composed in order, and each range gets back what the ranges before it amount
+to. Both the big window and the join are spread over ranges, and the summary
+is pre-aggregated before its shuffle.
+
+Ranges are cut at splitters: rows of the table itself, picked by a hash of key
+and order values, one in HOT_ROWS / 16. They are places in the full order, so
+rows of one instant, or without any time, are cut at the columns that follow.
+Only keys with several picked rows have splitters; all rows of any other key
+lie between the same two and stay together. The picked rows are read when the
+operator is called: if no key is busy, which is the usual case, what comes out
+is the plain window. No more than MAX_SPLITTERS are kept, by least hash, so the
+list and a key's summaries are bounded, and ranges grow only when a table has
+over a billion rows of busy keys.
+
+Rows that agree in all order columns are never cut apart. Key columns must not
+be NULL (the tables declare them so): the join back uses plain equality, which
+keeps the partitioning of the window and saves a shuffle of the big side.
 """
 
 from __future__ import annotations
@@ -36,90 +32,81 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 CHUNK = "__chunk"
-SECONDS = 600
-# Slots are kept as bits of this many numbers.
-WORDS = 16_384
-SLOTS = 64 * WORDS
-# Keys in slots with more rows than this are cut; 0 cuts every key.
+WHOLE = "__whole"  # marks rows of which no key is cut
+# Keys with about so many rows are cut; 0 cuts every key at every row.
 HOT_ROWS = 1_000_000
-# Chunk of rows without an order value.
-FIRST = -(1 << 63)
-# Without keys, chunks are summed in groups of 2 ** 36 (microseconds: 19 hours) first.
-GROUP_BITS = 36
+# Splitters in so many rows, and how many of them make a key busy.
+SPLITS = 16
+LEAST = 8
+MAX_SPLITTERS = 1 << 14
 
 
-def time_chunk(ts: Column | str, seconds: int = SECONDS) -> list[Column]:
-    """Chunks for rows ordered by a timestamp: starts of time spans, then of seconds and milliseconds.
+def chunked(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], sized_by: DataFrame | None = None
+) -> DataFrame:
+    """Add the number of a row's range (NULL for keys that stay whole) and spread rows by (key, range).
 
-    Rows of one key and one millisecond are not cut further.
+    The repartition is explicit: if the input were already partitioned by the
+    bare key, windows over (key, range) would accept that and leave a busy key
+    in one task. ``sized_by`` is a cheaper table than ``df`` with the same keys
+    and order values to take the splitters from. Rows that have ranges already
+    (of the same keys and in the same order) keep them. If no key is busy, rows
+    are only marked as whole.
     """
-    micros = F.unix_micros(F.col(ts) if isinstance(ts, str) else ts)
-    widths = [seconds * 1_000_000, 1_000_000, 1_000]
-    return [micros - F.pmod(micros, F.lit(width)) for width in widths]
+    if CHUNK in df.columns or WHOLE in df.columns:
+        return df
+    listed = _splitters(df if sized_by is None else sized_by, keys, order)
+    if listed is None:
+        return df.withColumn(WHOLE, F.lit(True))
+    row = F.struct(*_comparable(df, [*keys, *order]))
+    placed = df.withColumn(CHUNK, _place(row, listed))
+    if keys:
+        near = [F.get(listed, F.col(CHUNK) + i) for i in (-1, 0)]
+        same = [reduce(lambda a, b: a & b, [s[k].eqNullSafe(row[k]) for k in keys]) & s.isNotNull() for s in near]
+        placed = placed.withColumn(CHUNK, F.when(same[0] | same[1], F.col(CHUNK)))
+    return placed.repartition(*keys, CHUNK)
 
 
-def range_chunk(position: Column | str, size: int = 4_096) -> Column:
-    """Chunk for rows ordered by a number that no two rows of a key share: the start of its range."""
-    c = (F.col(position) if isinstance(position, str) else position).cast("bigint")
-    return c - F.pmod(c, F.lit(size))
+def _comparable(df: DataFrame, names: Sequence[str]) -> list[Column]:
+    """Times as numbers, which a JSON text holds exactly."""
+    timed = {f.name for f in df.schema if f.dataType.typeName() in ("timestamp", "timestamp_ntz")}
+    return [(F.unix_micros(F.col(n).cast("timestamp")) if n in timed else F.col(n)).alias(n) for n in names]
 
 
-def chunked(
-    df: DataFrame, keys: Sequence[str], chunk: Column | Sequence[Column], sized_by: DataFrame | None = None
-) -> DataFrame:
-    """Add the chunk column (NULL for keys that stay whole) and spread rows by (key, chunk).
-
-    The repartition is explicit: if the input were already partitioned by the
-    bare key, windows over (key, chunk) would accept that and leave a busy key
-    in one task. ``sized_by`` is a cheaper table to count rows on than ``df``,
-    with the keys and, where there are several widths, the order column.
-    """
-    widths = [F.coalesce(c, F.lit(FIRST)) for c in ([chunk] if isinstance(chunk, Column) else chunk)]
-    cut = widths[0]
-    if HOT_ROWS > 0 and (keys or len(widths) > 1):
-        groups = ([list(keys)] if keys else []) + [[*keys, width] for width in widths[:-1]]
-        slots = [F.pmod(F.xxhash64(*group), F.lit(SLOTS)) + i * SLOTS for i, group in enumerate(groups)]
-        bits = _busy_slots(df if sized_by is None else sized_by, slots)
-        cut = widths[-1]
-        for width, slot in reversed(list(zip(widths, slots[1:] if keys else slots))):
-            cut = F.when(_is_busy(slot, bits), cut).otherwise(width)
-        if keys:
-            cut = F.when(_is_busy(slots[0], bits), cut)
-    return df.withColumn(CHUNK, cut).repartition(*keys, CHUNK)
-
-
-def _is_busy(slot: Column, bits: Column) -> Column:
-    word = F.get(bits, F.floor(slot / 64).cast("int"))
-    return F.getbit(word, F.pmod(slot, F.lit(64)).cast("int")) == 1
-
-
-def _busy_slots(df: DataFrame, slots: list[Column]) -> Column:
-    """One bit per hash slot, set above HOT_ROWS: a value of fixed size that is read by position.
-
-    All of ``slots``, each with SLOTS numbers of its own, are counted in one
-    pass. What shares a busy slot is cut without need, which changes no result.
-    """
-    slot = slots[0] if len(slots) == 1 else F.explode(F.array(*slots))
-    per_slot = df.select(slot.alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("slot", F.lit(64)).cast("int"))
-    busy = per_slot.where(F.col("n") > HOT_ROWS).select(F.floor(F.col("slot") / 64).alias("word"), bit.alias("bits"))
-    # One empty number per place makes the list complete, so that sorting it is
-    # enough to read it by position.
-    empty = df.sparkSession.range(0, WORDS * len(slots), 1, 1).select(
-        F.col("id").alias("word"), F.lit(0).cast("bigint").alias("bits")
+def _splitters(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Column | None:
+    """Sorted places of the picked rows of busy keys, as a constant of bounded size; None without any."""
+    every, least = (max(1, HOT_ROWS // SPLITS), LEAST) if HOT_ROWS else (1, 1)
+    names = [*keys, *order]
+    hashed = rows.select(*_comparable(rows, names)).withColumn("__hash", F.xxhash64(*names))
+    picked = hashed.where(F.pmod("__hash", F.lit(every)) == 0)
+    if keys:
+        of_key = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+        picked = picked.withColumn("__n", of_key).where(F.col("__n") >= least)
+    kept = picked.orderBy("__hash").limit(MAX_SPLITTERS).select(F.struct(*names).alias("__place"))
+    listed = F.array_distinct(F.sort_array(F.collect_list("__place")))
+    text = kept.agg(F.to_json(listed)).first()[0]  # MAX_SPLITTERS places at most
+    kind = f"array<{kept.schema['__place'].dataType.simpleString()}>"
+    return None if text in (None, "[]") else F.from_json(F.lit(text), kind)
+
+
+def _place(row: Column, listed: Column) -> Column:
+    """How many splitters are not after the row, by halving."""
+    steps = F.array(*[F.lit(1 << i) for i in range(MAX_SPLITTERS.bit_length() - 1, -1, -1)])
+    return F.aggregate(
+        F.filter(steps, lambda step: step <= F.size(listed)),
+        F.lit(0),
+        lambda at, step: F.when(F.get(listed, at + step - 1) <= row, at + step).otherwise(at),
     )
-    words = busy.unionByName(empty).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    listed = F.array_sort(F.collect_list(F.struct("word", "bits")))
-    return words.agg(listed.alias("listed")).select(F.transform("listed", lambda w: w["bits"])).scalar()
 
 
-def chunk_window(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
-    return Window.partitionBy(*keys, CHUNK).orderBy(*order)
+def chunk_window(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
+    """A key's rows, or those of one range of it, in order."""
+    return Window.partitionBy(*keys, *([CHUNK] if CHUNK in df.columns else [])).orderBy(*order)
 
 
-def so_far(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
-    """From the first row of the chunk to the current row."""
-    return chunk_window(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def so_far(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
+    """From the first row of the range to the current row."""
+    return chunk_window(df, keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def carry(
@@ -129,15 +116,17 @@ def carry(
     carried: dict[str, Callable[[WindowSpec], Column]],
     derived: dict[str, Callable[[WindowSpec], Column]] | None = None,
 ) -> DataFrame:
-    """Add columns computed over all earlier chunks of the same key.
+    """Add columns computed over all earlier ranges of the same key, NULL where no key is cut.
 
-    ``summary`` are aggregates per chunk; each function in ``carried`` gets the
-    window of chunk summaries (ordered, no frame) and returns one column. Rows
-    of a key's first chunk get what the function yields on an empty frame, and
+    ``summary`` are aggregates per range; each function in ``carried`` gets the
+    window of range summaries (ordered, no frame) and returns one column. Rows
+    of a key's first range get what the function yields on an empty frame, and
     rows of a key that is not cut get NULL.
     ``derived`` are extra summary columns made from a scan of the summaries,
     for ``carried`` functions that need a scan of a scan.
     """
+    if CHUNK not in df.columns:
+        return df.withColumns({name: F.lit(None) for name in carried})
     per_chunk = (
         df.where(F.col(CHUNK).isNotNull())
         .groupBy(*keys, CHUNK)
@@ -164,48 +153,27 @@ def ordinal(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column | Sequence[Column],
     name: str,
     sized_by: DataFrame | None = None,
+    keep_ranges: bool = False,
 ) -> DataFrame:
-    """Position 1..n of each row within its key."""
-    local = chunked(df, keys, chunk, sized_by).withColumn(
-        name, F.row_number().over(chunk_window(keys, order)).cast("bigint")
-    )
-    if keys:
-        placed = carry(
-            local,
-            keys,
-            {"__n": F.count(F.lit(1))},
-            {"__offset": lambda w: F.sum("__n").over(before(w))},
-        )
-    else:
-        placed = local.join(_offsets(local), CHUNK)
-    return placed.withColumn(name, F.col(name) + F.coalesce("__offset", F.lit(0))).drop(
-        CHUNK, "__offset"
-    )
-
+    """Position 1..n of each row within its key.
 
-def _offsets(local: DataFrame) -> DataFrame:
-    """Rows before each chunk of a table without keys.
-
-    Chunks are summed within groups and groups among each other, so that no
-    task scans all chunks: only one row per group goes through a single task.
+    ``keep_ranges`` leaves the ranges in place for further work in the same
+    order, which then needs no shuffle of its own.
     """
-    group = F.shiftright(CHUNK, GROUP_BITS).alias("__group")
-    chunks = local.groupBy(CHUNK).agg(F.count(F.lit(1)).alias("__n")).select(CHUNK, "__n", group)
-    groups = chunks.groupBy("__group").agg(F.sum("__n").alias("__total"))
-    earlier = groups.select("__group", F.sum("__total").over(before(Window.orderBy("__group"))).alias("__before"))
-    within = F.sum("__n").over(before(Window.partitionBy("__group").orderBy(CHUNK)))
-    offset = F.coalesce(within, F.lit(0)) + F.coalesce("__before", F.lit(0))
-    return chunks.join(earlier, "__group").select(CHUNK, offset.alias("__offset"))
+    local = chunked(df, keys, order, sized_by)
+    local = local.withColumn(name, F.row_number().over(chunk_window(local, keys, order)).cast("bigint"))
+    summary = {"__n": F.count(F.lit(1))}
+    placed = carry(local, keys, summary, {"__offset": lambda w: F.sum("__n").over(before(w))})
+    placed = placed.withColumn(name, F.col(name) + F.coalesce("__offset", F.lit(0))).drop("__offset")
+    return placed if keep_ranges else placed.drop(CHUNK, WHOLE)
 
 
 def previous_rows(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column | Sequence[Column],
     n: int,
     cols: Sequence[str],
     name: str,
@@ -213,15 +181,15 @@ def previous_rows(
 ) -> DataFrame:
     """Add an array of up to n structs: the preceding rows of the key, oldest first.
 
-    Only the last n rows of a chunk travel in its summary, so no array holds
+    Only the last n rows of a range travel in its summary, so no array holds
     more than n * n rows.
     """
-    w = chunk_window(keys, order)
-    local = (
-        chunked(df, keys, chunk, sized_by)
-        .withColumn(name, F.collect_list(F.struct(*cols)).over(w.rowsBetween(-n, -1)))
-        .withColumn("__is_tail", F.lead(F.lit(True), n).over(w).isNull())
-    )
+    local = chunked(df, keys, order, sized_by)
+    w = chunk_window(local, keys, order)
+    local = local.withColumn(name, F.collect_list(F.struct(*cols)).over(w.rowsBetween(-n, -1)))
+    if CHUNK not in local.columns:
+        return local.drop(WHOLE)
+    local = local.withColumn("__is_tail", F.lead(F.lit(True), n).over(w).isNull())
     tail = F.when(
         F.col("__is_tail"), F.struct(*order, F.struct(*cols).alias("__row"))
     )

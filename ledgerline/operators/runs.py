@@ -13,18 +13,13 @@ CONTINUED = ("recaptcha_checkbox_passed", "recaptcha_challenge_solved")
 LOW_CONFIDENCE = 0.5
 
 
-def repeats(
-    steps: DataFrame, k: int = 3, chunk_size: int = 4_096, sized_by: DataFrame | None = None
-) -> DataFrame:
+def repeats(steps: DataFrame, k: int = 3) -> DataFrame:
     """Flag steps that end k equal (action_taken, page_type) rows in a row.
 
-    Here and below, ``sized_by`` is a table with the same runs that is cheaper to count than ``steps``.
+    Here and below, steps numbered by ``ordered.ordinal`` may bring their ranges along.
     """
     same = ["action_taken", "page_type"]
-    seen = ordered.previous_rows(
-        steps, ["run_id"], ["step"], ordered.range_chunk("step", chunk_size), k - 1, same, "__prev",
-        sized_by,
-    )
+    seen = ordered.previous_rows(steps, ["run_id"], ["step"], k - 1, same, "__prev")
     equal = F.forall(
         "__prev",
         lambda p: p["action_taken"].eqNullSafe(F.col("action_taken"))
@@ -33,11 +28,9 @@ def repeats(
     return seen.withColumn("repeats", (F.size("__prev") == k - 1) & equal).drop("__prev")
 
 
-def stuck_points(
-    steps: DataFrame, k: int = 3, chunk_size: int = 4_096, sized_by: DataFrame | None = None
-) -> DataFrame:
+def stuck_points(steps: DataFrame, k: int = 3) -> DataFrame:
     """First step per run at which the last k steps had equal action and page type."""
-    hits = repeats(steps, k, chunk_size, sized_by).where("repeats")
+    hits = repeats(steps, k).where("repeats")
     return hits.groupBy("run_id").agg(
         F.min("step").alias("stuck_step"),
         F.min_by("action_taken", "step").alias("action_taken"),
@@ -45,15 +38,10 @@ def stuck_points(
     )
 
 
-def with_history(
-    steps: DataFrame, n: int = 3, chunk_size: int = 4_096, sized_by: DataFrame | None = None
-) -> DataFrame:
+def with_history(steps: DataFrame, n: int = 3) -> DataFrame:
     """Add the last n steps before each step as text lines."""
     cols = ["step", "description", "action_taken", "confidence"]
-    seen = ordered.previous_rows(
-        steps, ["run_id"], ["step"], ordered.range_chunk("step", chunk_size), n, cols, "__prev",
-        sized_by,
-    )
+    seen = ordered.previous_rows(steps, ["run_id"], ["step"], n, cols, "__prev")
 
     def text(name):
         return lambda p: F.coalesce(p[name].cast("string"), F.lit("?"))
@@ -95,8 +83,6 @@ def classify_runs(
     runs: DataFrame | None = None,
     max_steps: int = 10,
     k: int = 3,
-    chunk_size: int = 4_096,
-    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """One row per run: outcome, the step that ended it, and its label inputs.
 
@@ -105,13 +91,13 @@ def classify_runs(
     navigate_ok, fast_path_ok) adds the outcomes decided before the first step;
     its column ``max_steps``, where there is one, holds the limit of each run.
 
-    Runs may have any number of steps: repeats are flagged in chunks, and the
+    Runs may have any number of steps: repeats are flagged in ranges, and the
     first label and last step of a run are aggregates with map-side partials.
     """
     label = _label({f: F.col(f) for f in ("action_taken", "tier", "confidence")}, F.col("repeats"))
     fields = ["step", "label", "page_type", "action_taken"]
     per_run = (
-        repeats(steps, k, chunk_size, sized_by)
+        repeats(steps, k)
         .withColumn("label", label)
         .groupBy("run_id")
         .agg(

@@ -17,7 +17,6 @@ def merge_ranges(
     keys: Sequence[str],
     start: str = "start",
     end: str = "end",
-    chunk_size: int = 4_096,
 ) -> DataFrame:
     """Union of closed integer ranges per key; ranges that touch are joined.
 
@@ -27,11 +26,9 @@ def merge_ranges(
     """
     order = [start]
     longest = ranges.groupBy(*keys, start).agg(F.max(end).alias(end))
-    w = ordered.chunk_window(keys, order)
-    cut = ordered.range_chunk(start, chunk_size)
-    local = ordered.chunked(longest, keys, cut, sized_by=ranges).withColumn(
-        "__reach", F.max(end).over(ordered.before(w))
-    )
+    local = ordered.chunked(longest, keys, order, sized_by=ranges)
+    w = ordered.chunk_window(local, keys, order)
+    local = local.withColumn("__reach", F.max(end).over(ordered.before(w)))
     local = ordered.carry(
         local,
         keys,
@@ -41,7 +38,7 @@ def merge_ranges(
     reach = F.greatest("__reach", "__o_reach")
     opens = F.when(reach.isNull() | (F.col(start) > reach + 1), F.col(start))
     local = local.withColumn("__opens", opens).withColumn(
-        "__segment", F.max("__opens").over(ordered.so_far(keys, order))
+        "__segment", F.max("__opens").over(ordered.so_far(local, keys, order))
     )
     local = ordered.carry(
         local,
@@ -154,8 +151,7 @@ def trim_frames(
     near = merged.join(gate.where("trimmed").select("rec_id"), "rec_id", "left_semi")
     buckets = F.sequence(_bucket("start"), _bucket("end"))
     pieces = near.withColumn("bucket", F.explode(buckets)).alias("p")
-    place = ordered.range_chunk("frame_idx", 4_096)
-    numbered = ordered.ordinal(frames, ["rec_id"], ["frame_idx"], place, "__position")
+    numbered = ordered.ordinal(frames, ["rec_id"], ["frame_idx"], "__position")
     f = (
         numbered.withColumn("__position", F.col("__position") - 1)
         .withColumn("bucket", _bucket("__position"))

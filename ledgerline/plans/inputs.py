@@ -335,9 +335,7 @@ def as_steps(events: DataFrame, run: Column, *carried: str) -> DataFrame:
 
 def _steps(spark: SparkSession, sf_dir: str, run: Column, *carried: str) -> DataFrame:
     rows = as_steps(source(spark, sf_dir, "events"), run, *carried)
-    return ordered.ordinal(
-        rows, ["run_id"], ["ts", "event_id"], ordered.time_chunk("ts"), "step"
-    )
+    return ordered.ordinal(rows, ["run_id"], ["ts", "event_id"], "step", keep_ranges=True)
 
 
 def day_steps(spark: SparkSession, sf_dir: str, *carried: str) -> DataFrame:
@@ -348,11 +346,6 @@ def user_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _steps(spark, sf_dir, F.col("user_id"))
 
 
-def raw_runs(spark: SparkSession, sf_dir: str, run: Column) -> DataFrame:
-    """The runs of the steps, read straight from the log, to count their rows on."""
-    return source(spark, sf_dir, "events").select(run.alias("run_id"))
-
-
 def flow_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_outcomes(source(spark, sf_dir, "events"))
 

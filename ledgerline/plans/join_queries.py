@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as X
-from ledgerline.operators import changes, joins, ordered
+from ledgerline.operators import changes, joins
 from ledgerline.plans import derived as D
 from ledgerline.plans import inputs as I
 from ledgerline.plans.registry import query
@@ -408,5 +408,5 @@ def _(spark, d):
 def _(spark, d):
     new = I.source(spark, d, "events").select(F.col("event_id").alias("seq"), "ts")
     return changes.assign_ids(
-        I.accounts(spark, d), new, ["ts", "seq"], ordered.time_chunk("ts")
+        I.accounts(spark, d), new, ["ts", "seq"]
     ).select("seq", "id")

@@ -103,7 +103,7 @@ _REPEATS = "coalesce(action_taken = a1 AND a1 = a2 AND page_type = p1 AND p1 = p
       arg_min(page_type, step) AS page_type FROM l WHERE {_REPEATS} GROUP BY run_id""",
 )
 def stuck_runs(spark, d):
-    return runs.stuck_points(I.user_steps(spark, d), chunk_size=32, sized_by=I.raw_runs(spark, d, F.col("user_id")))
+    return runs.stuck_points(I.user_steps(spark, d))
 
 
 @query(
@@ -117,8 +117,7 @@ def stuck_runs(spark, d):
 def _(spark, d):
     # 64ths are written alike by both engines.
     steps = I.user_steps(spark, d).withColumn("confidence", F.floor(F.col("confidence") * 64) / 64)
-    counted = I.raw_runs(spark, d, F.col("user_id"))
-    return runs.with_history(steps, chunk_size=16, sized_by=counted).select("run_id", "step", "history")
+    return runs.with_history(steps).select("run_id", "step", "history")
 
 
 _LABELS = f"""WITH {D.steps(D.DAY)}, l AS (
@@ -139,8 +138,7 @@ ended AS (
       AS outcome, coalesce(end_step, last) AS end_step FROM ended""",
 )
 def run_outcomes(spark, d):
-    counted = I.raw_runs(spark, d, I.user_day())
-    return runs.classify_runs(I.day_steps(spark, d), max_steps=6, sized_by=counted).select("run_id", "outcome", "end_step")
+    return runs.classify_runs(I.day_steps(spark, d), max_steps=6).select("run_id", "outcome", "end_step")
 
 
 _RUNS = f"""runs AS (SELECT {D.DAY} AS run_id, min(value) >= 2 AS navigate_ok, max(value) > 120 AS fast_path_ok
@@ -161,8 +159,7 @@ def _(spark, d):
             (F.min("value") >= 2).alias("navigate_ok"), (F.max("value") > 120).alias("fast_path_ok")
         )
     )
-    counted = I.raw_runs(spark, d, I.user_day())
-    return runs.classify_runs(I.day_steps(spark, d), starts, max_steps=6, sized_by=counted).select("run_id", "outcome")
+    return runs.classify_runs(I.day_steps(spark, d), starts, max_steps=6).select("run_id", "outcome")
 
 
 def _recipes(spark, d):
@@ -498,4 +495,4 @@ def _(spark, d):
     frames, recordings, actions, before, after = _trim_inputs(spark, d)
     counts = frames.groupBy("rec_id").agg(F.count(F.lit(1)).alias("n_frames"))
     ranges = trim.action_ranges(recordings, counts, actions, before, after)
-    return trim.merge_ranges(ranges, ["rec_id"], chunk_size=64)
+    return trim.merge_ranges(ranges, ["rec_id"])

@@ -144,10 +144,10 @@ def test_cascade(spark):
 def test_ids_are_dense(spark):
     base = spark.createDataFrame([(41,)], "id bigint")
     new = spark.createDataFrame([(i, at(i * 7 % 50)) for i in range(50)], "seq bigint, ts timestamp")
-    got = changes.assign_ids(base, new, ["ts", "seq"], ordered.time_chunk("ts", 600))
+    got = changes.assign_ids(base, new, ["ts", "seq"])
     listed = got.orderBy("ts", "seq").collect()
     assert [r.id for r in listed] == list(range(42, 92))
-    empty = changes.assign_ids(base.limit(0), new, ["ts", "seq"], ordered.time_chunk("ts"))
+    empty = changes.assign_ids(base.limit(0), new, ["ts", "seq"])
     assert sorted(r.id for r in empty.collect()) == list(range(1, 51))
 
 

@@ -40,13 +40,13 @@ def fold(events, base):
     return out
 
 
-@pytest.mark.parametrize("chunk_seconds", [60, 1_800])
+@pytest.mark.parametrize("seed", [60, 1_800])
 @pytest.mark.parametrize("with_base", [False, True])
 @pytest.mark.parametrize("hot_rows", [0, 130, 10**6])
-def test_replay_equals_fold(spark, monkeypatch, chunk_seconds, with_base, hot_rows):
+def test_replay_equals_fold(spark, monkeypatch, seed, with_base, hot_rows):
     """hot_rows: every key cut, some of them, none."""
     monkeypatch.setattr(ordered, "HOT_ROWS", hot_rows)
-    rng = random.Random(chunk_seconds + with_base)
+    rng = random.Random(seed + with_base)
     names = ["success"] * 6 + ["save", "fast_fail", "delete"]
     events = [
         (i, f"s{int(rng.random() ** 2 * 20)}.com", "login", None, rng.choice(names), at(rng.randrange(2_000)))
@@ -62,7 +62,6 @@ def test_replay_equals_fold(spark, monkeypatch, chunk_seconds, with_base, hot_ro
     got = confidence.replay_confidence(
         spark.createDataFrame(events, EVENTS),
         spark.createDataFrame(base, BASE) if with_base else None,
-        ordered.time_chunk("ts", chunk_seconds),
     )
     want = fold(events, base)
     seen = {r[0]: tuple(r[1:]) for r in rows(

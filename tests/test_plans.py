@@ -78,7 +78,7 @@ def test_run_classes_gather_no_run(spark):
 def test_chunk_carry_keeps_the_window_partitioning(spark, cut_all):
     """The rows themselves move once, by (key, chunk)."""
     df = actions(spark).repartition(3)
-    plan = plan_of(ordered.ordinal(df, ["persona"], ["ts", "id"], ordered.time_chunk("ts"), "n"))
+    plan = plan_of(ordered.ordinal(df, ["persona"], ["ts", "id"], "n"))
     big = [line for line in plan.splitlines() if "Exchange hashpartitioning(persona" in line]
     assert len([b for b in big if "__chunk" in b]) == 2  # the rows, and their counts
     assert plan.count("SortMergeJoin") == 1
@@ -86,11 +86,14 @@ def test_chunk_carry_keeps_the_window_partitioning(spark, cut_all):
     assert left.index("Window") < left.index("Exchange")
 
 
-def test_key_sizes_are_one_value_of_fixed_size(spark):
-    df = ordered.ordinal(actions(spark), ["persona"], ["ts", "id"], ordered.time_chunk("ts"), "n")
-    plan = plan_of(df)
-    assert "scalar-subquery" in plan and "partial_count" in plan
-    assert re.search(r"REPARTITION_BY_COL", plan)
+def test_no_busy_key_leaves_the_plain_window(spark):
+    plan = plan_of(ordered.ordinal(actions(spark), ["persona"], ["ts", "id"], "n"))
+    assert plan.count("Exchange") == 1 and plan.count("Window") == 1 and "__chunk" not in plan
+
+
+def test_splitters_are_a_constant(spark, cut_all):
+    plan = plan_of(ordered.chunked(actions(spark), ["persona"], ["ts", "id"]))
+    assert "from_json" not in plan and "scalar-subquery" not in plan and "REPARTITION_BY_COL" in plan
 
 
 def test_match_is_by_equality(spark):

@@ -35,9 +35,9 @@ def largest_group(df, *keys):
 
 
 def test_chunks_split_the_hot_key(hot):
-    chunked = ordered.chunked(hot, ["persona"], ordered.time_chunk("ts"))
+    chunked = ordered.chunked(hot, ["persona"], ["ts", "id"])
     assert largest_group(hot, "persona") == N // 3
-    assert largest_group(chunked, "persona", ordered.CHUNK) <= 60
+    assert largest_group(chunked, "persona", ordered.CHUNK) <= 1_000
     cut = chunked.where(F.col(ordered.CHUNK).isNotNull()).select("persona").distinct()
     assert rows(cut) == ["hot"]
 
@@ -45,7 +45,7 @@ def test_chunks_split_the_hot_key(hot):
 def test_a_table_partitioned_by_the_key_is_still_spread(spark, hot):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        chunked = ordered.chunked(hot.repartition(8, "persona"), ["persona"], ordered.time_chunk("ts"))
+        chunked = ordered.chunked(hot.repartition(8, "persona"), ["persona"], ["ts", "id"])
         per_task = chunked.where("persona = 'hot'").groupBy(F.spark_partition_id().alias("p")).count()
         assert per_task.agg(F.max("count")).first()[0] < N // 3 * 0.6
     finally:
@@ -53,7 +53,7 @@ def test_a_table_partitioned_by_the_key_is_still_spread(spark, hot):
 
 
 def test_ordinal_and_recent(hot):
-    numbered = ordered.ordinal(hot, ["persona"], ["ts", "id"], ordered.time_chunk("ts"), "n")
+    numbered = ordered.ordinal(hot, ["persona"], ["ts", "id"], "n")
     mine = numbered.where("persona = 'hot'")
     assert mine.where(F.col("n") != F.col("id") / 3 + 1).count() == 0
     assert mine.count() == N // 3 and numbered.count() == N
@@ -68,7 +68,7 @@ def test_stuck_in_a_run_of_twenty_thousand_steps(hot):
         F.when(F.col("id") / 3 + 1 >= 19_000, "same").otherwise((F.col("id") % 2).cast("string")).alias("action_taken"),
         F.lit("x").alias("page_type"),
     )
-    assert rows(runs.stuck_points(steps, chunk_size=256), "stuck_step") == [19_002]
+    assert rows(runs.stuck_points(steps), "stuck_step") == [19_002]
 
 
 def test_confidence_of_a_busy_recipe(hot):
@@ -88,10 +88,10 @@ def test_ranges_of_a_long_recording(hot):
     ranges = hot.select(
         F.lit(1).alias("rec_id"), (F.col("id") * 10).alias("start"), (F.col("id") * 10 + 4).alias("end")
     )
-    merged = trim.merge_ranges(ranges, ["rec_id"], chunk_size=64)
+    merged = trim.merge_ranges(ranges, ["rec_id"])
     assert merged.count() == N
     touching = ranges.withColumn("end", F.col("start") + 9)
-    assert rows(trim.merge_ranges(touching, ["rec_id"], chunk_size=64)) == [(1, 0, N * 10 - 1)]
+    assert rows(trim.merge_ranges(touching, ["rec_id"])) == [(1, 0, N * 10 - 1)]
 
 
 def test_rows_without_order_values_are_numbered_alike_cut_or_not(spark, monkeypatch):
@@ -99,7 +99,7 @@ def test_rows_without_order_values_are_numbered_alike_cut_or_not(spark, monkeypa
     df = spark.createDataFrame(data, "run_id string, step bigint, id bigint")
 
     def numbered():
-        got = ordered.ordinal(df, ["run_id"], ["step", "id"], ordered.range_chunk("step"), "n")
+        got = ordered.ordinal(df, ["run_id"], ["step", "id"], "n")
         return rows(got, "run_id", "id", "n")
 
     monkeypatch.setattr(ordered, "HOT_ROWS", 1_000)
@@ -126,20 +126,49 @@ def burst(spark):
     )
 
 
-def test_a_burst_is_cut_to_the_limit_and_quiet_spans_stay_whole(burst):
-    chunked = ordered.chunked(burst, ["persona"], ordered.time_chunk("ts"))
+def test_a_burst_is_cut_to_the_limit(burst):
+    chunked = ordered.chunked(burst, ["persona"], ["ts", "id"])
     assert largest_group(chunked.where("persona = 'busy'"), ordered.CHUNK) <= 1_000
-    spans = chunked.where("persona = 'busy' and id between 20000 and 21999").groupBy(ordered.CHUNK).count()
-    assert spans.count() < 30
     rest = chunked.where("persona <> 'busy'")
     assert rest.where(F.col(ordered.CHUNK).isNotNull()).count() == 0
 
 
+@pytest.mark.parametrize("ts", ["TIMESTAMP '2026-01-01 00:00:00.001'", "CAST(NULL AS TIMESTAMP)"])
+@pytest.mark.parametrize("keys", [["persona"], []])
+def test_rows_of_one_instant_or_none_are_spread(spark, ts, keys):
+    df = spark.range(0, 100_000, 1, 8).selectExpr("id * 7919 % 100000 AS id", "'busy' AS persona", f"{ts} AS ts")
+    chunked = ordered.chunked(df, keys, ["ts", "id"])
+    assert largest_group(chunked, *keys, ordered.CHUNK) <= 1_000
+    assert chunked.select(ordered.CHUNK).distinct().count() > 100
+    numbered = ordered.ordinal(df, keys, ["ts", "id"], "n")
+    assert numbered.where("n <> id + 1").count() == 0 and numbered.count() == 100_000
+
+
+def test_splitters_are_bounded_and_rows_beside_them_stay_whole(hot, monkeypatch):
+    monkeypatch.setattr(ordered, "MAX_SPLITTERS", 16)
+    chunked = ordered.chunked(hot, ["persona"], ["ts", "id"])
+    assert chunked.where("persona = 'hot'").select(ordered.CHUNK).distinct().count() <= 17
+    numbered = ordered.ordinal(hot, ["persona"], ["ts", "id"], "n")
+    assert numbered.where("persona = 'hot' and n <> id / 3 + 1").count() == 0
+
+
+def test_ranges_follow_the_order_and_serve_further_steps(burst):
+    order = ["ts", "id"]
+    chunked = ordered.chunked(burst, ["persona"], order).where("persona = 'busy'")
+    ends = chunked.groupBy(ordered.CHUNK).agg(F.min(F.struct(*order)).alias("a"), F.max(F.struct(*order)).alias("b"))
+    before = F.lag("b").over(Window.orderBy(ordered.CHUNK))
+    assert ends.withColumn("p", before).where("p >= a").count() == 0
+    numbered = ordered.ordinal(burst, ["persona"], order, "n", keep_ranges=True)
+    seen = ordered.previous_rows(numbered, ["persona"], ["n"], 2, ["n"], "prev").where("persona = 'busy'")
+    want = F.filter(F.array(F.col("n") - 2, F.col("n") - 1), lambda x: x > 0)
+    assert seen.where(F.transform("prev", lambda p: p["n"]) != want).count() == 0
+
+
 @pytest.mark.parametrize("keys", [["persona"], []])
 def test_numbers_in_a_burst_equal_a_plain_window(burst, keys):
     order = ["ts", "id"]
     plain = burst.withColumn("want", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    got = ordered.ordinal(burst, keys, order, ordered.time_chunk("ts"), "n").select("id", "n")
+    got = ordered.ordinal(burst, keys, order, "n").select("id", "n")
     both = plain.join(got, "id")
     assert both.count() == 40_000 and both.where("n <> want").count() == 0
 
@@ -164,4 +193,4 @@ def test_confidence_in_a_burst_is_the_same_uncut(burst, monkeypatch):
 
 def test_ranges_with_one_start_count_once(hot):
     ranges = hot.select(F.lit(1).alias("rec_id"), (F.col("id") % 3 * 100).alias("start"), (F.col("id") % 150).alias("end"))
-    assert rows(trim.merge_ranges(ranges.where("start <= end"), ["rec_id"], chunk_size=64)) == [(1, 0, 148)]
+    assert rows(trim.merge_ranges(ranges.where("start <= end"), ["rec_id"])) == [(1, 0, 148)]

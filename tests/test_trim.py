@@ -10,9 +10,9 @@ from ledgerline.operators import trim
 from tests.helpers import rows
 
 
-@pytest.mark.parametrize("chunk", [1, 3, 16, 4_096])
-def test_merge_ranges_equals_sets(spark, cut_all, chunk):
-    rng = random.Random(chunk)
+@pytest.mark.parametrize("seed", [1, 3])
+def test_merge_ranges_equals_sets(spark, cut_all, seed):
+    rng = random.Random(seed)
     data = []
     for key in range(30):
         for _ in range(rng.randrange(1, 40)):
@@ -27,7 +27,7 @@ def test_merge_ranges_equals_sets(spark, cut_all, chunk):
                 want.append((key, start, prev))
                 start = cur
     df = spark.createDataFrame(data, "k int, start bigint, end bigint")
-    got = trim.merge_ranges(df, ["k"], chunk_size=chunk)
+    got = trim.merge_ranges(df, ["k"])
     assert sorted(tuple(r) for r in got.collect()) == want
 
 
