@@ -124,14 +124,20 @@ def piece_starts(kinds: np.ndarray) -> np.ndarray:
     return starts
 
 
-def split_pieces(texts: list[str], kinds_of: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Pieces of all texts in order, each text's last one being TEXT_END, and where each text's pieces begin (with
-    the number of all at the end)."""
+def piece_begins(texts: list[str], kinds_of: np.ndarray) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts as one stream, its code points, where its pieces begin (each text's last one is TEXT_END), and which
+    of them is the first of each text (with the number of all at the end)."""
     stream = TEXT_END.join([*texts, ""])
-    kinds = kinds_of[np.frombuffer(stream.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    codes = np.frombuffer(stream.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = kinds_of[codes]
     ends = kinds == END
     begins = np.flatnonzero(piece_starts(kinds) | ends)
-    bounds = np.concatenate([[0], np.flatnonzero(ends[begins]) + 1])
+    return stream, codes, begins, np.concatenate([[0], np.flatnonzero(ends[begins]) + 1])
+
+
+def split_pieces(texts: list[str], kinds_of: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Pieces of all texts in order, and which of them is the first of each text, as ``piece_begins`` has them."""
+    stream, _, begins, bounds = piece_begins(texts, kinds_of)
     cuts = [*begins.tolist(), len(stream)]
     return [stream[i:j] for i, j in zip(cuts, cuts[1:])], bounds
 

@@ -114,3 +114,61 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_
     vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
 FROM embeddings LEFT JOIN degree d ON d.a = vec_id LEFT JOIN lowest w ON w.a = vec_id
 """
+
+PREFIX_TRIE = r"""
+WITH ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (
+    SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+bits AS (
+    SELECT c, flatten(list_transform(string_split(c::VARCHAR, ''),
+        lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]::BIGINT[])) AS steps
+    FROM ids
+),
+crc AS (
+    SELECT c, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, steps), lambda a, x:
+        CASE WHEN xor(a, x) & 1 = 1 THEN xor(xor(a, x) >> 1, 3988292384::BIGINT) ELSE xor(a, x) >> 1 END)) AS v
+    FROM bits
+),
+starts AS (SELECT c, c - c % 5 AS b, v % 9 AS h FROM crc),
+copied AS (SELECT s.c, t.pos, role, text FROM starts s JOIN turns t ON t.c = s.b AND t.pos <= s.h),
+taken AS (SELECT s.c, h, count(k.c) AS k FROM starts s LEFT JOIN copied k ON k.c = s.c GROUP BY ALL),
+rebuilt AS (
+    SELECT * FROM copied
+    UNION ALL SELECT t.c, t.pos - h + k, role, text FROM turns t JOIN taken USING (c) WHERE t.pos > h
+),
+paths AS (
+    SELECT c, pos AS d, strlen(text) AS w, string_agg(length(role) || ':' || role || length(text) || ':' || text, '')
+        OVER (PARTITION BY c ORDER BY pos) AS p
+    FROM rebuilt
+    UNION ALL SELECT c, 0, 0, '' FROM ids
+),
+up AS (SELECT *, lag(p) OVER (PARTITION BY c ORDER BY d) AS parent FROM paths),
+nodes AS (SELECT p, d, parent, any_value(w) AS w, min(c) AS c, count(*) AS n FROM up GROUP BY ALL),
+kids AS (SELECT parent AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+valued AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (p)),
+sums AS (
+    SELECT t.p, count(*) FILTER (u.n_children = 0) AS n_leaves, sum((u.n - 1) * u.w) AS saved
+    FROM valued t JOIN valued u ON starts_with(u.p, t.p) GROUP BY ALL
+),
+lasts AS (SELECT c, arg_max(p, d) AS p FROM paths GROUP BY c),
+ends AS (SELECT p, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS e FROM lasts GROUP BY p)
+SELECT v.c AS conv_id, v.d::BIGINT AS depth, o.c AS parent_conv_id, v.n AS n_convs, v.n_children::BIGINT AS n_children,
+    n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, coalesce(e, sha256('')) AS ends_sha256
+FROM valued v JOIN sums USING (p) LEFT JOIN valued o ON o.p = v.parent AND v.d > 0 LEFT JOIN ends ON ends.p = v.p
+"""
+
+TOP_INNER = r"""
+WITH v AS (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scores AS (
+    SELECT q.vec_id AS query_id, q.r, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.r <> c.r AND len(q.e) = len(c.e)
+)
+SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank, vec_id, score
+FROM scores QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) <= 10
+"""

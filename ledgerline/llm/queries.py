@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import (
+    alignment,
     byte_bpe,
     checks,
     embeddings,
     language,
     packing,
     preference,
+    prefix_trie,
     quality,
     secrets,
     simhash,
     token_counts,
+    top_inner,
     url_filter,
 )
 from ledgerline.llm.shared import table
@@ -98,3 +101,30 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_embedding_near_dedup", checks.EMBEDDINGS)
 def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+@query("op11_token_alignment")
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.scored(table(spark, sf_dir, "documents"))
+
+
+@query("op12_prefix_trie", checks.PREFIX_TRIE)
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turn_digests(table(spark, sf_dir, "conversations"))
+    trie = prefix_trie.prefix_trie(*prefix_trie.with_shared_starts(turns))
+    nodes = prefix_trie.with_parent(trie.nodes).join(prefix_trie.end_digests(trie.ends), prefix_trie.NODE, "left")
+    return nodes.select(
+        "conv_id",
+        "depth",
+        "parent_conv_id",
+        "n_convs",
+        "n_children",
+        "n_leaves",
+        F.col("saved").alias("saved_tokens"),
+        F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
+    )
+
+
+@query("op13_top_inner", checks.TOP_INNER)
+def top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner.top_inner(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
