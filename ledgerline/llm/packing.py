@@ -4,13 +4,12 @@ Packing depends on sizes alone, so the plan is made on the histogram of sizes (a
 whatever the data) and covers all items: ranges of ranks within a size go to places in ranges of bins. The
 Martello-Toth reduction goes through the sizes from the largest and fixes an item together with one or two others
 when no other choice of companions can be better; what is left is packed best fit, largest first. Items then
-find their place by their rank within their size, which is counted in hashed blocks, so that a size that many
-items share is never ranked in one task.
+find their place by their rank within their size, which is counted by partitions of the stored items, so that a
+size that many items share is never ranked in one task.
 """
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,13 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from ledgerline.llm import boundaries, shared
-
-BLOCKS = 256
-MAX_KNOWN = 300_000
-LONGEST_KNOWN = 64
+from ledgerline.llm import boundaries, piece_ids, shared
 
 
 # ---- plan on the histogram ----
@@ -163,25 +157,24 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 # ---- items to places ----
 
 
-def pack(items: DataFrame, capacity: int, size_col: str = "length", order: list[str] | None = None) -> DataFrame:
+def pack(items: DataFrame, capacity: int, size_col: str = "length") -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to items of 1 to ``capacity`` tokens.
 
-    ``order`` names columns that tell items apart (rows that agree in all of them are interchangeable). ``items``
-    should be a stored or checkpointed table: it is read twice. The plan joined to it depends on the capacity and
+    ``items`` must be a stored or checkpointed table: it is read twice, and rows are ranked by their place in it,
+    within the partition they lie in, so that equal rows or a busy size are spread as the table is. The plan joined to it depends on the capacity and
     the histogram of sizes, not on the number of items. An empty table gives an empty one.
     """
     spark = items.sparkSession
-    order = order or [c for c in items.columns if c != size_col]
     histogram = {r[0]: r[1] for r in items.groupBy(size_col).count().collect()}  # one row per size
     places = spark.createDataFrame(
         plan(histogram, capacity), "_size int, _lo long, _hi long, _qty long, _bin long, _at long"
     )
-    block = F.pmod(F.xxhash64(*order), F.lit(BLOCKS)).cast("int")
-    keyed = items.withColumn("_block", block).withColumn("_len", F.col(size_col).cast("int"))
+    own = items.withColumns({"_block": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+    keyed = own.withColumn("_len", F.col(size_col).cast("int"))
     counted = keyed.groupBy("_len", "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("_len").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counted.select("_len", "_block", F.coalesce(before, F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_len", "_block").orderBy(*order)).cast("long") - 1
+    rank = F.row_number().over(Window.partitionBy("_len", "_block").orderBy("_row")).cast("long") - 1
     ranked = keyed.withColumn("_r", rank).join(offsets, ["_len", "_block"]).withColumn("_rank", F.col("_r") + F.col("_before"))
     nth = F.col("_rank") - F.col("_lo")
     within = (F.col("_size") == F.col("_len")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi"))
@@ -195,63 +188,6 @@ def pack(items: DataFrame, capacity: int, size_col: str = "length", order: list[
 # ---- documents to pieces ----
 
 
-class PieceIds:
-    """Token ids of whole texts; ids of a pre-token are looked up once and remembered."""
-
-    def __init__(self, path: str, kinds: bytes):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.added = {text: _packed([token]) for text, token in shared.read_byte_bpe(path)[2].items()}
-        self.kinds = np.frombuffer(kinds, np.uint8)
-        self.known: dict[str, bytes] = {boundaries.TEXT_END: b""}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Per text, its ids as unsigned little-endian 32-bit integers."""
-        segments, segment_bounds, found = boundaries.with_added(texts, list(self.added))
-        pieces, bounds = boundaries.split_pieces(segments, self.kinds)
-        known = self.known
-        blobs = list(map(known.get, pieces))
-        missing = [i for i, blob in enumerate(blobs) if blob is None]
-        fresh = list(dict.fromkeys(pieces[i] for i in missing))
-        for begin in range(0, len(fresh), 1 << 14):
-            some = fresh[begin : begin + (1 << 14)]
-            for piece, encoding in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[piece] = _packed(encoding.ids)
-        for i in missing:
-            blobs[i] = known[pieces[i]]
-        if len(known) > MAX_KNOWN:
-            self.known = {boundaries.TEXT_END: b""}
-        else:
-            for piece in fresh:
-                if len(piece) > LONGEST_KNOWN:
-                    del known[piece]
-        out = []
-        for text, added in enumerate(found):
-            first = segment_bounds[text]
-            parts = []
-            for k in range(first, segment_bounds[text + 1]):
-                parts += blobs[bounds[k] : bounds[k + 1]]
-                if k - first < len(added):
-                    parts.append(self.added[added[k - first]])
-            out.append(b"".join(parts))
-        return out
-
-
-def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
-_IDS: dict[str, PieceIds] = {}
-
-
-def _piece_ids(path: str, kinds: bytes) -> PieceIds:
-    if path not in _IDS:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs one worker per core
-        _IDS[path] = PieceIds(path, kinds)
-    return _IDS[path]
-
-
 def document_pieces(
     docs: DataFrame,
     capacity: int = 1024,
@@ -270,17 +206,17 @@ def document_pieces(
     kinds = docs.sparkSession.sparkContext.broadcast(boundaries.code_classes())
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    end = _packed([end_id])
+    end = np.uint32(end_id)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _piece_ids(path, kinds.value)
+        encoder = piece_ids.piece_ids(path, kinds.value)
         for batch in batches:
             for part, texts in shared.text_slices(batch):
                 owner, piece, start, length, crc = [], [], [], [], []
                 for row, ids in enumerate(encoder.ids(texts)):
-                    ids += end
-                    n = len(ids) // 4
+                    ids = np.append(ids, end).astype("<u4")
+                    n = len(ids)
                     at, k = 0, 0
                     while at < n:
                         size = (n - 1) % capacity + 1 if k == 0 else capacity
@@ -288,7 +224,7 @@ def document_pieces(
                         piece.append(k)
                         start.append(at)
                         length.append(size)
-                        crc.append(zlib.crc32(ids[4 * at : 4 * (at + size)]))
+                        crc.append(zlib.crc32(ids[at : at + size]))
                         at, k = at + size, k + 1
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -309,4 +245,4 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, **options) -> DataFram
     the pieces, a few numbers each, are checkpointed before they are counted and placed.
     """
     pieces = shared.durable(document_pieces(docs, capacity, **options))
-    return pack(pieces, capacity, "length", ["doc_id", "piece", "start", "ids_crc32"])
+    return pack(pieces, capacity, "length")
