@@ -26,6 +26,7 @@ PIECE_BPE = "piece_bpe_32k.model"
 STEPS = 64
 SHIFT = 32
 SPACE = "▁"
+COMMON = 1_000_000  # pairs that are broadcast, 17 bytes each
 
 
 # ---- the merge path ----
@@ -86,8 +87,9 @@ class Aligner:
         self.b_bytes = [self._piece_bytes(i) for i in range(self.b.get_piece_size())]
         self.a_size = np.array([len(t) for t in self.a_bytes], np.int64)
         self.b_size = np.array([len(t) for t in self.b_bytes], np.int64)
-        self.a_text = [[b"%d%c" % (i, end) for i in range(len(self.a_bytes))] for end in b",|"]
-        self.b_text = [[b"%d%c" % (i, end) for i in range(len(self.b_bytes))] for end in b",;"]
+        # Ids of A, then of B, each within a group and as the last of its side.
+        sides = ((self.a_bytes, b",|"), (self.b_bytes, b",;"))
+        self.written = [b"%d%c" % (i, sign) for held, signs in sides for i in range(len(held)) for sign in signs]
 
     def _piece_bytes(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -127,16 +129,17 @@ class Aligner:
         cut_a, cut_b = np.cumsum(n_a), np.cumsum(n_b)
         link_cuts = np.searchsorted(left, cut_a)
         group_cuts = np.searchsorted(group_ends_a, cut_a, "right")
-        # Pairs of a text: sorted as (text, pair), counted in runs.
+        # Pairs of a text: sorted as (text, pair) in one number, counted in runs.
         text_of = np.repeat(np.arange(len(tokens)), np.diff(link_cuts, prepend=0))
-        pairs = a[left] << SHIFT | b[right]
-        order = np.lexsort((pairs, text_of))
-        pairs, text_of = pairs[order], text_of[order]
-        new = np.ones(len(pairs), bool)
-        new[1:] = (pairs[1:] != pairs[:-1]) | (text_of[1:] != text_of[:-1])
+        keys = np.sort((text_of * len(self.a_bytes) + a[left]) * len(self.b_bytes) + b[right])
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
         begins = np.flatnonzero(new)
-        times = np.diff(begins, append=len(pairs))
-        pair_cuts = np.searchsorted(text_of[begins], np.arange(len(tokens)), "right")
+        times = np.diff(begins, append=len(keys))
+        keys, pair_b = np.divmod(keys[begins], len(self.b_bytes))
+        text_of, pair_a = np.divmod(keys, len(self.a_bytes))
+        pairs = pair_a << SHIFT | pair_b
+        pair_cuts = np.searchsorted(text_of, np.arange(len(tokens)), "right")
         out, last = [], (0, 0, 0, 0)
         for k in range(len(tokens)):
             here = (int(cut_a[k] + cut_b[k]), int(group_cuts[k]), int(link_cuts[k]), int(pair_cuts[k]))
@@ -147,7 +150,7 @@ class Aligner:
                     "n_groups": here[1] - last[1],
                     "n_links": here[2] - last[2],
                     "groups": b"".join(lists[last[0] : here[0]])[:-1],
-                    "pairs": pairs[begins[last[3] : here[3]]],
+                    "pairs": pairs[last[3] : here[3]],
                     "times": times[last[3] : here[3]],
                 }
             )
@@ -156,18 +159,13 @@ class Aligner:
 
     def _listed(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> list[bytes]:
         """Decimal ids in the order group by group, A before B, each with the sign that follows it."""
-        first_a, first_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[ends_a - 1], last_b[ends_b - 1] = 1, 1
         sizes_a, sizes_b = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
-        group_a, group_b = np.repeat(np.arange(len(ends_a)), sizes_a), np.repeat(np.arange(len(ends_b)), sizes_b)
-        first_a[ends_a - 1], first_b[ends_b - 1] = 1, 1  # the last of its group
-        at_a = np.arange(len(a)) + (ends_b - sizes_b)[group_a]
-        at_b = np.arange(len(b)) + ends_a[group_b]
-        out = np.empty(len(a) + len(b), object)
-        for at, ids, last, texts in ((at_a, a, first_a, self.a_text), (at_b, b, first_b, self.b_text)):
-            for end in (0, 1):
-                here = last == end
-                out[at[here]] = list(map(texts[end].__getitem__, ids[here].tolist()))
-        return out.tolist()
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.repeat(ends_b - sizes_b, sizes_a)] = 2 * a + last_a
+        order[np.arange(len(b)) + np.repeat(ends_a, sizes_b)] = 2 * (len(self.a_bytes) + b) + last_b
+        return list(map(self.written.__getitem__, order.tolist()))
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -235,12 +233,24 @@ def with_best(counts: DataFrame) -> DataFrame:
     return counts.withColumn("b", of_b).join(most, "b").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
 
 
-def scored(docs: DataFrame, **options) -> DataFrame:
+def common_from(known: DataFrame, limit: int) -> int:
+    """Least power of two such that at most ``limit`` pairs have that count or more; 1 if that holds for all."""
+    level = F.floor(F.log2("count")).cast("int")  # 63 levels at most
+    at_least = 0
+    for row in known.groupBy(level.alias("level")).count().orderBy(F.col("level").desc()).collect():
+        at_least += row["count"]
+        if at_least > limit:
+            return 2 << row["level"]
+    return 1
+
+
+def scored(docs: DataFrame, limit: int = COMMON, **options) -> DataFrame:
     """``aligned_documents`` with ``n_best`` (links whose pair has the highest count of its B id, ties included) and
     ``count_sum`` (over links) instead of the pairs.
 
-    Texts are tokenised once: the aligned documents and the counts are tables in the shared folder. Pairs meet their
-    counts by an equality join, which the planner broadcasts if the table of counts is small by its measured size.
+    Texts are tokenised once: the aligned documents and the counts are tables in the shared folder. The most frequent
+    pairs, ``limit`` at most, are broadcast, so most links find their count where they lie; rarer pairs, which are in
+    few documents each, are joined by a shuffle.
     """
     folder = f"{shared.shared_folder(docs.sparkSession)}/aligned-{uuid.uuid4().hex}"
 
@@ -248,14 +258,24 @@ def scored(docs: DataFrame, **options) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")
         return df.sparkSession.read.parquet(f"{folder}/{name}")
 
-    aligned = stored(aligned_documents(docs, **options), "documents")
+    numbered = aligned_documents(docs, **options).withColumn("row", F.monotonically_increasing_id())
+    aligned = stored(numbered, "documents")
     known = stored(with_best(stored(pair_counts(aligned), "counts")), "known")
-    kept = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
-    numbered = aligned.withColumn("row", F.monotonically_increasing_id())
-    each = numbered.select("row", *kept, F.explode_outer(F.arrays_zip("pairs", "times")).alias("p"))
-    each = each.select("row", *kept, F.col("p.pairs").alias("pair"), F.col("p.times").alias("times"))
-    sums = each.join(known, "pair", "left").groupBy("row", *kept).agg(
-        F.coalesce(F.sum(F.when(F.col("best"), F.col("times"))), F.lit(0)).cast("long").alias("n_best"),
-        F.coalesce(F.sum(F.col("times") * F.col("count")), F.lit(0)).cast("long").alias("count_sum"),
-    )
-    return sums.select(*kept[:-1], "n_best", "count_sum", "groups_sha256")
+    least = common_from(known, limit)
+    common = F.broadcast(known.where(F.col("count") >= least))
+    each = aligned.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("p"))
+    each = each.select("row", F.col("p.pairs").alias("pair"), F.col("p.times").alias("times"))
+    values = [
+        F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"),
+        F.sum(F.col("times") * F.col("count")).alias("count_sum"),
+    ]
+    sums = each.join(common, "pair").groupBy("row").agg(*values)
+    if least > 1:
+        rare = each.join(common, "pair", "left_anti").join(known.where(F.col("count") < least), "pair")
+        both = sums.unionByName(rare.groupBy("row").agg(*values))
+        sums = both.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n_best", "count_sum")])
+    zero = F.lit(0).cast("long")
+    return aligned.drop("pairs", "times").join(sums, "row", "left").select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links",
+        F.coalesce("n_best", zero).alias("n_best"), F.coalesce("count_sum", zero).alias("count_sum"), "groups_sha256",
+    )

@@ -73,7 +73,8 @@ def test_crossings_are_those_of_the_merge():
     assert alignment.crossings(a, b, np.arange(8)).tolist() == want
 
 
-def test_documents_equal_a_walk(spark):
+@pytest.mark.parametrize("limit", [alignment.COMMON, 60, 0])
+def test_documents_equal_a_walk(spark, limit):
     docs = list(enumerate(texts())) + [(None, "null id"), (3, "a")]
     df = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in docs], "doc_id long, text string, pair string, row int, b int")
     sides = [spelled(t or "") for _, t in docs]
@@ -89,7 +90,7 @@ def test_documents_equal_a_walk(spark):
         digest = hashlib.sha256(text.encode()).hexdigest() if a else ""
         want.append((doc, len(a), len(b), len(groups), len(links), best, sum(of), digest))
     key = lambda r: (r[0] is None, r[0] or 0, r)
-    assert sorted((tuple(r) for r in alignment.scored(df).collect()), key=key) == sorted(want, key=key)
+    assert sorted((tuple(r) for r in alignment.scored(df, limit=limit).collect()), key=key) == sorted(want, key=key)
     assert sum(n == 0 for _, n, *_ in want) >= 3  # null, empty, and what a side does not spell
 
 
