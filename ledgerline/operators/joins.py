@@ -8,8 +8,9 @@ key on the many side is split by adaptive execution.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,61 +156,200 @@ def login_urls(accounts: DataFrame, flows: DataFrame) -> DataFrame:
     )
 
 
+GRAM = 3
+
+
 def find_account(requests: DataFrame, accounts: DataFrame) -> DataFrame:
     """First account of the persona whose service contains the asked name.
 
-    Instead of comparing each request with each account of a persona, the
-    substrings of a persona's services are listed, only in the lengths that its
-    requests use, each with its earliest account. The rest is an equality join.
+    An inverted index lists the q-grams of every distinct service of a persona, each once, so it grows with the
+    length of a name and not with its square. A request goes to the list of its rarest q-gram, where the names are
+    compared with it; names shorter than a q-gram go to lists of names by their single characters and pairs. A
+    request that no name of its persona can hold meets no list at all.
     """
-    asked = requests.withColumn("__needle", F.lower("service"))
-    lengths = asked.groupBy("persona").agg(F.collect_set(F.length("__needle")).alias("__lengths"))
+    asked = requests.select("persona", F.lower("service").alias("__needle")).distinct().where("__needle IS NOT NULL")
     services = accounts.groupBy("persona", F.lower("service").alias("__service")).agg(
         F.min(F.struct("created_at", "id", F.col("service").alias("account_service"))).alias("__a")
     )
-    size = F.length("__service")
+    sizes = asked.select(F.least(F.length("__needle"), F.lit(GRAM)).alias("__q"), "persona").distinct()
+    wanted = sizes.groupBy("persona").agg(F.collect_list("__q").alias("__sizes"))  # at most GRAM + 1 sizes
     index = (
-        services.join(lengths, "persona")
-        .withColumn("__n", F.explode("__lengths"))
-        .where(F.col("__n") <= size)
-        .withColumn(
-            "__needle",
-            F.explode(
-                F.array_distinct(
-                    F.transform(
-                        F.sequence(F.lit(1), size - F.col("__n") + 1),
-                        lambda i: F.substring(F.col("__service"), i, F.col("__n")),
-                    )
-                )
-            ),
-        )
+        services.join(wanted, "persona")
+        .withColumn("__q", F.explode("__sizes"))
+        .withColumn("__gram", F.explode(_grams(F.col("__service"), F.col("__q"))))
+        .select("persona", "__gram", "__service", "__a")
+    )
+    grams = asked.withColumn("__q", F.least(F.length("__needle"), F.lit(GRAM)))
+    grams = grams.select("persona", "__needle", F.explode(_grams(F.col("__needle"), F.col("__q"))).alias("__gram"))
+    lists = index.groupBy("persona", "__gram").agg(F.count(F.lit(1)).alias("__n"))
+    rarest = (
+        grams.join(lists, ["persona", "__gram"], "left")
+        .groupBy("persona", "__needle")
+        .agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__gram")).alias("__least"))
+        .where("__least.n > 0")
+        .select("persona", "__needle", F.col("__least.__gram").alias("__gram"))
+    )
+    found = (
+        rarest.join(index, ["persona", "__gram"])
+        .where(F.col("__service").contains(F.col("__needle")))
         .groupBy("persona", "__needle")
         .agg(F.min("__a").alias("__a"))
     )
-    return asked.join(index, ["persona", "__needle"], "left").select(
-        *requests.columns,
-        F.col("__a.id").alias("account_id"),
-        F.col("__a.account_service").alias("account_service"),
+    return (
+        requests.withColumn("__needle", F.lower("service"))
+        .join(found, ["persona", "__needle"], "left")
+        .select(*requests.columns, F.col("__a.id").alias("account_id"), F.col("__a.account_service").alias("account_service"))
     )
 
 
+def _grams(text: Column, size: Column) -> Column:
+    """Distinct substrings of one size; the empty one for size 0, none of a text that is shorter."""
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - F.greatest(size, F.lit(1)) + 1))
+    listed = F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size)))
+    return F.when(size == 0, F.array(F.lit(""))).otherwise(listed)
+
+
 # --- page elements ---
 
+BLOCK = 4_096
+PAGE_PAIRS = 1 << 16
+
 
 def match_elements(targets: DataFrame, elements: DataFrame) -> DataFrame:
     """First element, in document order, with a word of the description in one of its texts.
 
-    Distinct (page, description) pairs meet the page's elements by equality and
-    keep the smallest matching position; pages may list any number of elements.
+    On a page with few words and elements each word is looked for in each text. Pages on which that would be more
+    than PAGE_PAIRS looks go another way: their distinct words become an Aho-Corasick automaton, which reads the texts
+    of the page's elements once and gives the first element of every word, and descriptions take the smallest position
+    of their words. Words are cut at white space; a null or empty description has none.
     """
-    texts = [
-        F.lower(F.coalesce(t, F.lit(""))) for t in ("text", "ariaLabel", "placeholder", "name")
-    ]
-    offered = elements.select("page_id", "pos", F.array(*texts).alias("__texts"))
     words = F.filter(F.split(F.lower("description"), r"\s+"), lambda w: w != "")
     asked = targets.select("page_id", "description").distinct().withColumn("__words", words)
-    hit = F.exists("__words", lambda w: F.exists("__texts", lambda text: text.contains(w)))
-    first = (
-        asked.join(offered, "page_id").where(hit).groupBy("page_id", "description").agg(F.min("pos").alias("pos"))
+    texts = [F.lower(F.coalesce(t, F.lit(""))) for t in ("text", "ariaLabel", "placeholder", "name")]
+    offered = elements.select(
+        "page_id", F.col("pos").cast("long").alias("pos"), F.array_join(F.array(*texts), "\n").alias("said")
+    )
+    counts = [
+        asked.groupBy("page_id").agg(F.sum(F.size("__words")).alias("__w")),
+        offered.groupBy("page_id").agg(F.count(F.lit(1)).alias("__e")),
+    ]
+    busy = counts[0].join(counts[1], "page_id").where(F.col("__w") * F.col("__e") > PAGE_PAIRS)
+    if busy.isEmpty():
+        best = _by_pairs(asked, offered)
+    else:
+        quiet = [df.join(busy.select("page_id"), "page_id", "left_anti") for df in (asked, offered)]
+        rest = [df.join(busy.select("page_id"), "page_id", "left_semi") for df in (asked, offered)]
+        best = _by_pairs(*quiet).unionByName(_by_automaton(*rest))
+    place = elements.schema["pos"].dataType
+    return targets.join(best, ["page_id", "description"], "left").select(*targets.columns, F.col("pos").cast(place).alias("pos"))
+
+
+def _by_pairs(asked: DataFrame, offered: DataFrame) -> DataFrame:
+    hit = F.exists("__words", lambda w: F.col("said").contains(w))
+    return asked.join(offered, "page_id").where(hit).groupBy("page_id", "description").agg(F.min("pos").alias("pos"))
+
+
+def _by_automaton(asked: DataFrame, offered: DataFrame) -> DataFrame:
+    """Words and elements of a page meet in blocks of about BLOCK of each: its texts are read once per block of words."""
+    each = asked.select("page_id", "description", F.explode("__words").alias("word")).distinct()
+    distinct_words = each.select("page_id", "word").distinct()
+    sizes = [
+        df.groupBy("page_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+        for df, name in ((distinct_words, "__w"), (offered, "__e"))
+    ]
+    met = sizes[0].join(sizes[1], "page_id")
+    block = lambda key, parts: F.pmod(F.xxhash64(key), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    none = [F.lit(None).cast("long").alias("pos"), F.lit(0).alias("kind")]
+    ours = distinct_words.join(met, "page_id").select(
+        "page_id", block("word", "__w").alias("w"), every("__e").alias("e"), *none, F.col("word").alias("said")
+    )
+    theirs = offered.join(met, "page_id").select(
+        "page_id", every("__w").alias("w"), block("pos", "__e").alias("e"), "pos", F.lit(1).alias("kind"), "said"
     )
-    return targets.join(first, ["page_id", "description"], "left").select(*targets.columns, "pos")
+    by = ["page_id", "w", "e"]
+    groups = ours.unionByName(theirs).repartition(*by).sortWithinPartitions(*by, "kind")  # words first
+    page = asked.schema["page_id"].dataType.simpleString()
+    hits = groups.mapInArrow(_first_of_words, f"page_id {page}, word string, pos long")
+    first = hits.groupBy("page_id", "word").agg(F.min("pos").alias("pos"))
+    return each.join(first, ["page_id", "word"]).groupBy("page_id", "description").agg(F.min("pos").alias("pos"))
+
+
+def _first_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Smallest position of an element in whose texts each word occurs, group by group; a group's words come first."""
+    group, words, automaton = None, [], None
+    first: dict[str, int] = {}
+    kind = pa.int64()
+
+    def told(pages: list, found: list, places: list) -> pa.RecordBatch:
+        arrays = [pa.array(pages, kind), pa.array(found, pa.string()), pa.array(places, pa.int64())]
+        return pa.RecordBatch.from_arrays(arrays, ["page_id", "word", "pos"])
+
+    pages, found, places = [], [], []
+
+    def close() -> None:
+        pages.extend([group[0]] * len(first) if group else [])
+        found.extend(first)
+        places.extend(first.values())
+
+    for batch in batches:
+        kind = batch.schema.field("page_id").type
+        keys = zip(*[batch.column(n).to_pylist() for n in ("page_id", "w", "e")])
+        rest = [batch.column(n).to_pylist() for n in ("pos", "kind", "said")]
+        for key, pos, is_element, said in zip(keys, *rest):
+            if key != group:
+                close()
+                group, words, automaton, first = key, [], None, {}
+            if not is_element:
+                words.append(said)
+                continue
+            automaton = automaton or Automaton(words)
+            if pos is not None:
+                for word in automaton.words_in(said):
+                    first[word] = min(first.get(word, pos), pos)
+        yield told(pages, found, places)
+        pages, found, places = [], [], []
+    close()
+    yield told(pages, found, places)
+
+
+class Automaton:
+    """Aho-Corasick: which of some words occur in a text, in one reading of it."""
+
+    def __init__(self, words: list[str]):
+        self.steps: list[dict[str, int]] = [{}]
+        self.word: list[str | None] = [None]
+        for word in words:
+            at = 0
+            for sign in word:
+                after = self.steps[at].get(sign)
+                if after is None:
+                    after = self.steps[at][sign] = len(self.steps)
+                    self.steps.append({})
+                    self.word.append(None)
+                at = after
+            self.word[at] = word
+        self.fall = [0] * len(self.steps)  # longest proper suffix that begins a word
+        self.next = [0] * len(self.steps)  # nearest suffix that is a word; 0: none
+        queue = list(self.steps[0].values())
+        for at in queue:
+            for sign, after in self.steps[at].items():
+                fall = self.fall[at]
+                while fall and sign not in self.steps[fall]:
+                    fall = self.fall[fall]
+                self.fall[after] = fall = self.steps[fall].get(sign, 0)
+                self.next[after] = fall if self.word[fall] is not None else self.next[fall]
+                queue.append(after)
+
+    def words_in(self, text: str) -> set[str]:
+        found: set[str] = set()
+        at = 0
+        for sign in text:
+            while at and sign not in self.steps[at]:
+                at = self.fall[at]
+            at = self.steps[at].get(sign, 0)
+            hit = at if self.word[at] is not None else self.next[at]
+            while hit and self.word[hit] not in found:
+                found.add(self.word[hit])
+                hit = self.next[hit]
+        return found

@@ -18,23 +18,46 @@ from ledgerline.streaming import live
 from ledgerline.streaming.folders import work_folder
 
 
-PARTS = 3
+PARTS = 2
+PART_ROWS = 1_000_000
+BUCKETS = 8
 
 
-def _arrivals(spark: SparkSession, d: str, path: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
-    """Let all events arrive in PARTS micro-batches, in spans of time, and run the live operator after each.
+def _part(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """Events with the number of the span of time they fall into, and how many spans there are.
 
-    Between spans the query stops and is started again from its checkpoint, so state is stored and read back.
+    Spans follow the number of events, so that none grows with the table. Events without a time are in the first.
     """
     events = I.source(spark, d, "events")
-    ends = events.agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
-    place = F.unix_micros("ts") - ends.select(F.unix_micros("first")).scalar()
-    width = ends.select(F.unix_micros("last") - F.unix_micros("first") + 1).scalar()
-    parted = events.withColumn("__part", F.floor(place * PARTS / width))
+    n, low, high = events.agg(F.count(F.lit(1)), F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    parts = max(PARTS, -(-n // PART_ROWS))
+    place = F.expr(f"(unix_micros(ts) - {low or 0}) * {parts} div {(high or 0) - (low or 0) + 1}")
+    return events.withColumn("__part", F.coalesce(place, F.lit(0))), parts
+
+
+def _arrivals(
+    spark: SparkSession, d: str, path: str, start: Callable[[DataFrame], StreamingQuery], slow: int | None = None
+) -> None:
+    """Let all events arrive, one file per span of time, one file per micro-batch.
+
+    After the first file the query stops and is started again from its checkpoint, so state is stored and read
+    back. Every ``slow``-th event arrives a span after its time.
+    """
+    events, parts = _part(spark, d)
+    if slow:
+        behind = (F.col("event_id") % slow == 0).cast("long")
+        events, parts = events.withColumn("__part", F.col("__part") + behind), parts + 1
     arrived = f"{path}/arrived"
-    for part in range(PARTS):
-        parted.where(F.col("__part") == part).drop("__part").write.mode("append").parquet(arrived)
-        start(spark.readStream.schema(I.SOURCES["events"]).parquet(arrived)).awaitTermination()
+
+    def run() -> None:
+        stream = spark.readStream.schema(I.SOURCES["events"]).option("maxFilesPerTrigger", 1)
+        start(stream.parquet(arrived)).awaitTermination()
+
+    for part in range(parts):
+        events.where(F.col("__part") == part).drop("__part").coalesce(1).write.mode("append").parquet(arrived)
+        if part == 0:
+            run()
+    run()
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -48,8 +71,8 @@ def _folder(spark: SparkSession, name: str) -> str:
 )
 def _(spark, d):
     path = _folder(spark, "recent")
-    _arrivals(spark, d, path, lambda events: live.live_recent(I.as_actions(events), path, once=True))
-    return live.recent_actions(spark, path)
+    _arrivals(spark, d, path, lambda events: live.live_recent(I.as_actions(events), path, once=True, buckets=BUCKETS))
+    return live.recent_actions(spark, path, buckets=BUCKETS)
 
 
 @query(
@@ -64,7 +87,7 @@ def _(spark, d):
     # Event ids grow with time, so they number the steps of a run.
     def start(events):
         steps = I.as_steps(events, F.col("user_id")).withColumn("step", F.col("event_id"))
-        return live.live_stuck(steps, path, once=True)
+        return live.live_stuck(steps, path, once=True, buckets=BUCKETS)
 
     _arrivals(spark, d, path, start)
     return live.stuck_alerts(spark, path)
@@ -81,20 +104,34 @@ _FROM_NOTHING = _TRACE.replace("FROM customer)", "FROM customer WHERE false)")
 )
 def _(spark, d):
     path = _folder(spark, "confidence")
-    _arrivals(spark, d, path, lambda events: live.live_confidence(I.as_outcomes(events), path, once=True))
+    _arrivals(spark, d, path, lambda events: live.live_confidence(I.as_outcomes(events), path, once=True, buckets=BUCKETS))
     never = F.lit(datetime(1970, 1, 1))
-    return live.current_confidence(spark, path).select(
+    return live.current_confidence(spark, path, buckets=BUCKETS).select(
         "domain",
         "confidence",
         *[F.coalesce(c, never).alias(c) for c in ("created", "last_verified", "last_failed")],
     )
 
 
+_DELAY = 86_400
+
+
 @query(
     "live_milestones",
-    f"WITH {D.MILESTONES} SELECT id, persona, event, ts FROM milestones",
+    f"""WITH {D.MILESTONES}, ends AS (SELECT epoch_us(min(ts)) AS low, epoch_us(max(ts)) AS high, count(*) AS n FROM events),
+    sized AS (SELECT *, greatest({PARTS}, ceil(n / {PART_ROWS}))::BIGINT AS parts FROM ends),
+    placed AS (SELECT event_id, ts, coalesce((epoch_us(ts) - low) * parts // (high - low + 1), 0)
+      + (event_id % 5 = 0)::INT AS part FROM events, sized),
+    tops AS (SELECT part, max(max(ts)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest
+      FROM placed GROUP BY part)
+    SELECT id, persona, event, milestones.ts, coalesce(milestones.ts < newest - INTERVAL {_DELAY} SECOND, false) AS late
+    FROM milestones JOIN placed ON event_id = id JOIN tops USING (part)""",
 )
 def _(spark, d):
     path = _folder(spark, "milestones")
-    _arrivals(spark, d, path, lambda events: live.live_milestones(I.as_milestones(events), path, once=True))
-    return live.all_milestones(spark, path)
+
+    def start(events):
+        return live.live_milestones(I.as_milestones(events), path, _DELAY, once=True)
+
+    _arrivals(spark, d, path, start, slow=5)
+    return live.marked_milestones(spark, path)

@@ -1,269 +1,205 @@
-"""Live operators on the state that Spark keeps per key, with expiry.
+"""Live operators: the batch operators, advanced by micro-batches over a bounded state.
 
-Each operator is a stateful transformation with a bounded state per key (the newest n rows, the last k - 1 steps,
-one recipe) that a file sink records in append mode, so results are exactly-once and a restart goes on from the
-checkpoint. State of keys that stay idle expires by time-out. What is recorded of a key that changes carries a
-version, and the newest version of a key is its current state.
+Each operator keeps what later rows can depend on (the newest n rows of a key, a run's last k - 1 steps, one recipe
+and its failed runs) in a ``BucketedState`` and treats a micro-batch with the operators that work on whole tables,
+so a key with a large share of a batch is spread as it is there, and no key's rows are gathered in a worker. The
+size of a micro-batch is the source's limit (``maxFilesPerTrigger``, ``maxBytesPerTrigger``). A batch that is repeated
+after a failure changes nothing.
 
 Rows of a key may come in any order within a micro-batch. Rows older than what a key has already seen cannot be
-replayed: order-dependent operators put them into the same sink as ``late`` rows, which ``late_rows`` returns.
-A micro-batch holds at most what the source's rate limit lets through, and so does the part of it one key has.
+replayed: order-dependent operators put them aside as ``late`` rows, which have readers of their own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerline.functions import scalars as X
-from ledgerline.operators import confidence, log
+from ledgerline.operators import confidence, log, runs
+from ledgerline.streaming import state as S
 
 ACTIONS = "id bigint, persona string, action string, detail string, ts timestamp"
 STEPS = "run_id bigint, step bigint, action_taken string, page_type string"
 OUTCOMES = "id bigint, domain string, action string, run_id bigint, outcome string, ts timestamp"
 MILESTONES = "id bigint, persona string, event string, ts timestamp"
-_RECENT = f"version bigint, {ACTIONS}"
-_STUCK = f"late boolean, {STEPS}"
-_CONFIDENCE = (
-    "late boolean, version bigint, domain string, action string, confidence int, created timestamp, "
-    "last_verified timestamp, last_failed timestamp, id bigint, run_id bigint, outcome string, ts timestamp"
+_RUNS = "run_id bigint, last bigint, fired boolean, tail array<struct<step:bigint,action_taken:string,page_type:string>>, seen timestamp"
+_RECIPES = (
+    "domain string, action string, run_id bigint, confidence int, created timestamp, last_verified timestamp, "
+    "last_failed timestamp, ts timestamp, id bigint, last timestamp"
 )
 _SPLIT = f"late boolean, {MILESTONES}"
 
 DAY_MS = 24 * 3_600 * 1_000
-SHARDS = 4_096  # groups of rows that need no order; many more than tasks
+BUCKETS = 64
 
 
 def _names(schema: str) -> list[str]:
     return [part.split()[0] for part in schema.split(", ")]
 
 
-def _start(rows: DataFrame, path: str, once: bool, name: str) -> StreamingQuery:
-    writer = rows.writeStream.queryName(name).format("parquet").outputMode("append")
-    writer = writer.option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/rows")
-    return (writer.trigger(availableNow=True) if once else writer).start()
-
-
-def _recorded(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{path}/rows")
-
-
-def _newest_version(rows: DataFrame, key: str) -> DataFrame:
-    """All rows of each key's newest version; the maximum is taken before rows move."""
-    last = rows.groupBy(F.col(key).alias("__key")).agg(F.max("version").alias("__last"))
-    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("version") == F.col("__last"))
-    return rows.join(last, same, "left_semi")
-
-
-def _kept(state: GroupState, empty: tuple) -> tuple:
-    return state.get if state.exists else empty
-
-
-def _idle(state: GroupState) -> bool:
-    """Forget a key that had no rows for the time-out; True if this call was for that."""
-    if state.hasTimedOut:
-        state.remove()
-        return True
-    return False
-
-
-def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
-    names = _names(schema)
-    frame = pd.DataFrame(rows, columns=names, dtype=object)
-    for part in schema.split(", "):
-        name, kind = part.split()
-        if kind in ("bigint", "int"):
-            frame[name] = frame[name].astype("Int64")
-        elif kind == "timestamp":
-            frame[name] = pd.to_datetime(frame[name])
-    return frame
-
-
-def _rows(batches: Iterator[pd.DataFrame], names: list[str]) -> list[tuple]:
-    """A key's rows of one micro-batch as plain values, missing ones as None."""
-    out: list[tuple] = []
-    for batch in batches:
-        columns = [batch[n].astype(object).where(batch[n].notna(), None).tolist() for n in names]
-        out += zip(*columns)
-    return out
-
-
-def _whole(value: Any) -> int | None:
-    return None if value is None else int(value)
+# --- recent actions ---
 
 
-# --- recent actions ---
+def _recent(path: str, buckets: int) -> S.BucketedState:
+    return S.BucketedState(f"{path}/rows", ACTIONS, ["persona"], buckets)
 
 
 def live_recent(
-    actions: DataFrame, path: str, n: int = 20, once: bool = False, idle_ms: int | None = None
+    actions: DataFrame, path: str, n: int = 20, once: bool = False, buckets: int = BUCKETS
 ) -> StreamingQuery:
     """Keep the newest n actions per persona; read them with ``recent_actions``.
 
-    The state is at most n rows, and so is what a busy persona holds in memory beside one Arrow batch; no order of
-    arrival is needed. With ``idle_ms`` a persona that had no rows for so long starts anew with its next one.
+    No order of arrival is needed; a row without a time is older than all others. Personas without a name are one.
     """
     names = _names(ACTIONS)
-    order = ["ts", "id"]
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if _idle(state):
-            return
-        version, *kept = _kept(state, (0, [], [], [], []))
-        best = pd.DataFrame(dict(zip(["id", "action", "detail", "ts"], kept)), dtype=object)
-        best["ts"] = pd.to_datetime(best["ts"])
-        for batch in batches:
-            part = batch[["id", "action", "detail", "ts"]]
-            best = part if best.empty else pd.concat([best, part], ignore_index=True)
-            # A row without a time is older than all others, as in the batch operator's descending order.
-            best = best.sort_values(order, ascending=False, na_position="last").head(n)
-        held = [best[c].astype(object).where(best[c].notna(), None).tolist() for c in ("id", "action", "detail")]
-        times = [None if pd.isna(t) else t.to_pydatetime() for t in best["ts"]]
-        version = max(version + 1, state.getCurrentProcessingTimeMs())
-        state.update((version, [_whole(i) for i in held[0]], held[1], held[2], times))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
-        yield best.assign(version=version, persona=key[0])[["version", *names]]
-
-    stored = "version bigint, ids array<bigint>, actions array<string>, details array<string>, times array<timestamp>"
-    kept = actions.select(*names).groupBy("persona").applyInPandasWithState(
-        fold, _RECENT, stored, "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
-    return _start(kept, path, once, "live_recent")
-
-
-def recent_actions(spark: SparkSession, path: str, n: int = 20) -> DataFrame:
+
+    def advance(fresh: DataFrame, batch: int) -> None:
+        newest = log.recent_n(fresh, n=n)
+        _recent(path, buckets).advance(batch, fresh, lambda base: log.recent_n(base.unionByName(newest), n=n).select(*names))
+
+    return S.start(actions.select(*names), path, once, "live_recent", advance)
+
+
+def recent_actions(spark: SparkSession, path: str, n: int = 20, buckets: int = BUCKETS) -> DataFrame:
     """The newest n actions of every persona that the stream has seen."""
-    rows = _newest_version(_recorded(spark, path, _RECENT), "persona")
-    return log.recent_n(rows.select(*_names(ACTIONS)), n=n)
+    return log.recent_n(_recent(path, buckets).read(spark), n=n)
 
 
 # --- stuck runs ---
 
 
 def live_stuck(
-    steps: DataFrame, path: str, k: int = 3, once: bool = False, idle_ms: int = DAY_MS
+    steps: DataFrame, path: str, k: int = 3, once: bool = False, idle_ms: int = DAY_MS, buckets: int = BUCKETS
 ) -> StreamingQuery:
     """Write one alert per run when its last k steps first are equal; read them with ``stuck_alerts``.
 
-    The state is the last k - 1 steps and whether the run was reported. Steps at or below the newest step of
-    earlier micro-batches are late.
+    The state is a run's last k - 1 steps and whether it was reported; it goes when the run had no rows for
+    ``idle_ms`` by the time one of its bucket comes. Steps at or below the newest step of earlier micro-batches are
+    late. Rows without a run or a step are left out.
     """
     names = _names(STEPS)
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if _idle(state):
-            return
-        last, fired, *tail = _kept(state, (None, False, [], []))
-        tail = list(zip(*tail))
-        found = []
-        newest = last
-        for _, step, action, page in sorted(_rows(batches, names), key=lambda r: r[1]):
-            if last is not None and step <= last:
-                found.append((True, key[0], step, action, page))
-                continue
-            if not fired and len(tail) == k - 1 and all(seen == (action, page) for seen in tail):
-                fired = True
-                found.append((False, key[0], step, action, page))
-            tail = [*tail, (action, page)][1 - k :] if k > 1 else []
-            newest = int(step)
-        state.update((newest, fired, [a for a, _ in tail], [p for _, p in tail]))
-        state.setTimeoutDuration(idle_ms)
-        yield _frame(found, _STUCK)
-
-    stored = "last bigint, fired boolean, actions array<string>, pages array<string>"
-    alerts = steps.select(*names).where("step IS NOT NULL").groupBy("run_id").applyInPandasWithState(
-        fold, _STUCK, stored, "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
-    return _start(alerts, path, once, "live_stuck")
+    held = S.BucketedState(f"{path}/state", _RUNS, ["run_id"], buckets)
+
+    def advance(fresh: DataFrame, batch: int) -> None:
+        def fold(base: DataFrame) -> DataFrame:
+            now = F.current_timestamp()
+            alive = base.where(F.col("seen") >= now - F.make_dt_interval(secs=F.lit(idle_ms / 1_000)))
+            placed = fresh.join(alive.select("run_id", "last"), "run_id", "left")
+            late = F.coalesce(F.col("step") <= F.col("last"), F.lit(False))
+            before = alive.select("run_id", F.explode("tail").alias("t")).select("run_id", "t.*")
+            both = placed.where(~late).select(*names).unionByName(before)
+            one = F.struct("step", "action_taken", "page_type")
+            newest = log.newest(both, ["run_id"], ["step"], max(1, k - 1))
+            tails = newest.groupBy("run_id").agg(
+                F.max("step").alias("last"),
+                F.slice(F.sort_array(F.collect_list(one)), 1, k - 1).alias("tail"),  # k - 1 rows at most
+            )
+            found = runs.stuck_points(both, k)
+            known = alive.select("run_id", F.col("last").alias("__last"), F.col("fired").alias("__fired"), "seen")
+            summary = tails.join(known, "run_id", "left").join(found, "run_id", "left").persist()
+            used.append(summary)
+            told = summary.where("stuck_step IS NOT NULL AND NOT coalesce(__fired, false)")
+            alerts = told.select(F.lit(False).alias("late"), "run_id", F.col("stuck_step").alias("step"), "action_taken", "page_type")
+            aside = placed.where(late).select(F.lit(True).alias("late"), *names)
+            S.record(alerts.unionByName(aside), batch, f"{path}/rows")
+            moved = F.coalesce(F.col("last") > F.col("__last"), F.lit(True))
+            return summary.select(
+                "run_id", "last", F.coalesce(F.col("__fired") | F.col("stuck_step").isNotNull(), F.col("stuck_step").isNotNull()).alias("fired"),
+                "tail", F.when(moved, now).otherwise(F.col("seen")).alias("seen"),
+            )
+
+        used: list[DataFrame] = []
+        held.advance(batch, fresh, fold)
+        for frame in used:
+            frame.unpersist()
+
+    rows = steps.select(*names).where("run_id IS NOT NULL AND step IS NOT NULL")
+    return S.start(rows, path, once, "live_stuck", advance)
+
+
+_FOUND = f"late boolean, {STEPS}"
 
 
 def stuck_alerts(spark: SparkSession, path: str) -> DataFrame:
-    alerts = _recorded(spark, path, _STUCK).where("NOT late")
-    return alerts.select("run_id", F.col("step").alias("stuck_step"), "action_taken", "page_type")
+    found = S.recorded(spark, f"{path}/rows", _FOUND).where("NOT late")
+    return found.select("run_id", F.col("step").alias("stuck_step"), "action_taken", "page_type")
 
 
 def late_steps(spark: SparkSession, path: str) -> DataFrame:
-    return _recorded(spark, path, _STUCK).where("late").drop("late")
+    return S.recorded(spark, f"{path}/rows", _FOUND).where("late").drop("late")
 
 
 # --- confidence ---
 
 
+def _held_recipes(path: str, buckets: int) -> S.BucketedState:
+    return S.BucketedState(f"{path}/state", _RECIPES, confidence.KEYS, buckets)
+
+
 def live_confidence(
-    outcomes: DataFrame, path: str, once: bool = False, idle_ms: int = 365 * DAY_MS, run_ms: int = DAY_MS
+    outcomes: DataFrame, path: str, once: bool = False, run_ms: int = 7 * DAY_MS, buckets: int = BUCKETS
 ) -> StreamingQuery:
     """Advance the state of each recipe; read it with ``current_confidence``.
 
-    The state is the recipe, the place of its newest event, and the runs whose fast path failed within ``run_ms``
-    of that event: a later success of such a run does not count. Events before the newest one of earlier
-    micro-batches are late.
+    The state is the recipe, the place of its newest event, and the runs whose fast path failed: a later success of
+    such a run does not count. A failed run is forgotten when its own last event is ``run_ms`` older than the
+    recipe's newest one. Events before the newest one of earlier micro-batches are late. Rows without a time or an id
+    are left out.
     """
-    names = _names(OUTCOMES)
-    span = pd.Timedelta(milliseconds=run_ms)
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if _idle(state):
-            return
-        empty = (0, None, None, None, None, None, None, [], [])
-        version, last_ts, last_id, level, created, verified, failed, runs, since = _kept(state, empty)
-        bad_runs = dict(zip(runs, map(pd.Timestamp, since)))
-        seen = (pd.Timestamp(last_ts), last_id) if last_ts is not None else None
-        out, newest = [], seen
-        for id_, _, _, run, outcome, ts in sorted(_rows(batches, names), key=lambda r: (r[5], r[0])):
-            if seen is not None and (ts, id_) < seen:
-                out.append((True, None, *key, None, None, None, None, id_, _whole(run), outcome, ts))
-                continue
-            newest = (ts, id_)
-            if outcome == "save":
-                level, created, verified = 1, ts if level is None else created, ts
-            elif outcome == "delete":
-                level = created = verified = failed = None
-            elif outcome == "fast_fail":
-                if run is not None:
-                    bad_runs.setdefault(int(run), ts)
-                if level is not None:
-                    level, failed = 1, ts
-            elif outcome == "success" and level is not None and (run is None or int(run) not in bad_runs):
-                level, verified = min(confidence.MAX_CONFIDENCE, level + 1), ts
-        if newest is not None:
-            bad_runs = {run: at for run, at in bad_runs.items() if at >= newest[0] - span}
-            version = max(version + 1, state.getCurrentProcessingTimeMs())
-            plain = [None if t is None else pd.Timestamp(t).to_pydatetime() for t in (created, verified, failed)]
-            at = [t.to_pydatetime() for t in bad_runs.values()]
-            state.update((version, newest[0].to_pydatetime(), int(newest[1]), level, *plain, list(bad_runs), at))
-            state.setTimeoutDuration(idle_ms)
-            out.append((False, version, *key, level, created, verified, failed, None, None, None, None))
-        yield _frame(out, _CONFIDENCE)
-
-    stored = (
-        "version bigint, last_ts timestamp, last_id bigint, level int, created timestamp, verified timestamp, "
-        "failed timestamp, runs array<bigint>, since array<timestamp>"
-    )
+    names, keys, run = _names(OUTCOMES), confidence.KEYS, confidence.RUN
+
+    def advance(fresh: DataFrame, batch: int) -> None:
+        def fold(base: DataFrame) -> DataFrame:
+            recipes, failed = base.where("run_id IS NULL"), base.where("run_id IS NOT NULL")
+            newest = recipes.select(*keys, F.struct("ts", "id").alias("__newest"))
+            placed = fresh.join(newest, keys, "left")
+            late = F.coalesce(F.struct("ts", "id") < F.col("__newest"), F.lit(False))
+            S.record(placed.where(late).select(*names), batch, f"{path}/late")
+            timely = placed.where(~late).select(*names)
+
+            counted = confidence.effective_outcomes(timely, failed)
+            after = confidence.replay_state(counted, recipes.where("confidence IS NOT NULL")).drop("tier")
+            moved = timely.groupBy(*keys).agg(F.max(F.struct("ts", "id")).alias("__at")).select(*keys, "__at.*")
+            changed = counted.select(*keys).distinct().withColumn("__changed", F.lit(True))
+            stored = ["confidence", "created", "last_verified", "last_failed"]
+            before = recipes.select(*keys, *[F.col(c).alias(f"__{c}") for c in stored])
+            states = moved.join(after, keys, "left").join(changed, keys, "left").join(before, keys, "left")
+            fresh_recipes = states.select(
+                *keys, "ts", "id", *[F.when(F.col("__changed"), F.col(c)).otherwise(F.col(f"__{c}")).alias(c) for c in stored]
+            )
+            resting = recipes.join(moved.select(*keys), keys, "left_anti")
+
+            first = confidence.failed_runs(timely).unionByName(failed.select(*run, "ts", "id"))
+            first = first.groupBy(*run).agg(F.min(F.struct("ts", "id")).alias("__first"))
+            last = timely.where("run_id IS NOT NULL").select(*run, F.col("ts").alias("last"))
+            last = last.unionByName(failed.select(*run, "last")).groupBy(*run).agg(F.max("last").alias("last"))
+            tops = fresh_recipes.unionByName(resting, allowMissingColumns=True).select(*keys, F.col("ts").alias("__top"))
+            kept = first.join(last, run).join(tops, keys, "left").where(
+                F.coalesce(F.col("last") >= F.col("__top") - F.make_dt_interval(secs=F.lit(run_ms / 1_000)), F.lit(True))
+            )
+            return (
+                fresh_recipes.unionByName(resting, allowMissingColumns=True)
+                .unionByName(kept.select(*run, "__first.*", "last"), allowMissingColumns=True)
+                .select(*_names(_RECIPES))
+            )
+
+        _held_recipes(path, buckets).advance(batch, fresh, fold)
+
     rows = outcomes.select(*names).where("ts IS NOT NULL AND id IS NOT NULL")
-    states = rows.groupBy(*confidence.KEYS).applyInPandasWithState(
-        fold, _CONFIDENCE, stored, "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
-    return _start(states, path, once, "live_confidence")
+    return S.start(rows, path, once, "live_confidence", advance)
 
 
-def current_confidence(spark: SparkSession, path: str) -> DataFrame:
-    """Recipes that exist, with the state of their newest version."""
+def current_confidence(spark: SparkSession, path: str, buckets: int = BUCKETS) -> DataFrame:
+    """Recipes that exist, with their state."""
+    known = _held_recipes(path, buckets).read(spark).where("run_id IS NULL AND confidence IS NOT NULL")
     names = ["confidence", "created", "last_verified", "last_failed"]
-    states = _recorded(spark, path, _CONFIDENCE).where("NOT late")
-    last = states.groupBy(*confidence.KEYS).agg(F.max_by(F.struct(*names), "version").alias("__state"))
-    known = last.select(*confidence.KEYS, "__state.*").where("confidence IS NOT NULL")
-    return known.withColumn("tier", X.confidence_tier("confidence"))
+    return known.select(*confidence.KEYS, *names, X.confidence_tier("confidence").alias("tier"))
 
 
 def late_outcomes(spark: SparkSession, path: str) -> DataFrame:
-    return _recorded(spark, path, _CONFIDENCE).where("late").select(*_names(OUTCOMES))
+    return S.recorded(spark, f"{path}/late", OUTCOMES)
 
 
 # --- late milestones ---
@@ -272,31 +208,34 @@ def late_outcomes(spark: SparkSession, path: str) -> DataFrame:
 def live_milestones(
     milestones: DataFrame, path: str, delay_seconds: int = 3_600, once: bool = False
 ) -> StreamingQuery:
-    """Mark arrivals before Spark's watermark as late; ``all_milestones`` folds them in at their event time.
+    """Mark arrivals before the watermark as late; ``all_milestones`` folds them in at their event time.
 
-    A stateful operator with an event-time time-out would drop such rows. This one keeps no state and only reads
-    the watermark, so rows need no order and are grouped by a hash of their id, which splits a busy persona.
+    The watermark is the newest time of earlier micro-batches less the delay, as Spark's own is; a stateful operator
+    of Spark would drop such rows. Every batch records its newest time in one row. Rows without a time are not late.
     """
     names = _names(MILESTONES)
 
-    def split(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
-        for batch in batches:
-            rows = batch[names]
-            yield rows.assign(late=rows["ts"] < mark)[["late", *names]]
+    def advance(fresh: DataFrame, batch: int) -> None:
+        spark = fresh.sparkSession
+        S.record(fresh.agg(F.max("ts").alias("newest")), batch, f"{path}/marks")
+        marks = spark.read.schema(f"newest timestamp, {S.BATCH} bigint").parquet(f"{path}/marks")
+        newest = marks.where(F.col(S.BATCH) < batch).agg(F.max("newest")).first()[0]
+        mark = F.lit(newest).cast("timestamp") - F.make_dt_interval(secs=F.lit(delay_seconds))
+        late = F.coalesce(F.col("ts") < mark, F.lit(False)).alias("late")
+        S.record(fresh.select(late, *names), batch, f"{path}/rows")
 
-    rows = milestones.select(*names).withWatermark("ts", f"{delay_seconds} seconds")
-    shard = F.pmod(F.xxhash64("id", "persona", "event"), F.lit(SHARDS))
-    marked = rows.withColumn("__shard", shard).groupBy("__shard").applyInPandasWithState(
-        split, _SPLIT, "unused boolean", "append", GroupStateTimeout.NoTimeout
-    )
-    return _start(marked, path, once, "live_milestones")
+    return S.start(milestones.select(*names), path, once, "live_milestones", advance)
 
 
 def late_milestones(spark: SparkSession, path: str) -> DataFrame:
-    return _recorded(spark, path, _SPLIT).where("late").drop("late")
+    return S.recorded(spark, f"{path}/rows", _SPLIT).where("late").drop("late")
 
 
 def all_milestones(spark: SparkSession, path: str) -> DataFrame:
     """Live and late rows together, ordered by event time per persona."""
-    return _recorded(spark, path, _SPLIT).drop("late").orderBy("persona", "ts", "id")
+    return S.recorded(spark, f"{path}/rows", _SPLIT).drop("late").orderBy("persona", "ts", "id")
+
+
+def marked_milestones(spark: SparkSession, path: str) -> DataFrame:
+    """All rows, with whether they came late."""
+    return S.recorded(spark, f"{path}/rows", _SPLIT)

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from ledgerline import schemas
 from ledgerline.operators import filters, joins, log
 from tests.helpers import at, rows
@@ -186,3 +188,40 @@ def test_entries_for(spark):
 def test_latest_recording(spark):
     files = spark.createDataFrame([("d", "a.mp4"), ("d", "c.txt"), ("d", "b.mov")], "directory string, name string")
     assert rows(log.latest_recording(files)) == [("d", "b.mov")]
+
+
+def test_long_service_names_have_a_linear_index(spark):
+    rng = random.Random(8)
+    names = ["".join(rng.choice("abc") for _ in range(10_000)) for _ in range(6)] + ["ab", "a", "É" * 50]
+    accounts = [(i, "p", n, at(i)) for i, n in enumerate(names)]
+    asked = [names[3][7_000:7_020], names[1][:9_000].upper(), names[2], "abcabcx", "é" * 50, "a", "ab", "", None]
+    a = spark.createDataFrame(accounts, "id bigint, persona string, service string, created_at timestamp")
+    r = spark.createDataFrame([(i, "p", q) for i, q in enumerate(asked)], "req_id bigint, persona string, service string")
+    got = {x.req_id: x.account_id for x in joins.find_account(r, a).collect()}
+    want = {}
+    for i, q in enumerate(asked):
+        want[i] = next((k for k, n in enumerate(names) if q is not None and q.lower() in n.lower()), None)
+    assert got == want
+
+
+def test_words_in_a_text_by_the_automaton():
+    rng = random.Random(2)
+    for _ in range(200):
+        words = list({"".join(rng.choice("abé") for _ in range(rng.randrange(1, 5))) for _ in range(8)})
+        text = "".join(rng.choice("abé ") for _ in range(rng.randrange(40)))
+        assert joins.Automaton(words).words_in(text) == {w for w in words if w in text}
+
+
+@pytest.mark.parametrize("pairs", [0, 1 << 40])
+def test_a_page_with_many_elements_and_descriptions(spark, monkeypatch, pairs):
+    monkeypatch.setattr(joins, "BLOCK", 300)
+    monkeypatch.setattr(joins, "PAGE_PAIRS", pairs)
+    elements = spark.range(3_000).selectExpr(
+        "1L AS page_id", "int(id) AS pos", "concat('Item', id % 700, 'x') AS text", "CAST(NULL AS STRING) AS ariaLabel",
+        "'' AS placeholder", "'' AS name",
+    )
+    targets = spark.range(1_500).selectExpr("id AS req_id", "1L AS page_id", "concat('  nothing iTem', id, 'X ') AS description")
+    odd = spark.createDataFrame([(9_000, 1, None), (9_001, 1, " "), (9_002, 2, "item1x")], "req_id long, page_id long, description string")
+    got = {r.req_id: r.pos for r in joins.match_elements(targets.unionByName(odd), elements).collect()}
+    want = {i: (i if i < 700 else None) for i in range(1_500)} | {9_000: None, 9_001: None, 9_002: None}
+    assert got == want
