@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
@@ -10,8 +11,9 @@ from ledgerline.functions import scalars as X
 from ledgerline.operators import filters, log
 from ledgerline.plans import derived as D
 from ledgerline.plans import inputs as I
-from ledgerline.plans.registry import query
+from ledgerline.plans.registry import CHECKS, query
 from ledgerline.sources import imports, logs, tables
+from ledgerline.streaming.folders import work_folder
 
 AS_OF = datetime(2024, 2, 1)
 
@@ -561,3 +563,52 @@ def _(spark, d):
 )
 def _(spark, d):
     return log.counts(I.actions(spark, d), "persona", "action")
+
+
+@query(
+    "stored_actions",
+    f"""WITH {D.ACTIONS} SELECT id, persona, action, detail, ts, CAST(ts AS DATE) AS date FROM actions""",
+)
+def _(spark, d):
+    path = f"{work_folder(spark)}/actions-{uuid4().hex}"
+    actions = I.actions(spark, d)
+    for half in (0, 1):
+        logs.append_actions(actions.where(F.col("id") % 2 == half), path)
+    return logs.read_actions(spark, path).select("id", "persona", "action", "detail", "ts", "date")
+
+
+@query("stored_action_lines", f"SELECT * EXCLUDE (id) FROM ({CHECKS['action_lines']})")
+def _(spark, d):
+    path = f"{work_folder(spark)}/lines-{uuid4().hex}"
+    _lines(spark, d).select("value").write.text(path)
+    rows = logs.read_action_jsonl(spark, path)[0]
+    return rows.select("ts_ms", "ts", "action", F.coalesce("duration_ms", F.lit(-1)).alias("duration_ms"))
+
+
+@query(
+    "imported_arrays",
+    """SELECT 'ns/' || o_orderkey || '}"{' AS entry, 'user' || o_custkey AS username, '' AS error FROM orders
+    WHERE o_orderstatus <> 'P' AND o_orderpriority <> '5-LOW'
+    UNION ALL SELECT CASE WHEN o_orderstatus = 'P' THEN '' ELSE 'ns/' || o_orderkey || '}"{' END, '',
+      CASE WHEN o_orderstatus = 'P' THEN 'entry is missing' ELSE 'username is missing' END FROM orders
+    WHERE o_orderstatus = 'P' OR o_orderpriority = '5-LOW'
+    UNION ALL SELECT '', '', 'not valid JSON' FROM (SELECT DISTINCT o_orderkey % 4 FROM orders)""",
+)
+def _(spark, d):
+    """Four files, each one array whose last record is broken off."""
+    path = f"{work_folder(spark)}/arrays-{uuid4().hex}"
+    o = I.source(spark, d, "orders")
+    entry = F.when(F.col("o_orderstatus") == "P", "").otherwise(F.concat(F.lit("ns/"), F.col("o_orderkey"), F.lit('}"{')))
+    user = F.when(F.col("o_orderpriority") != "5-LOW", F.concat(F.lit("user"), F.col("o_custkey")))
+    json = F.concat(F.to_json(F.struct(entry.alias("entry"), user.alias("username"))), F.lit(","))
+    lines = o.select((F.col("o_orderkey") % 4).alias("file"), F.lit(1).alias("kind"), json.alias("value"))
+    ends = lines.select("file").distinct()
+    heads = ends.select("file", F.lit(0).alias("kind"), F.lit("[").alias("value"))
+    tails = ends.select("file", F.lit(2).alias("kind"), F.lit('{"entry": "x", ').alias("value"))
+    whole = lines.unionByName(heads).unionByName(tails).repartition("file").sortWithinPartitions("file", "kind")
+    whole.select("file", "value").write.partitionBy("file").text(path)
+    good, rejects, _counts = imports.import_accounts(spark, path)
+    shown = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return good.select("entry", "username", F.lit("").alias("error")).unionByName(
+        rejects.select(shown("entry"), F.lit("").alias("username"), "error")
+    )

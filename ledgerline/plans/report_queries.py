@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from datetime import datetime
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
 from ledgerline.operators import joins, reports, runs
 from ledgerline.plans import derived as D
 from ledgerline.plans import inputs as I
-from ledgerline.plans.registry import query
+from ledgerline.plans.registry import CHECKS, query
 from ledgerline.plans.run_queries import _LABELS
+from ledgerline.sources import reports as sink
+from ledgerline.streaming.folders import work_folder
 
 AT0 = "TIMESTAMP '1970-01-01 00:00:00'"
 STAMP = "'%Y-%m-%d %H:%M'"
@@ -586,3 +589,17 @@ def _(spark, d):
         .withColumns({"steps_completed": F.col("end_step"), "total_steps": F.lit(6)})
     )
     return reports.run_footer(footed).select("run_id", "line")
+
+
+@query(
+    "stored_timelines",
+    f"""WITH shown AS ({CHECKS["timeline_lines"]}),
+    pieces AS (SELECT *, string_split(coalesce(line, ''), chr(10)) AS list FROM shown),
+    cut AS (SELECT * EXCLUDE (list, line), unnest(list) AS line, generate_subscripts(list, 1) AS nth FROM pieces)
+    SELECT persona, row_number() OVER (PARTITION BY persona ORDER BY section, line_at, line_by, seq, sub, nth)
+      AS line_no, line FROM cut""",
+)
+def _(spark, d):
+    path = f"{work_folder(spark)}/timelines-{uuid4().hex}"
+    sink.write_reports(reports.timeline(I.personas(spark, d), I.milestones(spark, d)), path)
+    return sink.read_reports(spark, path)

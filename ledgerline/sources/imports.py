@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as X
 from ledgerline.operators import filters
+from ledgerline.sources import json_arrays
 
 CORRUPT = "_corrupt"
 
@@ -19,15 +20,11 @@ def import_accounts(
     """(good rows, rejects, counts) of JSON files holding an array of {entry, username}.
 
     Only references are loaded: a password in the file is not in the schema and
-    is never read into a row.
+    is never read into a row. A large array is read by many tasks.
     """
     schema = f"entry string, username string, {CORRUPT} string"
-    rows = (
-        spark.read.schema(schema)
-        .option("multiLine", True)
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
-    )
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    rows = json_arrays.read_records(spark, path).select(parsed.alias("__row")).select("__row.*")
     return split_accounts(rows)
 
 

@@ -8,15 +8,21 @@ from pyspark.sql import functions as F
 LINE = "ts bigint, action string, detail string"
 
 
-def append_actions(df: DataFrame, path: str, files_per_date: int = 16) -> None:
+FILE_ROWS = 5_000_000
+
+
+def append_actions(df: DataFrame, path: str) -> None:
     """Append rows, laid out by date so that time filters prune folders.
 
-    Rows are spread over (date, row hash) first: each date gets a bounded number
-    of files, and neither a busy date nor a busy persona ends up in one task.
+    Rows are ranged over (date, persona, time): a date gets files by its size, as adaptive execution merges small
+    ranges, a busy persona is spread over several, and a file holds few personas, which its statistics and a Bloom
+    filter on the persona tell a reader. Rows without a time have a folder of their own.
     """
     dated = df.withColumn("date", F.to_date("ts"))
-    spread = F.pmod(F.xxhash64("persona", "id"), F.lit(files_per_date))
-    dated.repartition("date", spread).write.mode("append").partitionBy("date").parquet(path)
+    place = ["date", "persona", "ts", "id"]
+    rows = dated.repartitionByRange(*place).sortWithinPartitions(*place)
+    writer = rows.write.mode("append").partitionBy("date").option("maxRecordsPerFile", FILE_ROWS)
+    writer.option("parquet.bloom.filter.enabled#persona", "true").parquet(path)
 
 
 def read_actions(spark: SparkSession, path: str) -> DataFrame:

@@ -1,19 +1,54 @@
-"""Text sink for report lines."""
+"""Text sink for report lines: files by size, and an index of the reports in them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators import ordered
 from ledgerline.operators.reports import ORDER
 
+FILE_BYTES = 128 << 20
+PLACE = ["bucket", "part"]
 
-def write_reports(lines: DataFrame, path: str, key: str = "persona") -> None:
-    """One folder per key; its part files, by name, are the report in reading order.
 
-    Lines are ranged over (key, position), so a very long report is written by
-    several tasks in order instead of by one.
+def write_reports(lines: DataFrame, path: str, key: str = "persona", file_bytes: int = FILE_BYTES) -> None:
+    """Text files of whole reports under ``path/lines``, and ``path/index``: key, bucket, part, first, n_lines.
+
+    The number of buckets follows the bytes of the text, not the number of keys. A bucket's reports follow each other
+    by key; a report that is long on its own is cut into parts in reading order, which have files of their own. The
+    index tells for each report and file the number of its first line there, from 0, and how many there are. A line
+    with line breaks counts as several, a null line as an empty one.
     """
-    lines.repartitionByRange(key, *ORDER).sortWithinPartitions(key, *ORDER).select(
-        key, F.col("line").alias("value")
-    ).write.mode("overwrite").partitionBy(key).text(path)
+    text = F.coalesce("line", F.lit(""))
+    total = lines.agg(F.sum(F.octet_length(text) + 1)).first()[0] or 0
+    ranged = ordered.chunked(lines, [key], ORDER)
+    part = F.col(ordered.CHUNK) if ordered.CHUNK in ranged.columns else F.lit(None).cast("int")
+    bucket = F.pmod(F.xxhash64(key), F.lit(1 + total // file_bytes)).cast("int")
+    placed = ranged.withColumns({"bucket": bucket, "part": F.coalesce(part + 1, F.lit(0)), "value": text})
+    by = [*PLACE, key, *ORDER]
+    rows = placed.repartition(*PLACE).sortWithinPartitions(*by).select(*PLACE, "value")
+    rows.write.mode("overwrite").partitionBy(*PLACE).text(f"{path}/lines")
+    sizes = placed.groupBy(key, *PLACE).agg(F.sum(F.size(F.split("value", "\n"))).alias("n_lines"))
+    before = Window.partitionBy(*PLACE).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    index = sizes.withColumn("first", F.coalesce(F.sum("n_lines").over(before), F.lit(0)))
+    index.write.mode("overwrite").parquet(f"{path}/index")
+
+
+def read_reports(spark: SparkSession, path: str, key: str = "persona") -> DataFrame:
+    """``key, line_no, line`` of all reports, line numbers from 1."""
+    index = spark.read.parquet(f"{path}/index")
+    text = spark.read.schema("value string, bucket int, part int").text(f"{path}/lines")
+    place = {"block": F.col("_metadata.file_block_start"), "seq": F.monotonically_increasing_id()}
+    numbered = ordered.ordinal(text.withColumns(place), PLACE, ["block", "seq"], "n")
+    heads = index.select(*PLACE, F.col("first").alias("n"), key, F.col("first").alias("__first"), F.lit(None).cast("string").alias("line"))
+    lines = numbered.select(*PLACE, (F.col("n") - 1).alias("n"), F.col("value").alias("line"), F.lit(1).alias("__line"))
+    both = lines.unionByName(heads, allowMissingColumns=True)
+    so_far = Window.partitionBy(*PLACE).orderBy("n", F.col("__line").asc_nulls_first())
+    named = both.withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in (key, "__first")}).where("__line = 1")
+    at = index.groupBy(key, *PLACE).agg(F.sum("n_lines").alias("n_lines"))
+    parts = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = at.withColumn("__earlier", F.coalesce(F.sum("n_lines").over(parts), F.lit(0))).drop("n_lines")
+    return named.join(earlier, [key, *PLACE]).select(
+        key, (F.col("n") - F.col("__first") + F.col("__earlier") + 1).alias("line_no"), "line"
+    )

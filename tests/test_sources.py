@@ -1,10 +1,13 @@
 from __future__ import annotations
 
 import json
+import random
+
+from pyspark.sql import functions as F
 
 from ledgerline import schemas
-from ledgerline.operators import filters, log, reports
-from ledgerline.sources import imports, logs, tables
+from ledgerline.operators import filters, log, ordered, reports
+from ledgerline.sources import imports, json_arrays, logs, tables
 from ledgerline.sources import reports as sink
 from tests.helpers import at, plan_of, rows
 
@@ -87,7 +90,7 @@ def test_config_layers(spark, tmp_path):
     assert ("a", "city", "Rome") in rows(imports.resolve_config(lines, unquote=True))
 
 
-def test_report_sink_keeps_order(spark, tmp_path):
+def test_report_sink_keeps_order(spark, tmp_path, monkeypatch):
     people = spark.createDataFrame(
         [("p", "tester", "", "en-US", "UTC", "", "", at(0), None), ("q", "", "", "en-US", "UTC", "", "", at(0), None)],
         schemas.TABLES["personas"],
@@ -99,13 +102,22 @@ def test_report_sink_keeps_order(spark, tmp_path):
     lines = reports.timeline(people, milestones)
     path = tmp_path / "out"
     sink.write_reports(lines, str(path))
-    text = "".join(f.read_text() for f in sorted((path / "persona=p").glob("part-*")))
-    want = "\n".join(r.line for r in reports.document(lines.where("persona = 'p'")).collect()) + "\n"
-    assert text == want
-    assert text.startswith("# p — tester — Timeline\n\n## 2026-03-01\n\n### 12:00 — event 000\nTags: `post`\n")
-    assert text.count("## 2026-03") == 3
-    only = "".join(f.read_text() for f in (path / "persona=q").glob("part-*"))
-    assert only == "No milestones recorded for 'q'.\n"
+    back = sink.read_reports(spark, str(path))
+    said = {}
+    for r in back.orderBy("persona", "line_no").collect():
+        said.setdefault(r.persona, []).append(r.line)
+    document = reports.document(lines.where("persona = 'p'")).collect()
+    assert "\n".join(said["p"]) == "\n".join(r.line for r in document)
+    assert said["p"][:6] == ["# p — tester — Timeline", "", "## 2026-03-01", "", "### 12:00 — event 000", "Tags: `post`"]
+    assert said["q"] == ["No milestones recorded for 'q'."]
+    assert len(list((path / "lines").rglob("part-*.txt"))) == 1
+    monkeypatch.setattr(ordered, "HOT_ROWS", 100)
+    path = tmp_path / "cut"
+    sink.write_reports(lines, str(path), file_bytes=2_000)
+    cut = sink.read_reports(spark, str(path))
+    assert rows(cut.select(back.columns)) == rows(back)
+    files = {f.parent for f in (path / "lines").rglob("part-*.txt")}
+    assert len(files) > 2 and spark.read.parquet(str(path / "index")).where("persona = 'p'").count() > 1
 
 
 def test_not_found(spark):
@@ -123,3 +135,33 @@ def test_step_log_number(spark):
         "  Step 1: [login] form -> fill (tier: api, conf: 0.8)",
         "  Step 2: [login]  -> done (tier: api, conf: 0.0)",
     ]
+
+
+def test_array_of_objects_is_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    sign = '{}[]"\\,: \né'
+    objects = [
+        {"entry": "".join(rng.choice(sign) for _ in range(rng.randrange(30))), "deep": [{"a": {}}, "}"] * rng.randrange(3)}
+        for _ in range(400)
+    ]
+    (tmp_path / "a.json").write_text(json.dumps(objects, indent=1))
+    (tmp_path / "b.json").write_text(json.dumps(objects[:5], ensure_ascii=False))
+    (tmp_path / "c.json").write_text(json.dumps(objects[0]))
+    (tmp_path / "d.json").write_text(" [ ]\n")
+    (tmp_path / "e.json").write_text('[1, {"entry": "x"}, 2]')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for hot in (0, 1_000_000):
+            monkeypatch.setattr(ordered, "HOT_ROWS", hot)
+            pieces = json_arrays.fragments(spark, str(tmp_path))
+            assert pieces.where("file like '%a.json'").select(F.spark_partition_id()).distinct().count() > 3
+            back = json_arrays.read_records(spark, str(tmp_path)).collect()
+            of = lambda name: [r.value for r in sorted(back) if r.file.endswith(name)]
+            assert [json.loads(t) for t in of("a.json")] == objects
+            assert [json.loads(t) for t in of("b.json")] == objects[:5]
+            assert [json.loads(t) for t in of("c.json")] == objects[:1]
+            assert of("d.json") == [] and of("e.json") == ['1, {"entry": "x"}', "2"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
