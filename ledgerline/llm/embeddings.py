@@ -37,7 +37,7 @@ def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col: s
         vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
         .where(F.col("id").isNotNull() & F.col("label").isNotNull() & value.isNotNull() & finite & some)
         .groupBy("label", "v")
-        .agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"))
+        .agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
     )
 
 
@@ -48,7 +48,7 @@ def pick_pivots(nodes: DataFrame, n: int = PIVOTS) -> dict[int, np.ndarray]:
     members by noise, and they would share few of their nearest pivots.
     """
     found: dict[int, list] = {}
-    for row in nodes.orderBy(F.xxhash64("v"), "node").select("v").limit(SAMPLE).collect():
+    for row in nodes.orderBy(F.xxhash64("v"), "least").select("v").limit(SAMPLE).collect():
         found.setdefault(len(row["v"]), []).append(row["v"])
     pivots, left = {}, n
     for size, rows in sorted(found.items()):
@@ -77,8 +77,8 @@ def index_rows(nodes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     Vectors of a dimension with fewer than SHARE pivots, or fewer leaders, all meet in one list of that dimension.
     """
     sent = nodes.sparkSession.sparkContext.broadcast(pivots)  # PIVOTS rows at most
-    fields = "label long, dim int, key long, node {t}, copies long, leaders array<int>, v array<double>"
-    id_type = nodes.schema["node"].dataType.simpleString()
+    label_type = nodes.schema["label"].dataType.simpleString()
+    fields = f"label {label_type}, dim int, key long, node long, copies long, leaders array<int>, v array<double>"
     names = ["label", "dim", "key", "node", "copies", "leaders", "v"]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +119,7 @@ def index_rows(nodes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                         names,
                     )
 
-    return nodes.withColumn("label", F.col("label").cast("long")).mapInArrow(index, fields.format(t=id_type))
+    return nodes.select("label", "v", "node", "copies").mapInArrow(index, fields)
 
 
 def verified(indexed: DataFrame, threshold: float) -> DataFrame:
@@ -188,23 +188,25 @@ def near_duplicates(
 
     Vectors that are null, empty or zero, or hold null or non-finite numbers, and rows without label or id link
     with nothing: they are their own component. Vectors of different length do not link. Equal vectors link
-    whatever the threshold; a repeated row is another vector of its class. ``component_id`` is the smallest id
+    whatever the threshold; a repeated row is another vector of its class. Labels may have any type and are compared as
+    they are; one id may have several vectors, in one label or in several, which are vectors of their own. ``component_id`` is the smallest id
     reachable and ``kept`` is true for that id. An empty table gives an empty one; other columns are not carried.
     """
     nodes = shared.durable(valid_vectors(vectors, id_col, vector_col, label_col))
+    nodes = nodes.withColumn("node", F.monotonically_increasing_id())
     found = shared.durable(verified(index_rows(nodes, pick_pivots(nodes)), threshold))
     linked = found.groupBy("node").agg(F.sum("linked").alias("linked"))
     member = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
-    named = nodes.select(
-        F.col("label").alias("_label"), F.col("v").alias("_v"), "node", "copies"
-    ).join(linked, "node", "left").join(member, "node", "left")
+    firsts = member.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("first"))
+    named = nodes.select(F.col("label").alias("_label"), F.col("v").alias("_v"), "node", "copies", "least")
+    named = named.join(linked, "node", "left").join(member.join(firsts, "component").drop("component"), "node", "left")
     rows = vectors.select(
         F.col(id_col).alias("vec_id"), F.col(label_col).alias("_label"), F.col(vector_col).cast("array<double>").alias("_v")
     )
     joined = rows.join(named, ["_label", "_v"], "left")
     inside = F.col("node").isNotNull() & F.col("vec_id").isNotNull()
     links = F.when(inside, F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).otherwise(F.lit(0)).cast("long")
-    component = F.when(inside, F.coalesce("component", "node")).otherwise(F.col("vec_id"))
+    component = F.when(inside, F.coalesce("first", "least")).otherwise(F.col("vec_id"))
     return joined.select("vec_id", links.alias("n_links"), component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))
     )

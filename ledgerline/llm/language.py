@@ -179,12 +179,14 @@ def annotate(
     """All rows and columns with ``lang_pred, score, bits_per_symbol`` of the whole text behind them.
 
     ``samples`` maps languages to training text; without it, it is drawn from the labelled documents that are not
-    held out. Text that is null or has no letter is ``und`` with score 0, as is everything if nothing could be
-    learned. Equal cost goes to the first language by name. Columns of the added names are replaced. Repeated
+    held out. Text that is null or has no letter is ``und`` with score 0; texts with letters are an error if
+    there is no labelled text to learn from. Equal cost goes to the first language by name. Columns of the added names are replaced. Repeated
     rows are repeated and an empty table gives an empty one. Only text enters a prediction.
     """
     if samples is None:
         samples = training_sample(docs, id_col, text_col, lang_col)
+    if not samples and not docs.where(F.col(text_col).rlike(r"\p{L}")).isEmpty():
+        raise ValueError("no labelled text to learn a language from")
     model = docs.sparkSession.sparkContext.broadcast(samples)  # TRAIN_DOCS * TRAIN_CHARS per language
     added = ["lang_pred", "score", "bits_per_symbol"]
     rows = docs.drop(*added)

@@ -95,8 +95,11 @@ def with_other_answers(conversations: DataFrame) -> DataFrame:
     """A rejected version of every conversation (``conv_id, turn, role, text``).
 
     It runs up to the last assistant turn, which is replaced by the last assistant text of the conversation whose
-    id differs in the lowest bit; where there is none, the turn is left out.
+    id differs in the lowest bit; where there is none, the turn is left out. Rows without a conversation or a turn are
+    left out of the answers; of several last turns the one with the greatest text counts. Other columns go; an empty
+    table gives an empty one.
     """
+    conversations = conversations.select("conv_id", "turn", "role", "text")
     last = (
         conversations.where((F.col("role") == TRAINED_ROLE) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
         .groupBy("conv_id")

@@ -309,7 +309,7 @@ def test_url_rules(spark):
         assert got.rule[i] == best and got.verdict[i] == rules.get(best, "allow"), url
     table = spark.createDataFrame(url_filter.RULES, "rule string, verdict string")
     lengths = sorted({len(r) - len(r.split("/")[0]) for r in rules})
-    joined = url_filter.judge_joined(pages, table, lengths).toPandas().set_index("page_id").sort_index()
+    joined = url_filter.judge_joined(pages, table, lengths, [1, 2, 3]).toPandas().set_index("page_id").sort_index()
     assert joined[["host", "path", "rule", "verdict"]].equals(got[["host", "path", "rule", "verdict"]])
 
 
