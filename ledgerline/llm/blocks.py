@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +14,16 @@ BUFFER_ROWS = 1 << 15
 BUFFER_BYTES = 64 << 20
 
 
-def in_blocks(rows: DataFrame, keys: list[str], spread: str, block: int = BLOCK, keep_own: bool = False) -> DataFrame:
+def in_blocks(
+    rows: DataFrame, keys: list[str], spread: str, block: int = BLOCK, keep_own: bool = False,
+    *, attach: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Repartition rows so that any two with the same key meet in some group of at most about ``2 * block`` rows.
 
     A key with more rows is cut into hashed blocks and every pair of its blocks makes a group, so no pair is lost
     and no group grows. Keys of a single row are dropped. Groups are ``keys + [_a, _b]``, contiguous and sorted;
-    ``keep_own`` leaves the row's own block in ``_own``.
+    ``keep_own`` leaves the row's own block in ``_own``. ``attach`` adds wide columns to the rows of the groups, so that
+    rows are narrow while keys are counted and single ones never carry them.
     """
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
     parts = F.ceil(F.col("_rows") / F.lit(block)).cast("int")
@@ -34,6 +38,8 @@ def in_blocks(rows: DataFrame, keys: list[str], spread: str, block: int = BLOCK,
         .drop("_rows", "_parts", "_other", *([] if keep_own else ["_own"]))
     )
     by = [*keys, "_a", "_b"]
+    if attach is not None:
+        groups = attach(groups)
     return groups.repartition(*by).sortWithinPartitions(*by)
 
 
