@@ -3,7 +3,9 @@
 Per language, a suffix automaton of labelled text recognises every substring of that text. A text is parsed
 greedily into phrases, each the longest match at its place; the fewer phrases a language needs, weighted by the
 bits that point into its text, the closer it is. The parse is a walk through a transition table in which a
-missing edge ends the phrase and starts the next one, so that thousands of windows are walked in step.
+missing edge ends the phrase and starts the next one, so that thousands of windows are walked in step. A language
+has columns for the letters of its own text only, and one for all others; where the table would still be large (scripts
+of thousands of signs), its edges are kept as a sorted list instead, three per letter of training text at most.
 """
 
 from __future__ import annotations
@@ -21,9 +23,12 @@ from ledgerline.llm import shared
 
 TRAIN_DOCS = 64  # per language
 TRAIN_CHARS = 500  # of each
+MAX_LANGUAGES = 1_000  # more labels than these are no languages: an error, as their samples go to the driver
+TABLE_CELLS = 1 << 26  # in all dense tables of a worker together, 4 bytes each
 WINDOW = 512  # a phrase ends where a window of this many symbols ends
 UNDETERMINED = "und"
-GAP, PAD = 0, 1  # classes of anything that is no letter, and of nothing
+GAP = 0  # class of anything that is no letter
+FOREIGN = 1  # column of letters that a language's text does not hold
 
 
 def held_out(id_col: Column) -> Column:
@@ -33,7 +38,8 @@ def held_out(id_col: Column) -> Column:
 def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
     """Training text per language: the first TRAIN_CHARS of at most TRAIN_DOCS documents that are not held out.
 
-    The documents with the smallest hashes are taken; the limit applies within each task before rows move.
+    The documents with the smallest hashes are taken; the limit applies within each task before rows move. More than
+    MAX_LANGUAGES labels are an error; none is left out.
     """
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
@@ -42,7 +48,10 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= TRAIN_DOCS)
     short = ids.select("lang", "n", F.substring("text", 1, TRAIN_CHARS).alias("text"))
     parts: dict[str, list[tuple[int, str]]] = {}
-    for row in short.collect():  # TRAIN_DOCS rows of each label, however many labels there are
+    most = MAX_LANGUAGES * TRAIN_DOCS
+    for n, row in enumerate(short.limit(most + 1).collect()):
+        if n == most:
+            raise ValueError(f"{short.select('lang').distinct().count()} labels are too many for a language sample of bounded size")
         parts.setdefault(row["lang"], []).append((row["n"], row["text"]))
     return {lang: "\n".join(text for _, text in sorted(found)) for lang, found in sorted(parts.items())}
 
@@ -81,19 +90,48 @@ class SuffixAutomaton:
         self.link[new] = target
         return new
 
-    def parser(self, width: int) -> np.ndarray:
-        """Transitions of the greedy parse: ``next state * 4 + phrases ended``, for states times classes."""
-        root = np.ones(width, np.int32)  # a symbol the text does not hold is a phrase of its own
-        for symbol, target in self.edges[0].items():
-            root[symbol] = target * 4
-        table = np.empty((len(self.edges), width), np.int32)
-        table[0] = root
-        table[1:] = root + 1  # end the phrase, then do as the root does
-        for state, edges in enumerate(self.edges):
-            for symbol, target in edges.items():
-                table[state, symbol] = target * 4
-            table[state, PAD] = state * 4
-        return table.reshape(-1)
+
+class DenseParser:
+    """Transitions of the greedy parse for states times columns: ``next state * 4 + phrases ended``."""
+
+    def __init__(self, automaton: SuffixAutomaton, width: int):
+        self.width = width
+        table = np.empty((len(automaton.edges), width), np.int32)
+        table[0] = _root(automaton, width)
+        table[1:] = table[0] + 1  # end the phrase, then do as the root does
+        for state, edges in enumerate(automaton.edges):
+            for column, target in edges.items():
+                table[state, column] = target * 4
+        self.table = table.reshape(-1)
+
+    def step(self, state: np.ndarray, column: np.ndarray) -> np.ndarray:
+        return self.table[state * self.width + column]
+
+
+class SparseParser:
+    """The same transitions from the sorted edges, for alphabets of many signs."""
+
+    def __init__(self, automaton: SuffixAutomaton, width: int):
+        self.width = width
+        self.root = _root(automaton, width)
+        edges = sorted(
+            (state * width + column, target * 4) for state, some in enumerate(automaton.edges) for column, target in some.items()
+        )
+        self.keys = np.array([key for key, _ in edges] + [len(automaton.edges) * width], np.int64)
+        self.next = np.array([target for _, target in edges] + [0], np.int32)
+
+    def step(self, state: np.ndarray, column: np.ndarray) -> np.ndarray:
+        key = state * self.width + column
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.next[at], self.root[column] + (state != 0))
+
+
+def _root(automaton: SuffixAutomaton, width: int) -> np.ndarray:
+    """Steps out of the root: a letter the text does not hold is a phrase of its own."""
+    root = np.ones(width, np.int32)
+    for column, target in automaton.edges[0].items():
+        root[column] = target * 4
+    return root
 
 
 class CrossParser:
@@ -102,16 +140,22 @@ class CrossParser:
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
         letters = sorted({c for text in samples.values() for c in text.lower() if c.isalpha()})
-        self.other = 2 + len(letters)  # letters that no training text holds
-        self.width = 1 << max(2, (self.other).bit_length())
-        self.classes = np.full(0x110000, GAP, np.uint16)
+        self.other = 1 + len(letters)  # letters that no training text holds
+        self.classes = np.full(0x110000, GAP, np.uint32)
         self.classes[[c for c in range(0x110000) if chr(c).isalpha()]] = self.other
         for i, letter in enumerate(letters):
-            self.classes[ord(letter)] = 2 + i
-        self.parsers, self.bits = [], []
+            self.classes[ord(letter)] = 1 + i
+        self.parsers, self.columns, self.bits = [], [], []
         for lang in self.langs:
             symbols, _ = self.symbols([samples[lang]])
-            self.parsers.append(SuffixAutomaton(symbols.tolist()).parser(self.width))
+            own = np.setdiff1d(symbols, [GAP])
+            columns = np.full(self.other + 1, FOREIGN, np.uint32)
+            columns[own] = 2 + np.arange(len(own))
+            columns[GAP] = GAP
+            automaton, width = SuffixAutomaton(columns[symbols].tolist()), 2 + len(own)
+            dense = len(automaton.edges) * width <= TABLE_CELLS // len(self.langs)
+            self.parsers.append((DenseParser if dense else SparseParser)(automaton, width))
+            self.columns.append(columns)
             self.bits.append(math.log2(len(symbols) + 1))
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -135,11 +179,12 @@ class CrossParser:
         first, size, owner = first[order], size[order], owner[order]
         running = np.searchsorted(-size, -np.arange(1, WINDOW + 1), side="right")
         result = np.zeros((len(sizes), len(self.langs)), np.int64)
-        for k, table in enumerate(self.parsers):
+        for k, parser in enumerate(self.parsers):
+            columns = self.columns[k][symbols]
             state, total = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
             for step in range(int(size[0]) if len(size) else 0):
                 n = running[step]
-                found = table[state[:n] * self.width + symbols[first[:n] + step]]
+                found = parser.step(state[:n], columns[first[:n] + step])
                 state[:n] = found >> 2
                 total[:n] += found & 3
             total += state != 0
