@@ -20,6 +20,7 @@ from ledgerline.streaming.folders import work_folder
 
 PARTS = 2
 PART_ROWS = 1_000_000
+ROW_GROUP_BYTES = 2 << 20  # a span is one file, which several tasks read
 BUCKETS = 8
 
 
@@ -41,20 +42,26 @@ def _arrivals(
     """Let all events arrive, one file per span of time, one file per micro-batch.
 
     After the first file the query stops and is started again from its checkpoint, so state is stored and read
-    back. Every ``slow``-th event arrives a span after its time.
+    back. Every ``slow``-th event arrives a span after its time. The events are dealt to their spans once, so that a
+    span reads its own rows and not the whole table.
     """
     events, parts = _part(spark, d)
     if slow:
         behind = (F.col("event_id") % slow == 0).cast("long")
         events, parts = events.withColumn("__part", F.col("__part") + behind), parts + 1
-    arrived = f"{path}/arrived"
+    arrived, dealt = f"{path}/arrived", f"{path}/dealt"
+    # Four tasks and files to a span, so that few spans do not mean few tasks.
+    spread = F.pmod(F.xxhash64("event_id"), F.lit(4))
+    events.repartition(parts * 4, "__part", spread).write.partitionBy("__part").parquet(dealt)
+    spans = spark.read.schema(f"{I.SOURCES['events']}, __part int").parquet(dealt)
 
     def run() -> None:
         stream = spark.readStream.schema(I.SOURCES["events"]).option("maxFilesPerTrigger", 1)
         start(stream.parquet(arrived)).awaitTermination()
 
     for part in range(parts):
-        events.where(F.col("__part") == part).drop("__part").coalesce(1).write.mode("append").parquet(arrived)
+        arriving = spans.where(F.col("__part") == part).drop("__part").coalesce(1)
+        arriving.write.mode("append").option("parquet.block.size", ROW_GROUP_BYTES).parquet(arrived)
         if part == 0:
             run()
     run()

@@ -158,3 +158,24 @@ def test_one_file_per_micro_batch_and_a_busy_run(spark, tmp_path):
     assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [1_000, 1_000, 1_000]
     want = runs.stuck_points(steps)
     assert rows(live.stuck_alerts(spark, path)) == rows(want.select(live.stuck_alerts(spark, path).columns)) != []
+
+
+def test_a_span_reads_its_own_events_only(spark, tmp_path, monkeypatch):
+    from ledgerline.plans import stream_queries as Q
+
+    n, read = 80, spark.sparkContext.accumulator(0)
+    data = [(i, at(i), i % 3, "view", 1.0, "") for i in range(n)]
+
+    def counted(row):
+        read.add(1)
+        return row
+
+    def source(spark, d, name):
+        return spark.createDataFrame(spark.sparkContext.parallelize(data, 4).map(counted), Q.I.SOURCES[name])
+
+    monkeypatch.setattr(Q.I, "source", source)
+    monkeypatch.setattr(Q, "PART_ROWS", 20)  # four spans
+    path = str(tmp_path / "s")
+    Q._arrivals(spark, "", path, lambda e: live.live_recent(Q.I.as_actions(e), path, n=n, once=True, buckets=2))
+    assert sorted(r.id for r in live.recent_actions(spark, path, n=n, buckets=2).collect()) == list(range(n))
+    assert read.value <= 3 * n  # once for the ends of the table, once to deal it; it was once per span
