@@ -35,24 +35,28 @@ def failed_runs(outcomes: DataFrame) -> DataFrame:
     return failures.groupBy(*RUN).agg(first).select(*RUN, "__first.*")
 
 
+def with_failed(outcomes: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """Add ``__failed``: place (ts, id) of the first fast-path failure of a row's run, NULL without one.
+
+    ``earlier`` are failed runs known from before this batch.
+    """
+    failures = failed_runs(outcomes)
+    if earlier is not None:
+        failures = failures.unionByName(earlier.select(*RUN, *ORDER))
+    failed = failures.groupBy(*RUN).agg(F.min(F.struct(*ORDER)).alias("__failed"))
+    return outcomes.join(failed, RUN, "left")
+
+
 def effective_outcomes(outcomes: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     """Drop successes that follow a fast-path failure within the same run.
 
     Such a run read its confidence before the failure, so its later finish is
     not counted. Rows without a run are always kept. ``earlier`` are failed runs
-    known from before this batch.
+    known from before this batch. Rows that ``with_failed`` has marked are taken as marked.
     """
-    run = RUN
-    failures = failed_runs(outcomes)
-    if earlier is not None:
-        failures = failures.unionByName(earlier.select(*RUN, *ORDER))
-    failed = failures.groupBy(*run).agg(F.min(F.struct(*ORDER)).alias("__failed"))
+    marked = outcomes if "__failed" in outcomes.columns else with_failed(outcomes, earlier)
     late = (F.col("outcome") == "success") & (F.struct(*ORDER) > F.col("__failed"))
-    return (
-        outcomes.join(failed, run, "left")
-        .where(~F.coalesce(late, F.lit(False)))
-        .drop("__failed")
-    )
+    return marked.where(~F.coalesce(late, F.lit(False))).drop("__failed")
 
 
 def _is(outcome: str) -> Column:

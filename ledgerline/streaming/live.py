@@ -154,29 +154,30 @@ def live_confidence(
         def fold(base: DataFrame) -> DataFrame:
             recipes, failed = base.where("run_id IS NULL"), base.where("run_id IS NOT NULL")
             newest = recipes.select(*keys, F.struct("ts", "id").alias("__newest"))
-            placed = fresh.join(newest, keys, "left")
+            placed = keep(fresh.join(newest, keys, "left"))
             late = F.coalesce(F.struct("ts", "id") < F.col("__newest"), F.lit(False))
             S.record(placed.where(late).select(*names), batch, f"{path}/late")
             timely = placed.where(~late).select(*names)
 
-            counted = confidence.effective_outcomes(timely, failed)
+            marked = keep(confidence.with_failed(timely, failed))
+            counted = confidence.effective_outcomes(marked)
             after = confidence.replay_state(counted, recipes.where("confidence IS NOT NULL")).drop("tier")
             moved = timely.groupBy(*keys).agg(F.max(F.struct("ts", "id")).alias("__at")).select(*keys, "__at.*")
             changed = counted.select(*keys).distinct().withColumn("__changed", F.lit(True))
             stored = ["confidence", "created", "last_verified", "last_failed"]
             before = recipes.select(*keys, *[F.col(c).alias(f"__{c}") for c in stored])
             states = moved.join(after, keys, "left").join(changed, keys, "left").join(before, keys, "left")
-            fresh_recipes = states.select(
+            fresh_recipes = keep(states.select(
                 *keys, "ts", "id", *[F.when(F.col("__changed"), F.col(c)).otherwise(F.col(f"__{c}")).alias(c) for c in stored]
-            )
+            ))
             resting = recipes.join(moved.select(*keys), keys, "left_anti")
 
-            first = confidence.failed_runs(timely).unionByName(failed.select(*run, "ts", "id"))
-            first = first.groupBy(*run).agg(F.min(F.struct("ts", "id")).alias("__first"))
-            last = timely.where("run_id IS NOT NULL").select(*run, F.col("ts").alias("last"))
-            last = last.unionByName(failed.select(*run, "last")).groupBy(*run).agg(F.max("last").alias("last"))
+            # A failed run's rows bring their place of failure along; runs without rows in this batch keep theirs.
+            met = marked.where("__failed IS NOT NULL").select(*run, "__failed", F.col("ts").alias("last"))
+            known = failed.select(*run, F.struct("ts", "id").alias("__failed"), "last")
+            kept_runs = met.unionByName(known).groupBy(*run).agg(F.min("__failed").alias("__first"), F.max("last").alias("last"))
             tops = fresh_recipes.unionByName(resting, allowMissingColumns=True).select(*keys, F.col("ts").alias("__top"))
-            kept = first.join(last, run).join(tops, keys, "left").where(
+            kept = kept_runs.join(tops, keys, "left").where(
                 F.coalesce(F.col("last") >= F.col("__top") - F.make_dt_interval(secs=F.lit(run_ms / 1_000)), F.lit(True))
             )
             return (
@@ -185,7 +186,11 @@ def live_confidence(
                 .select(*_names(_RECIPES))
             )
 
+        used: list[DataFrame] = []  # what several steps read is worked out once
+        keep = lambda df: used.append(df.persist()) or used[-1]
         _held_recipes(path, buckets).advance(batch, fresh, fold)
+        for frame in used:
+            frame.unpersist()
 
     rows = outcomes.select(*names).where("ts IS NOT NULL AND id IS NOT NULL")
     return S.start(rows, path, once, "live_confidence", advance)

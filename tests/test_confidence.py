@@ -107,3 +107,15 @@ def test_upsert_keeps_failure_and_delete_clears_it(spark):
 def test_deleted_recipe_has_no_state(spark):
     _, trace = case(spark, ("save", 1), ("delete", 2))
     assert confidence.confidence_state(trace).count() == 0
+
+
+def test_marked_outcomes_are_not_marked_again(spark):
+    events = [(1, "d", "a", 1, "fast_fail", at(1)), (2, "d", "a", 1, "success", at(2)), (3, "d", "a", 2, "success", at(3)),
+              (4, "d", "a", None, "success", at(4)), (5, "e", "a", 7, "success", at(5))]
+    outcomes = spark.createDataFrame(events, EVENTS)
+    earlier = spark.createDataFrame([("e", "a", 7, at(0), 0)], "domain string, action string, run_id bigint, ts timestamp, id bigint")
+    marked = confidence.with_failed(outcomes, earlier)
+    assert {r.id: r["__failed"] and r["__failed"].id for r in marked.collect()} == {1: 1, 2: 1, 3: None, 4: None, 5: 0}
+    assert "Join" not in confidence.effective_outcomes(marked.localCheckpoint())._jdf.queryExecution().toString()
+    assert rows(confidence.effective_outcomes(marked)) == rows(confidence.effective_outcomes(outcomes, earlier))
+    assert {r.id for r in confidence.effective_outcomes(marked).collect()} == {1, 3, 4}
