@@ -55,11 +55,12 @@ def chunked(
     """
     if CHUNK in df.columns or WHOLE in df.columns:
         return df
-    listed = _splitters(df if sized_by is None else sized_by, keys, order)
-    if listed is None:
+    found = _splitters(df if sized_by is None else sized_by, keys, order)
+    if found is None:
         return df.withColumn(WHOLE, F.lit(True))
+    listed, n = found
     row = F.struct(*_comparable(df, [*keys, *order]))
-    placed = df.withColumn(CHUNK, _place(row, listed))
+    placed = df.withColumn(CHUNK, _place(row, listed, n))
     if keys:
         near = [F.get(listed, F.col(CHUNK) + i) for i in (-1, 0)]
         same = [reduce(lambda a, b: a & b, [s[k].eqNullSafe(row[k]) for k in keys]) & s.isNotNull() for s in near]
@@ -73,8 +74,8 @@ def _comparable(df: DataFrame, names: Sequence[str]) -> list[Column]:
     return [(F.unix_micros(F.col(n).cast("timestamp")) if n in timed else F.col(n)).alias(n) for n in names]
 
 
-def _splitters(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Column | None:
-    """Sorted places of the picked rows of busy keys, as a constant of bounded size; None without any."""
+def _splitters(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[Column, int] | None:
+    """Sorted places of the picked rows of busy keys, as a constant of bounded size, and their number; None without any."""
     every, least = (max(1, HOT_ROWS // SPLITS), LEAST) if HOT_ROWS else (1, 1)
     names = [*keys, *order]
     hashed = rows.select(*_comparable(rows, names)).withColumn("__hash", F.xxhash64(*names))
@@ -84,16 +85,15 @@ def _splitters(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Co
         picked = picked.withColumn("__n", of_key).where(F.col("__n") >= least)
     kept = picked.orderBy("__hash").limit(MAX_SPLITTERS).select(F.struct(*names).alias("__place"))
     listed = F.array_distinct(F.sort_array(F.collect_list("__place")))
-    text = kept.agg(F.to_json(listed)).first()[0]  # MAX_SPLITTERS places at most
+    text, n = kept.agg(F.to_json(listed), F.size(listed)).first()  # MAX_SPLITTERS places at most
     kind = f"array<{kept.schema['__place'].dataType.simpleString()}>"
-    return None if text in (None, "[]") else F.from_json(F.lit(text), kind)
+    return None if text in (None, "[]") else (F.from_json(F.lit(text), kind), n)
 
 
-def _place(row: Column, listed: Column) -> Column:
-    """How many splitters are not after the row, by halving."""
-    steps = F.array(*[F.lit(1 << i) for i in range(MAX_SPLITTERS.bit_length() - 1, -1, -1)])
+def _place(row: Column, listed: Column, n: int) -> Column:
+    """How many of the n splitters are not after the row, by halving."""
     return F.aggregate(
-        F.filter(steps, lambda step: step <= F.size(listed)),
+        F.array(*[F.lit(1 << i) for i in range(n.bit_length() - 1, -1, -1)]),
         F.lit(0),
         lambda at, step: F.when(F.get(listed, at + step - 1) <= row, at + step).otherwise(at),
     )

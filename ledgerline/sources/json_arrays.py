@@ -10,10 +10,13 @@ spread over tasks; a record's fragments are then put together.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators import ordered
+from ledgerline.streaming.folders import work_folder
 
 PLACE = ["block", "seq"]
 
@@ -56,22 +59,47 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """
     pieces = fragments(spark, path)
     at = F.struct(*PLACE)
-    files = pieces.groupBy("file").agg(
-        F.min_by(F.col("value").rlike(r"^\s*\["), at).cast("int").alias("level"),
-        F.max(at).alias("last"),
-        (F.sum(F.octet_length("value") + 1) == F.max("size")).alias("closed"),  # a } ends the file
-    )
     clean = F.regexp_replace("value", r"(?s)\\.", "")
     strings = lambda text: F.regexp_replace(text, r'"[^"]*("|$)', "")
     depth = lambda text: _count(text, "{[") - _count(text, "]")
-    mapped = pieces.join(files, "file").select(
-        "file", *PLACE, "value", "level",
-        (F.col("closed") | (at != F.col("last"))).alias("cut"),
+    mapped = pieces.select(
+        "file", *PLACE, "value", "size",
+        F.col("value").rlike(r"^\s*\[").cast("int").alias("starts"),
+        (F.octet_length("value") + 1).alias("bytes"),
         _count(clean, '"').cast("long").alias("quotes"),
         depth(strings(clean)).alias("free"),
         depth(strings(F.regexp_replace(clean, r'^[^"]*("|$)', ""))).alias("open"),
     )
     ranged = ordered.chunked(mapped, ["file"], PLACE, sized_by=pieces)
+    # The passes below read a few columns each; text is parsed and rows find their range once.
+    stored = f"{work_folder(spark)}/fragments-{uuid4().hex}"
+    ranged.write.parquet(stored)
+    ranged = spark.read.schema(ranged.schema).parquet(stored)
+    # Facts of a whole file come by the ranges, too: a join by file would put a file's fragments into one task.
+    so_far = ordered.so_far(ranged, ["file"], PLACE)
+    local = {
+        "level": F.first("starts").over(so_far),
+        "through": F.sum("bytes").over(so_far),
+        "next": F.lead(F.lit(1)).over(ordered.chunk_window(ranged, ["file"], PLACE)),
+    }
+    ranged = ordered.carry(
+        ranged.withColumns(local),
+        ["file"],
+        {"__starts": F.min_by("starts", at), "__bytes": F.sum("bytes")},
+        {
+            "__level": lambda o: F.first("__starts").over(ordered.before(o)),
+            "__through": lambda o: F.sum("__bytes").over(ordered.before(o)),
+            "__next": lambda o: F.lead(F.lit(1)).over(o),
+        },
+    )
+    through = F.col("through") + F.coalesce(F.col("__through").cast("long"), F.lit(0))
+    followed = F.col("next").isNotNull() | F.col("__next").isNotNull()
+    ranged = ranged.withColumns(
+        {
+            "level": F.coalesce(F.col("__level").cast("int"), F.col("level")),
+            "cut": followed | (through == F.col("size")),  # a } comes after the fragment
+        }
+    ).drop("size", "starts", "bytes", "through", "next", "__level", "__through", "__next")
     ranged = _running(ranged, "quotes", "quoted", here=False)
     inside = F.col("quoted") % 2 == 1
     ends_outside = (F.col("quoted") + F.col("quotes")) % 2 == 0

@@ -107,3 +107,13 @@ def test_match_is_by_equality(spark):
 def test_confidence_state_needs_no_window(spark):
     plan = plan_of(catalog.QUERIES["confidence_state"](spark, SF))
     assert "Window" not in plan and "__chunk" not in plan
+
+
+def test_no_file_of_an_array_is_brought_together(spark, tmp_path, cut_all):
+    """Fragments meet what is known of their file by range, never by the file alone."""
+    from ledgerline.sources import json_arrays
+
+    (tmp_path / "a.json").write_text('[{"a": 1}, {"b": "}"}]')
+    plan = plan_of(json_arrays.read_records(spark, str(tmp_path)))
+    assert "SortMergeJoin [file#" in plan
+    assert not re.search(r"SortMergeJoin \[file#\d+\]", plan)
