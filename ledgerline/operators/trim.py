@@ -162,7 +162,8 @@ def trim_frames(
         & (F.col("f.bucket") == F.col("p.bucket"))
         & F.col("f.__position").between(F.col("p.start"), F.col("p.end"))
     )
-    trimmed = f.join(pieces, hit).select(*[F.col(f"f.{c}") for c in frames.columns])
+    # The planner takes rows made by explode for as few as those they come from, and would broadcast either side.
+    trimmed = f.join(pieces.hint("merge"), hit).select(*[F.col(f"f.{c}") for c in frames.columns])
     whole = frames.join(gate.where(~F.col("trimmed")).select("rec_id"), "rec_id", "left_semi")
     return trimmed.withColumn("trimmed", F.lit(True)).unionByName(
         whole.select(*frames.columns).withColumn("trimmed", F.lit(False))

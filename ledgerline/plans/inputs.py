@@ -24,6 +24,7 @@ SOURCES = {
     "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 EPOCH = 1_672_531_200  # 2023-01-01
+FRAMES_IN_TASK = 250_000
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -402,12 +403,13 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     idx = F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(
         F.array().cast("array<bigint>")
     )
-    # A fixed number of partitions: the few recordings would otherwise be merged
-    # into one task just before they grow into their frames.
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The few recordings would otherwise be merged into one task just before they grow into their frames. Partitions
+    # follow the number of frames, and are more than those of the grouping: Spark drops a repartition to as many.
+    made = recordings(spark, sf_dir)
+    total = made.agg(F.sum(F.greatest(n, F.lit(0)))).first()[0] or 0
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")) + 1, total // FRAMES_IN_TASK + 1)
     return (
-        recordings(spark, sf_dir)
-        .repartition(spread, "rec_id")
+        made.repartition(spread, "rec_id")
         .select("rec_id", F.explode(idx).alias("frame_idx"))
         .withColumn("file", F.concat(F.lit("frame-"), F.col("frame_idx").cast("string"), F.lit(".png")))
     )

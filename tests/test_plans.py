@@ -6,6 +6,7 @@ import re
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline.operators import joins, log, ordered, pages, runs
 from ledgerline.plans import catalog
@@ -117,3 +118,13 @@ def test_no_file_of_an_array_is_brought_together(spark, tmp_path, cut_all):
     plan = plan_of(json_arrays.read_records(spark, str(tmp_path)))
     assert "SortMergeJoin [file#" in plan
     assert not re.search(r"SortMergeJoin \[file#\d+\]", plan)
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs the supplied tables")
+def test_frames_are_made_by_many_tasks(spark):
+    """Spark merges what recordings are grouped by into one task, and drops a repartition to the same number."""
+    from ledgerline.plans import inputs
+
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    made = inputs.frames(spark, SF).withColumn("task", F.spark_partition_id())
+    assert made.select("task").distinct().count() > 1
