@@ -21,34 +21,52 @@ def write_reports(lines: DataFrame, path: str, key: str = "persona", file_bytes:
     with line breaks counts as several, a null line as an empty one.
     """
     text = F.coalesce("line", F.lit(""))
-    total = lines.agg(F.sum(F.octet_length(text) + 1)).first()[0] or 0
-    ranged = ordered.chunked(lines, [key], ORDER)
-    part = F.col(ordered.CHUNK) if ordered.CHUNK in ranged.columns else F.lit(None).cast("int")
-    bucket = F.pmod(F.xxhash64(key), F.lit(1 + total // file_bytes)).cast("int")
-    placed = ranged.withColumns({"bucket": bucket, "part": F.coalesce(part + 1, F.lit(0)), "value": text})
-    by = [*PLACE, key, *ORDER]
-    rows = placed.repartition(*PLACE).sortWithinPartitions(*by).select(*PLACE, "value")
-    rows.write.mode("overwrite").partitionBy(*PLACE).text(f"{path}/lines")
-    sizes = placed.groupBy(key, *PLACE).agg(F.sum(F.size(F.split("value", "\n"))).alias("n_lines"))
+    n_bytes = F.octet_length(text)
+    breaks = n_bytes - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    n_lines = F.sum(breaks + 1).alias("n_lines")
+    sizes = lines.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(n_bytes + 1).alias("bytes"), n_lines).persist()
+    total, longest = sizes.agg(F.sum("bytes"), F.max("n")).first()
+    buckets = 1 + (total or 0) // file_bytes
+
+    def placed(rows: DataFrame) -> DataFrame:
+        part = F.col(ordered.CHUNK) + 1 if ordered.CHUNK in rows.columns else F.lit(0)
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        return rows.withColumns({"bucket": bucket, "part": F.coalesce(part, F.lit(0))}).drop(ordered.CHUNK, ordered.WHOLE)
+
+    # No shorter report can have splitters, and only lines of longer ones have to look for their range.
+    least = ordered.HOT_ROWS // ordered.SPLITS
+    if (longest or 0) < least:
+        rows, counts = placed(lines), placed(sizes)
+    else:
+        long = sizes.where(F.col("n") >= least).select(key)
+        cut = placed(ordered.chunked(lines.join(long, key, "left_semi"), [key], ORDER))
+        rows = placed(lines.join(long, key, "left_anti")).unionByName(cut)
+        counts = placed(sizes.join(long, key, "left_anti")).select(key, *PLACE, "n_lines")
+        counts = counts.unionByName(cut.groupBy(key, *PLACE).agg(n_lines))
+    # Each bucket has a task of its own: dealt by a hash, some tasks would have several and others none.
+    tasks = max(buckets, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartitionById(tasks, F.pmod(F.col("bucket") + F.col("part"), F.lit(tasks)).cast("int"))
+    sorted_rows = dealt.sortWithinPartitions(*PLACE, key, *ORDER).select(*PLACE, text.alias("value"))
+    sorted_rows.write.mode("overwrite").partitionBy(*PLACE).text(f"{path}/lines")
     before = Window.partitionBy(*PLACE).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    index = sizes.withColumn("first", F.coalesce(F.sum("n_lines").over(before), F.lit(0)))
+    index = counts.select(key, *PLACE, "n_lines", F.coalesce(F.sum("n_lines").over(before), F.lit(0)).alias("first"))
     index.write.mode("overwrite").parquet(f"{path}/index")
+    sizes.unpersist()
 
 
 def read_reports(spark: SparkSession, path: str, key: str = "persona") -> DataFrame:
     """``key, line_no, line`` of all reports, line numbers from 1."""
     index = spark.read.parquet(f"{path}/index")
-    text = spark.read.schema("value string, bucket int, part int").text(f"{path}/lines")
+    text = spark.read.schema("value string, bucket int, part int").text(f"{path}/lines", lineSep="\n")
     place = {"block": F.col("_metadata.file_block_start"), "seq": F.monotonically_increasing_id()}
-    numbered = ordered.ordinal(text.withColumns(place), PLACE, ["block", "seq"], "n")
-    heads = index.select(*PLACE, F.col("first").alias("n"), key, F.col("first").alias("__first"), F.lit(None).cast("string").alias("line"))
-    lines = numbered.select(*PLACE, (F.col("n") - 1).alias("n"), F.col("value").alias("line"), F.lit(1).alias("__line"))
-    both = lines.unionByName(heads, allowMissingColumns=True)
-    so_far = Window.partitionBy(*PLACE).orderBy("n", F.col("__line").asc_nulls_first())
-    named = both.withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in (key, "__first")}).where("__line = 1")
-    at = index.groupBy(key, *PLACE).agg(F.sum("n_lines").alias("n_lines"))
+    lines = text.withColumns(place).select(*PLACE, *place, F.col("value").alias("line"))
     parts = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = at.withColumn("__earlier", F.coalesce(F.sum("n_lines").over(parts), F.lit(0))).drop("n_lines")
-    return named.join(earlier, [key, *PLACE]).select(
-        key, (F.col("n") - F.col("__first") + F.col("__earlier") + 1).alias("line_no"), "line"
-    )
+    shift = F.coalesce(F.sum("n_lines").over(parts), F.lit(0)) - F.col("first") + 1
+    heads = index.select(*PLACE, "first", F.struct(key, shift.alias("shift")).alias("report"))
+    # A file's lines and heads meet in one task, as one task wrote it: lines are shuffled once, and a file has a limit.
+    of_file, upto = Window.partitionBy(*PLACE), (Window.unboundedPreceding, Window.currentRow)
+    nth = F.count("line").over(of_file.orderBy("block", "seq").rowsBetween(*upto)) - 1
+    both = lines.unionByName(heads, allowMissingColumns=True).withColumn("n", F.coalesce("first", nth))
+    so_far = of_file.orderBy("n", F.col("report").isNull()).rowsBetween(*upto)
+    named = both.withColumn("report", F.last("report", ignorenulls=True).over(so_far)).where(F.col("line").isNotNull())
+    return named.select(f"report.{key}", (F.col("n") + F.col("report.shift")).alias("line_no"), "line")

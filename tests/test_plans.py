@@ -120,6 +120,21 @@ def test_no_file_of_an_array_is_brought_together(spark, tmp_path, cut_all):
     assert not re.search(r"SortMergeJoin \[file#\d+\]", plan)
 
 
+def test_report_lines_are_shuffled_once_by_file(spark, tmp_path, monkeypatch):
+    """Files of many short reports: no line looks for a range or joins, in writing or reading."""
+    from ledgerline.operators import reports
+    from ledgerline.sources import reports as sink
+
+    monkeypatch.setattr(ordered, "HOT_ROWS", 160)
+    monkeypatch.setattr(ordered, "_splitters", lambda *_: pytest.fail("no report is long"))
+    persona = F.concat(F.lit("p"), (F.col("id") % 250).cast("string"))
+    rows = spark.range(2_000).select(persona.alias("persona"), "id", F.lit("text").alias("text"))
+    sink.write_reports(reports.emit(rows, ["persona"], {0: [F.col("text")]}, seq="id"), str(tmp_path / "out"))
+    plan = plan_of(sink.read_reports(spark, str(tmp_path / "out")))
+    assert "Join" not in plan and "__chunk" not in plan
+    assert plan.count("Exchange hash") == 2  # one of the index, by key, and one of lines and index, by file
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="needs the supplied tables")
 def test_frames_are_made_by_many_tasks(spark):
     """Spark merges what recordings are grouped by into one task, and drops a repartition to the same number."""

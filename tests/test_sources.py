@@ -120,6 +120,30 @@ def test_report_sink_keeps_order(spark, tmp_path, monkeypatch):
     assert len(files) > 2 and spark.read.parquet(str(path / "index")).where("persona = 'p'").count() > 1
 
 
+def test_report_sink_cuts_long_reports_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ordered, "HOT_ROWS", 160)
+    texts = ["plain", "two\nlines", "carriage\rreturn", "", None]
+    said = {f"short{i}": [texts[(i + j) % 5] for j in range(i % 9 + 1)] for i in range(40)}
+    said |= {"long": [f"line {j}" if j % 5 else texts[j % 3] for j in range(900)]}
+    data = [(k, 0, None, None, j, 0, line) for k, lines in said.items() for j, line in enumerate(lines)]
+    kinds = "persona string, section int, at timestamp, by string, seq bigint, sub int, line string"
+    for size in (1 << 20, 500):
+        path = str(tmp_path / str(size))
+        sink.write_reports(spark.createDataFrame(data, kinds).repartition(5), path, file_bytes=size)
+        want = {k: "\n".join(line or "" for line in lines).split("\n") for k, lines in said.items()}
+        expected = [(k, n, line) for k, lines in want.items() for n, line in enumerate(lines, 1)]
+        assert rows(sink.read_reports(spark, path)) == sorted(expected, key=str)
+        index = spark.read.parquet(f"{path}/index")
+        assert index.where("persona = 'long' and part > 0").count() > 4
+        assert index.where("persona <> 'long' and part = 0").count() == index.where("persona <> 'long'").count() == 40
+
+
+def test_report_sink_of_nothing(spark, tmp_path):
+    kinds = "persona string, section int, at timestamp, by string, seq bigint, sub int, line string"
+    sink.write_reports(spark.createDataFrame([], kinds), str(tmp_path / "none"))
+    assert spark.read.parquet(str(tmp_path / "none" / "index")).count() == 0
+
+
 def test_not_found(spark):
     people = spark.createDataFrame([("p",)], "name string")
     asked = spark.createDataFrame([("p",), ("x",)], "persona string")
